@@ -1,0 +1,14 @@
+"""Independent DuckDB statements for the registered queries."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+MODULES = ("core_sql",)
+
+
+def all_statements() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name in MODULES:
+        out.update(import_module(f"checks.{name}").statements())
+    return out
