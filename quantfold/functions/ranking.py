@@ -37,8 +37,10 @@ def with_rank(
     kind: str = "dense",
     descending: bool = True,
     pieces: int = PIECES,
+    keep_nulls: bool = True,
 ) -> DataFrame:
-    """Add a rank of ``value`` inside ``group``; rows with a null value get null.
+    """Add a rank of ``value`` inside ``group``; rows with a null value get null
+    (or are left out with ``keep_nulls=False``).
 
     kind: ``dense``, ``min`` (competition) or ``pct`` (average rank of ties over
     the number of non-null values, as in a percent rank with averaged ties).
@@ -69,10 +71,43 @@ def with_rank(
     else:
         raise ValueError(f"unknown rank kind {kind!r}")
     columns = [*df.columns, out]
+    if not keep_nulls:
+        return ranked.select(*columns)
     empty = keyed.where(F.col("_k").isNull()).withColumn(out, F.lit(None).cast(ranked.schema[out].dataType))
     return ranked.select(*columns).unionByName(empty.select(*columns))
 
 
+def pct_ranks(
+    df: DataFrame, group: str, key: str, specs: Sequence[tuple[str, str, bool]], *, pieces: int = PIECES
+) -> DataFrame:
+    """Percent ranks of several columns in one pass.
+
+    specs: (value column, output column, descending). The values are stacked
+    into one long table whose rank group is (group, column), so the plan grows
+    with the number of columns, not exponentially. Hand in a staged ``df``: it
+    is read several times.
+    """
+    stacked = df.select(
+        group,
+        key,
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(out).alias("_what"), (F.col(v) * F.lit(-1.0 if desc else 1.0)).alias("_v"))
+                    for v, out, desc in specs
+                ]
+            )
+        ).alias("_s"),
+    ).select(group, key, "_s._what", "_s._v")
+    ranked = with_rank(
+        stacked.where(F.col("_v").isNotNull()), [group, "_what"], "_v", out="_r", kind="pct", descending=False, pieces=pieces, keep_nulls=False
+    )
+    wide = ranked.groupBy(group, key).agg(
+        *[F.max(F.when(F.col("_what") == out, F.col("_r"))).alias(out) for _, out, _ in specs]
+    )
+    return df.join(wide, [group, key], "left")
+
+
 def small_group_pct_rank(df: DataFrame, group: Sequence[str], value: str, *, out: str, descending: bool) -> DataFrame:
     """Percent rank with averaged ties for groups of bounded size (a selected portfolio)."""
     v = F.col(value)

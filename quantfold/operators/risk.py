@@ -15,13 +15,13 @@ aggregation by (as-of, stock).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfold.functions.exprs import clip, ladder, rounded
-from quantfold.functions.ranking import small_group_pct_rank, with_rank
+from quantfold.functions.ranking import pct_ranks, small_group_pct_rank
 from quantfold.tables import bounded
 
 HALF_YEAR = 126
@@ -69,10 +69,17 @@ def set_observations(panel: DataFrame, sets: DataFrame, windows: DataFrame) -> t
     return obs, lows
 
 
-def _pct(df: DataFrame, scope: Sequence[str], value: str, out: str, descending: bool) -> DataFrame:
-    if scope:
-        return small_group_pct_rank(df, ["grp"], value, out=out, descending=descending)
-    return with_rank(df, ["grp"], value, out=out, kind="pct", descending=descending)
+def _pct(df: DataFrame, scope: Sequence[str], specs: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """Percent ranks inside ``grp``; universe-sized groups are split, selected sets are ranked directly."""
+    if not scope:
+        return pct_ranks(df, "grp", "stock_id", specs)
+    for value, out, descending in specs:
+        df = small_group_pct_rank(df, ["grp"], value, out=out, descending=descending)
+    return df
+
+
+def _same(df: DataFrame) -> DataFrame:
+    return df
 
 
 def spike_starts(flags: Column) -> Column:
@@ -173,13 +180,16 @@ def _rolling_pairs(obs: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
-def responsiveness(obs: DataFrame, windows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def responsiveness(
+    obs: DataFrame, windows: DataFrame, scope: Sequence[str] = (), cut: Callable[[DataFrame], DataFrame] = _same
+) -> DataFrame:
     """Risk responsiveness (0-100) per (grp, stock): spike drawdown, beta compression, recovery, correlation drift.
 
     Windows shorter than 126 rows give the neutral 50. More than five names are
-    scored by percent rank, five or fewer by absolute maps.
+    scored by percent rank, five or fewer by absolute maps. ``cut`` may stage the
+    per-day market table and the per-stock components before they are ranked.
     """
-    regimes = market_regimes(obs, windows, scope)
+    regimes = cut(market_regimes(obs, windows, scope))
     pairs = _rolling_pairs(obs, scope)
     warm = F.col("row") < BETA_WINDOW - 1
     edge = F.col("row") == BETA_WINDOW - 1
@@ -233,13 +243,16 @@ def responsiveness(obs: DataFrame, windows: DataFrame, scope: Sequence[str] = ()
     merged = merged.withColumn("beta_compression", F.round("beta_compression", 12)).withColumn(
         "corr_drift", F.round("corr_drift", 12)
     )
-    for value, out, desc in (
-        ("spike_dd", "p_spike", False),
-        ("beta_compression", "p_beta", False),
-        ("corr_drift", "p_corr", False),
-        ("recovery_days", "p_rec", True),
-    ):
-        merged = _pct(merged, scope, value, out, desc)
+    merged = _pct(
+        cut(merged),
+        scope,
+        [
+            ("spike_dd", "p_spike", False),
+            ("beta_compression", "p_beta", False),
+            ("corr_drift", "p_corr", False),
+            ("recovery_days", "p_rec", True),
+        ],
+    )
     big = F.col("n_names") > 5
     spike = F.when(big, F.coalesce("p_spike", F.lit(0.5))).otherwise(clip(1 + F.col("spike_dd") / 0.10, 0, 1))
     sbeta = F.when(big, F.coalesce("p_beta", F.lit(0.5))).otherwise(clip(0.5 + F.col("beta_compression"), 0, 1))
@@ -329,9 +342,17 @@ def _regime_stress(obs: DataFrame, windows: DataFrame, scope: Sequence[str]) ->
 
 
 def stop_loss(
-    obs: DataFrame, windows: DataFrame, scope: Sequence[str] = (), error_bias: DataFrame | None = None
+    obs: DataFrame,
+    windows: DataFrame,
+    scope: Sequence[str] = (),
+    error_bias: DataFrame | None = None,
+    display: bool = True,
+    cut: Callable[[DataFrame], DataFrame] = _same,
 ) -> DataFrame:
-    """Stop-loss score (0-100, higher is riskier) with components per (grp, stock)."""
+    """Stop-loss score (0-100, higher is riskier) with components per (grp, stock).
+
+    ``display`` rounds scores to two and the drawdown to four decimals.
+    """
     w6 = F.least(F.lit(HALF_YEAR), F.col("hi_idx") - F.col("lo_idx") + 1)
     w12 = F.least(F.lit(YEAR), F.col("hi_idx") - F.col("lo_idx") + 1)
     base = windows.select("grp", "lo_idx", "hi_idx", (F.col("hi_idx") - w6 + 1).alias("i6"), (F.col("hi_idx") - w12 + 1).alias("i12"))
@@ -356,6 +377,7 @@ def stop_loss(
         .withColumn("dd", (F.col("price") - F.col("high")) / F.col("high"))
         .withColumn("z", F.try_divide(F.col("ret_now") - F.col("mean"), F.col("std")))
     )
+    feats = cut(feats)
     names = feats.groupBy("grp").agg(F.count(F.lit(1)).alias("n_names"))
     stress = _regime_stress(obs, windows, scope).join(names, "grp").select(
         "grp",
@@ -369,13 +391,15 @@ def stop_loss(
         .alias("regime_score"),
     )
     feats = feats.join(bounded(stress), "grp")
-    feats = _pct(_pct(feats, scope, "dd", "p_dd", True), scope, "z", "p_z", True)
+    ranks = [("dd", "p_dd", True), ("z", "p_z", True)]
     big = F.col("n_names") > 5
     if error_bias is not None:
         feats = feats.join(error_bias, ["grp", "stock_id"], "left").withColumn(
             "error_bias", F.coalesce("error_bias", F.lit(0.0))
         )
-        feats = _pct(feats, scope, "error_bias", "p_err", False)
+        ranks.append(("error_bias", "p_err", False))
+    feats = _pct(cut(feats), scope, ranks)
+    if error_bias is not None:
         err = F.when(big, F.col("p_err") * 100).otherwise(clip(F.col("error_bias") / 0.10 * 100, 0, 100))
     else:
         err = F.lit(0.0)
@@ -386,7 +410,7 @@ def stop_loss(
     mom = F.when((F.col("price") / F.col("p6") - 1 < 0) & (F.col("price") / F.col("p12") - 1 < 0), F.lit(100.0)).otherwise(
         F.lit(0.0)
     )
-    rrc = responsiveness(obs, windows, scope).select("grp", "stock_id", "rrc_score")
+    rrc = responsiveness(obs, windows, scope, cut).select("grp", "stock_id", "rrc_score")
     scored = (
         feats.withColumn("dd_score", dd_score)
         .withColumn("var_score", var_score)
@@ -403,19 +427,16 @@ def stop_loss(
     )
     sls = clip(0.90 * raw + 0.10 * (100.0 - F.coalesce("rrc_score", F.lit(NEUTRAL))), 0, 100)
     annual = F.coalesce(F.col("std") * F.lit(math.sqrt(252)), F.lit(0.15))
-    return scored.withColumn("_sls", sls).select(
+    two, four = (2, 4) if display else (9, 9)
+    return scored.withColumn("_sls", F.round(sls, 9)).select(
         "grp",
         "stock_id",
-        rounded("_sls", 2).alias("stop_loss_score"),
+        rounded("_sls", two).alias("stop_loss_score"),
         ladder("_sls", RISK_LEVELS, "Low").alias("risk_level"),
         ladder("_sls", ACTIONS, "Hold").alias("recommended_action"),
-        rounded(F.col("high") * (1 - clip(2.5 * annual, 0.05, 0.30)), 2).alias("trigger_threshold"),
-        rounded("dd", 4).alias("raw_drawdown"),
-        rounded("dd_score", 2).alias("dd_score"),
-        rounded("var_score", 2).alias("var_score"),
-        rounded("mom_score", 2).alias("mom_score"),
-        rounded("err_score", 2).alias("err_score"),
-        rounded("regime_score", 2).alias("regime_score"),
+        rounded(F.col("high") * (1 - clip(2.5 * annual, 0.05, 0.30)), two).alias("trigger_threshold"),
+        rounded("dd", four).alias("raw_drawdown"),
+        *[rounded(c, two).alias(c) for c in ("dd_score", "var_score", "mom_score", "err_score", "regime_score")],
     )
 
 
@@ -436,3 +457,71 @@ def profiles(scores: DataFrame, requested: DataFrame) -> DataFrame:
         "err_score",
         "regime_score",
     )
+
+
+def own_market_responsiveness(cut: DataFrame) -> DataFrame:
+    """Responsiveness of single stocks, each its own market (beta and correlation are 1 throughout).
+
+    cut(grp, stock_id, idx, close, ret, ...): every stock's rows inside its look-back.
+    The spike and recovery parts run per stock; nothing is broadcast, because
+    there are as many groups as stocks.
+    """
+    part = Window.partitionBy("grp")
+    order = part.orderBy("idx")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = (
+        cut.withColumn("row", F.row_number().over(order) - 1)
+        .withColumn("n", F.count(F.lit(1)).over(part))
+        .withColumn("r", F.when(F.col("row") == 0, F.lit(0.0)).otherwise(F.coalesce("ret", F.lit(0.0))))
+        .withColumn("vol30", F.when(F.col("row") >= 29, F.stddev_samp("r").over(order.rowsBetween(-29, 0))))
+        .withColumn("hi", F.coalesce(F.col("vol30") > F.percentile("vol30", F.lit(0.75)).over(part), F.lit(False)))
+        .withColumn("onset", F.col("hi") & ~F.coalesce(F.lag("hi").over(order), F.lit(True)))
+        .withColumn("next10", F.collect_list("close").over(order.rowsBetween(0, 9)))
+        .withColumn("peak", F.max(F.when(F.col("row") >= F.col("n") - YEAR, F.col("close"))).over(upto))
+        .withColumn(
+            "dd", F.when(F.col("row") >= F.col("n") - YEAR, (F.col("close") - F.col("peak")) / F.col("peak"))
+        )
+        .withColumn("worst", F.min("dd").over(part))
+        .withColumn("trough", F.min(F.when(F.col("dd") == F.col("worst"), F.col("row"))).over(part))
+    )
+    deepest = F.aggregate(
+        "next10",
+        F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("d")),
+        lambda a, x: F.struct(
+            F.greatest(a["p"], x).alias("p"), F.least(a["d"], (x - F.greatest(a["p"], x)) / F.greatest(a["p"], x)).alias("d")
+        ),
+        lambda a: a["d"],
+    )
+    spikes = F.map_from_entries(F.collect_list(F.when(F.col("onset"), F.struct("row", deepest.alias("d")))))
+    out = rows.groupBy("grp", "stock_id").agg(
+        F.max("n").alias("n_rows"),
+        spikes.alias("by_row"),
+        spike_starts(F.collect_list(F.when(F.col("onset"), F.col("row")))).alias("starts"),
+        F.max("worst").alias("worst"),
+        F.max("trough").alias("trough"),
+        F.min(
+            F.when((F.col("row") >= F.col("trough")) & (F.col("dd") >= F.col("worst") / 2), F.col("row"))
+        ).alias("back"),
+    )
+    total = F.aggregate(
+        F.transform("starts", lambda s: F.element_at("by_row", s)), F.lit(0.0), lambda a, x: a + x
+    )
+    spike_dd = F.coalesce(F.try_divide(total, F.size("starts")), F.lit(0.0))
+    taken = F.coalesce((F.col("back") - F.col("trough") + 1).cast("double"), F.lit(float(YEAR)))
+    rec = F.when(F.col("worst") < -0.05, taken).otherwise(F.lit(0.0))
+    score = 100 * (
+        0.30 * clip(1 + F.col("spike_dd") / 0.10, 0, 1)
+        + 0.25 * 0.5
+        + 0.25 * clip(1 - F.col("recovery_days") / 60.0, 0, 1)
+        + 0.20 * 0.5
+    )
+    return (
+        out.withColumn("spike_dd", spike_dd)
+        .withColumn("recovery_days", rec)
+        .select(
+            "stock_id",
+            F.when(F.col("n_rows") < HALF_YEAR, F.lit(NEUTRAL)).otherwise(clip(score, 0, 100)).alias("rrc_score"),
+            "spike_dd",
+            "recovery_days",
+        )
+    )
