@@ -28,7 +28,7 @@ def rank_pct(col: str, desc: bool = False) -> str:
 def rrc_ctes(tag: str) -> None:
     """c_<tag>_rrc(grp, stock_id, rrc_score, spike_dd, beta_compression, recovery_days, corr_drift)."""
     cte(f"c_{tag}_m", f"SELECT grp, idx, rw, avg(coalesce(ret, 0)) AS m FROM c_{tag}_g GROUP BY 1, 2, 3")
-    cte(f"c_{tag}_v", f"""SELECT *, CASE WHEN rw >= 29 THEN stddev_samp(m) OVER (PARTITION BY grp ORDER BY idx ROWS 29 PRECEDING) END AS v FROM c_{tag}_m""")
+    cte(f"c_{tag}_v", f"""SELECT *, CASE WHEN rw >= 29 THEN round(stddev_samp(m) OVER (PARTITION BY grp ORDER BY idx ROWS 29 PRECEDING), 12) END AS v FROM c_{tag}_m""")
     cte(f"c_{tag}_f", f"""SELECT *, hi AND NOT coalesce(lag(hi) OVER (PARTITION BY grp ORDER BY idx), true) AS onset FROM (
         SELECT v.*, coalesce(v.v > t.q, false) AS hi FROM c_{tag}_v v JOIN (SELECT grp, quantile_cont(v, 0.75) AS q FROM c_{tag}_v GROUP BY 1) t ON t.grp = v.grp)""")
     cte(f"c_{tag}_sp", f"""SELECT grp, unnest(s[greatest(len(s) - 2, 1):]) AS s_idx FROM (SELECT grp, list_reduce(l, lambda a, x:
@@ -108,12 +108,12 @@ cte("c_bias", "SELECT b.reb_no AS grp, s.stock_id, s.momentum_score / 100 AS err
 sls_ctes("s4", "c_bias")
 
 COMP = ("dd_score", "var_score", "mom_score", "err_score", "regime_score")
-PROFILE = f"""{r('s')} AS stop_loss_score, risk_level, recommended_action, {r('trig')} AS trigger_threshold, {r('dd')} AS raw_drawdown,
+PROFILE = f"""{r('s')} AS stop_loss_score, risk_level, recommended_action, {r('trig + 1e-9')} AS trigger_threshold, {r('dd')} AS raw_drawdown,
     {', '.join(f"{r(c)} AS {c}" for c in COMP)}"""
 q("stop_loss_scores", f"SELECT grp, stock_id, {PROFILE} FROM c_s4_sls")
 q("stop_loss_with_error_bias", f"SELECT grp, stock_id, {r('err_score')} AS err_score, {r('s')} AS stop_loss_score, risk_level FROM c_s4b_sls")
 q("stop_loss_profiles", f"""SELECT g.grp, t.stock_id, {r('coalesce(s, 0)')} AS stop_loss_score, coalesce(risk_level, 'Unknown') AS risk_level,
-    coalesce(recommended_action, 'Hold') AS recommended_action, {r('coalesce(trig, 0)')} AS trigger_threshold, {r('coalesce(dd, 0)')} AS raw_drawdown,
+    coalesce(recommended_action, 'Hold') AS recommended_action, {r('coalesce(trig, 0) + 1e-9')} AS trigger_threshold, {r('coalesce(dd, 0)')} AS raw_drawdown,
     {', '.join(f"{r(c)} AS {c}" for c in COMP)} FROM c_stocks t CROSS JOIN (SELECT max(reb_no) AS grp FROM c_reb) g
     LEFT JOIN c_s4_sls s ON s.grp = g.grp AND s.stock_id = t.stock_id""")
 cte("c_sec_sets", """SELECT w.portfolio AS grp, w.stock_id, greatest(s.lo, (SELECT min(f) FROM c_first)) AS lo, s.hi FROM c_w_user w JOIN c_spans_403 s ON s.grp = w.reb_no

@@ -94,6 +94,19 @@ def spike_starts(flags: Column) -> Column:
     return F.when(F.size(accepted) > 3, F.slice(accepted, -3, 3)).otherwise(accepted)
 
 
+def deepest_drawdown(values: str) -> Column:
+    """Most negative drop from the running peak inside an array of prices."""
+    return F.aggregate(
+        values,
+        F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("d")),
+        lambda a, x: F.struct(
+            F.greatest(a["p"], x).alias("p"),
+            F.least(a["d"], (x - F.greatest(a["p"], x)) / F.greatest(a["p"], x)).alias("d"),
+        ),
+        lambda a: a["d"],
+    )
+
+
 def market_regimes(obs: DataFrame, windows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Per (grp, day): equal-weight market sum, 30-day volatility flag and row number in the window.
 
@@ -115,7 +128,11 @@ def market_regimes(obs: DataFrame, windows: DataFrame, scope: Sequence[str] = ()
         .withColumn("s", F.when(F.col("row") == 0, F.lit(0.0)).otherwise(F.coalesce("s", F.lit(0.0))))
         .withColumn(
             "vol30",
-            F.when(F.col("row") >= 29, F.stddev_samp(F.col("s") / F.col("n_names")).over(w.rowsBetween(-29, 0))),
+            F.when(
+                F.col("row") >= 29,
+                # rounding keeps equal volatilities equal on flat stretches
+                F.round(F.stddev_samp(F.col("s") / F.col("n_names")).over(w.rowsBetween(-29, 0)), 12),
+            ),
         )
     )
     q = F.percentile("vol30", F.lit(0.75)).over(Window.partitionBy("grp"))
@@ -473,7 +490,9 @@ def own_market_responsiveness(cut: DataFrame) -> DataFrame:
         cut.withColumn("row", F.row_number().over(order) - 1)
         .withColumn("n", F.count(F.lit(1)).over(part))
         .withColumn("r", F.when(F.col("row") == 0, F.lit(0.0)).otherwise(F.coalesce("ret", F.lit(0.0))))
-        .withColumn("vol30", F.when(F.col("row") >= 29, F.stddev_samp("r").over(order.rowsBetween(-29, 0))))
+        .withColumn(
+            "vol30", F.when(F.col("row") >= 29, F.round(F.stddev_samp("r").over(order.rowsBetween(-29, 0)), 12))
+        )
         .withColumn("hi", F.coalesce(F.col("vol30") > F.percentile("vol30", F.lit(0.75)).over(part), F.lit(False)))
         .withColumn("onset", F.col("hi") & ~F.coalesce(F.lag("hi").over(order), F.lit(True)))
         .withColumn("next10", F.collect_list("close").over(order.rowsBetween(0, 9)))
@@ -484,14 +503,7 @@ def own_market_responsiveness(cut: DataFrame) -> DataFrame:
         .withColumn("worst", F.min("dd").over(part))
         .withColumn("trough", F.min(F.when(F.col("dd") == F.col("worst"), F.col("row"))).over(part))
     )
-    deepest = F.aggregate(
-        "next10",
-        F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("d")),
-        lambda a, x: F.struct(
-            F.greatest(a["p"], x).alias("p"), F.least(a["d"], (x - F.greatest(a["p"], x)) / F.greatest(a["p"], x)).alias("d")
-        ),
-        lambda a: a["d"],
-    )
+    deepest = deepest_drawdown("next10")
     spikes = F.map_from_entries(F.collect_list(F.when(F.col("onset"), F.struct("row", deepest.alias("d")))))
     out = rows.groupBy("grp", "stock_id").agg(
         F.max("n").alias("n_rows"),

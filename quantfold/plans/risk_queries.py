@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from quantfold.operators import risk
 from quantfold.plans.market import Market
 from quantfold.plans.registry import query, tidy
-from quantfold.sources import market as src  # noqa: F401
+from quantfold.plans.core_queries import TIE_BREAK
+
+
+def steady(df: DataFrame) -> DataFrame:
+    return tidy(df.withColumn("trigger_threshold", F.col("trigger_threshold") + F.lit(TIE_BREAK)))
 
 
 def rebalance_as_of(m: Market) -> DataFrame:
@@ -37,7 +41,7 @@ def universe_sls(m: Market) -> DataFrame:
 @query("stop_loss_scores", "K1 K1a K1b K1c K1e K1f K1g W7 W17 A4 A9")
 def stop_loss_scores(m: Market) -> DataFrame:
     """Every stock at every rebalance date, ranked against the whole universe."""
-    return tidy(universe_sls(m))
+    return steady(universe_sls(m))
 
 
 def stock_error_bias(m: Market) -> DataFrame:
@@ -61,7 +65,7 @@ def stop_loss_profiles(m: Market) -> DataFrame:
     """Profiles at the last rebalance of every supplier, with the Unknown default."""
     last = m.rebalances.agg(F.max("reb_no").alias("grp"))
     wanted = m.stocks.select("stock_id").join(F.broadcast(last))
-    return tidy(risk.profiles(universe_sls(m), wanted))
+    return steady(risk.profiles(universe_sls(m), wanted))
 
 
 @query("sector_set_stop_loss", "K1 K2")
@@ -76,7 +80,7 @@ def sector_set_stop_loss(m: Market) -> DataFrame:
     windows = sets.select("grp").distinct().join(F.broadcast(span.drop("grp")))
     obs, cut = risk.set_observations(m.panel, sets, windows)
     obs, cut = m.stage.cut(obs), m.stage.cut(cut)
-    return tidy(risk.stop_loss(obs, cut, scope=("grp",), display=False, cut=m.stage.cut))
+    return steady(risk.stop_loss(obs, cut, scope=("grp",), display=False, cut=m.stage.cut))
 
 
 @query("stock_responsiveness", "K3 W14 W16 W18 W19 W20 J20")
