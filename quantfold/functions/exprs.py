@@ -31,8 +31,10 @@ def no_nan(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def rounded(c: Column | str, digits: int = 6) -> Column:
-    """Round and drop the sign of zero."""
+def rounded(c: Column | str, digits: int | None = 6) -> Column:
+    """Round and drop the sign of zero; ``None`` leaves the value as it is."""
+    if digits is None:
+        return col(c)
     return F.round(col(c), digits) + F.lit(0.0)
 
 

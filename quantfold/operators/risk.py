@@ -444,7 +444,7 @@ def stop_loss(
     )
     sls = clip(0.90 * raw + 0.10 * (100.0 - F.coalesce("rrc_score", F.lit(NEUTRAL))), 0, 100)
     annual = F.coalesce(F.col("std") * F.lit(math.sqrt(252)), F.lit(0.15))
-    two, four = (2, 4) if display else (9, 9)
+    two, four = (2, 4) if display else (None, None)
     return scored.withColumn("_sls", F.round(sls, 9)).select(
         "grp",
         "stock_id",
@@ -537,3 +537,74 @@ def own_market_responsiveness(cut: DataFrame) -> DataFrame:
             "recovery_days",
         )
     )
+
+
+def own_market_stop_loss(cut: DataFrame, display: bool = True) -> DataFrame:
+    """Stop-loss profile of single stocks, each scored alone with the absolute maps.
+
+    cut(grp, stock_id, idx, close, ret): every stock's rows inside its look-back.
+    """
+    part = Window.partitionBy("grp")
+    order = part.orderBy("idx")
+    rows = (
+        cut.withColumn("row", F.row_number().over(order) - 1)
+        .withColumn("n", F.count(F.lit(1)).over(part))
+        .withColumn("back", F.col("n") - 1 - F.col("row"))
+        .withColumn("r", F.when(F.col("row") > 0, F.col("ret")))
+        .withColumn("w6", F.least(F.lit(HALF_YEAR), F.col("n")))
+        .withColumn("v20", F.when(F.col("row") >= 20, F.stddev_samp("r").over(order.rowsBetween(-19, 0))))
+        .withColumn(
+            "v126",
+            F.when(
+                (F.col("w6") == HALF_YEAR) & (F.col("row") >= HALF_YEAR),
+                F.stddev_samp("r").over(order.rowsBetween(-(HALF_YEAR - 1), 0)),
+            ),
+        )
+    )
+    recent = F.col("back") < HALF_YEAR
+    f = rows.groupBy("grp", "stock_id").agg(
+        F.max("n").alias("n"),
+        F.max_by("close", "idx").alias("price"),
+        F.max(F.when(recent, F.col("close"))).alias("high"),
+        F.max_by("r", "idx").alias("ret_now"),
+        F.avg(F.when(recent, F.col("r"))).alias("mean"),
+        F.stddev_samp(F.when(recent, F.col("r"))).alias("std"),
+        F.max(F.when(F.col("back") == F.least(F.lit(HALF_YEAR), F.col("n")) - 1, F.col("close"))).alias("p6"),
+        F.max(F.when(F.col("back") == F.least(F.lit(YEAR), F.col("n")) - 1, F.col("close"))).alias("p12"),
+        F.max_by("v20", "idx").alias("v20"),
+        F.median("v126").alias("v126"),
+    )
+    z = F.try_divide(F.col("ret_now") - F.col("mean"), F.col("std"))
+    dd = (F.col("price") - F.col("high")) / F.col("high")
+    f = (
+        f.withColumn("dd", dd)
+        .withColumn("dd_score", clip(F.abs("dd") / 0.15 * 100, 0, 100))
+        .withColumn("var_score", F.coalesce(F.when(z < 0, clip(F.abs(z) / 3.0 * 100, 0, 100)), F.lit(0.0)))
+        .withColumn(
+            "mom_score",
+            F.when((F.col("price") / F.col("p6") < 1) & (F.col("price") / F.col("p12") < 1), F.lit(100.0)).otherwise(
+                F.lit(0.0)
+            ),
+        )
+        .withColumn("err_score", F.lit(0.0))
+        .withColumn(
+            "regime_score",
+            F.when((F.col("n") - 1 >= MONTH) & (F.col("v20") > 2.0 * F.col("v126")), F.lit(100.0)).otherwise(F.lit(0.0)),
+        )
+        .join(own_market_responsiveness(cut).select("stock_id", "rrc_score"), "stock_id", "left")
+    )
+    raw = (
+        W_DD * F.col("dd_score") + W_VAR * F.col("var_score") + W_MOM * F.col("mom_score") + W_REGIME * F.col("regime_score")
+    )
+    sls = clip(0.90 * raw + 0.10 * (100.0 - F.coalesce("rrc_score", F.lit(NEUTRAL))), 0, 100)
+    annual = F.coalesce(F.col("std") * F.lit(math.sqrt(252)), F.lit(0.15))
+    two, four = (2, 4) if display else (None, None)
+    return f.withColumn("_sls", F.round(sls, 9)).select(
+        "stock_id",
+        rounded("_sls", two).alias("stop_loss_score"),
+        ladder("_sls", RISK_LEVELS, "Low").alias("risk_level"),
+        ladder("_sls", ACTIONS, "Hold").alias("recommended_action"),
+        rounded(F.col("high") * (1 - clip(2.5 * annual, 0.05, 0.30)), two).alias("trigger_threshold"),
+        rounded("dd", four).alias("raw_drawdown"),
+        *[rounded(c, two).alias(c) for c in ("dd_score", "var_score", "mom_score", "err_score", "regime_score")],
+    )
