@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core_sql", "risk_sql", "rating_sql", "view_sql", "hybrid_sql", "error_sql", "research_sql")
+MODULES = ("core_sql", "risk_sql", "rating_sql", "view_sql", "hybrid_sql", "error_sql", "research_sql", "store_sql")
 
 
 def all_statements() -> dict[str, str]:

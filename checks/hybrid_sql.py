@@ -61,8 +61,8 @@ def hybrid_ctes(tag: str, pool: str, n: int, sls_sets: bool = True) -> None:
 
 def layer(tag: str, sls: str) -> None:
     cte(f"c_{tag}_w", f"""SELECT grp, stock_id, pick, score, vol, adj, w1 / sum(w1) OVER (PARTITION BY grp) AS weight FROM (
-        SELECT w.*, CASE WHEN round(s.s, 2) > 60 THEN 1 ELSE 0 END AS adj,
-          weight * CASE WHEN round(s.s, 2) > 75 THEN 0 WHEN round(s.s, 2) > 60 THEN 0.5 ELSE 1 END AS w1
+        SELECT w.*, CASE WHEN round(s.s + 1e-9, 2) > 60 THEN 1 ELSE 0 END AS adj,
+          weight * CASE WHEN round(s.s + 1e-9, 2) > 75 THEN 0 WHEN round(s.s + 1e-9, 2) > 60 THEN 0.5 ELSE 1 END AS w1
         FROM c_{tag}_w0 w LEFT JOIN {sls} s ON s.grp = w.grp AND s.stock_id = w.stock_id) WHERE w1 > 0""")
 
 

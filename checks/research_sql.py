@@ -34,15 +34,18 @@ cte("c_an_pre", """SELECT grp, n, stock_id, position, t / sum(t) OVER (PARTITION
     CASE WHEN max(score) OVER (PARTITION BY grp, n) > min(score) OVER (PARTITION BY grp, n) THEN (score - min(score) OVER (PARTITION BY grp, n)) /
       (max(score) OVER (PARTITION BY grp, n) - min(score) OVER (PARTITION BY grp, n)) ELSE 0.5 END) AS t FROM (
     SELECT h.*, least(10, total) + 2 * k.k AS n FROM c_an_held h JOIN (SELECT range AS k FROM range(11)) k ON least(10, total) + 2 * k.k <= least(30, total)) WHERE position <= n)""")
-cte("c_an_rows", "SELECT t.* FROM c_tr_all t JOIN c_an_w w ON w.grp = t.grp AND w.stock_id = t.stock_id")
+cte("c_an_some", "SELECT t.* FROM c_tr_all t JOIN c_an_w w ON w.grp = t.grp AND w.stock_id = t.stock_id")
+cte("c_an_rows", """SELECT s.* FROM c_an_some s JOIN (SELECT grp, count(*) AS k FROM c_an_w GROUP BY 1) n ON n.grp = s.grp
+    QUALIFY count(*) OVER (PARTITION BY s.grp, s.idx) = any_value(n.k) OVER (PARTITION BY s.grp, s.idx)""")
 shrink_cte("c_an_shr", "c_an_rows", 252)
-cte("c_an_cov", """SELECT a.grp, a.stock_id AS i, b.stock_id AS j, covar_samp(a.ret, b.ret) AS cv, corr(a.ret, b.ret) AS cr
-    FROM c_an_rows a JOIN c_an_rows b ON a.grp = b.grp AND a.idx = b.idx GROUP BY 1, 2, 3""")
+cte("c_an_cov", """SELECT a.grp, a.stock_id AS i, b.stock_id AS j, covar_samp(a.ret, b.ret) AS cv, any_value(p.cr) AS cr
+    FROM c_an_rows a JOIN c_an_rows b ON a.grp = b.grp AND a.idx = b.idx JOIN (SELECT a.grp, a.stock_id AS i, b.stock_id AS j, corr(a.ret, b.ret) AS cr
+      FROM c_an_some a JOIN c_an_some b ON a.grp = b.grp AND a.idx = b.idx GROUP BY 1, 2, 3) p ON p.grp = a.grp AND p.i = a.stock_id AND p.j = b.stock_id GROUP BY 1, 2, 3""")
 cte("c_an_mom", """SELECT c.grp, x.n, sqrt(252 * sum(x.weight * y.weight * (0.8 * cv + CASE WHEN i = j THEN 0.2 * av ELSE 0 END))) AS ev, avg(abs(cr)) FILTER (WHERE i < j) AS ac
     FROM c_an_cov c JOIN (SELECT grp, avg(cv) AS av FROM c_an_cov WHERE i = j GROUP BY 1) a ON a.grp = c.grp
     JOIN c_an_pre x ON x.grp = c.grp AND x.stock_id = c.i JOIN c_an_pre y ON y.grp = c.grp AND y.stock_id = c.j AND y.n = x.n GROUP BY 1, 2""")
 cte("c_an_agg", """SELECT p.grp, p.n, sum(p.weight * m.mu) AS er, CASE WHEN count(*) >= 3 THEN sum(p.weight) FILTER (WHERE p.k <= 3) ELSE 1.0 END AS top3,
-    coalesce(sum(p.weight * round(s.s, 2)), 50) AS sls_agg, coalesce(sum(p.weight * x.rrc_score), 50) AS rrc_agg
+    coalesce(sum(p.weight * round(s.s + 1e-9, 2)), 50) AS sls_agg, coalesce(sum(p.weight * x.rrc_score), 50) AS rrc_agg
     FROM (SELECT *, row_number() OVER (PARTITION BY grp, n ORDER BY weight DESC, stock_id) AS k FROM c_an_pre) p JOIN c_an_shr m ON m.grp = p.grp AND m.stock_id = p.stock_id
     LEFT JOIN c_n4_sls s ON s.grp = p.grp AND s.stock_id = p.stock_id LEFT JOIN c_n5_rrc x ON x.grp = p.grp AND x.stock_id = p.stock_id GROUP BY 1, 2""")
 rs.spans_cte("c_spans_288", 288)

@@ -46,14 +46,15 @@ def evaluate(
     long_returns: the 180-day block for the stability estimate; sls, rrc: scores of the pool.
     """
     names = weights.select("grp", "stock_id").distinct()
-    rows = est.complete_rows(returns.join(names, ["grp", "stock_id"], "left_semi")).select("grp", "stock_id", "idx", "ret")
+    some = returns.join(names, ["grp", "stock_id"], "left_semi")
+    rows = est.complete_rows(some).select("grp", "stock_id", "idx", "ret")
     vol = est.portfolio_moments(rows, weights.select("grp", "n", "stock_id", "weight"), ["n"])
     mu = est.shrunk_returns(rows, annualize=252).select("grp", "stock_id", "mu")
     exp_ret = mu.join(weights, ["grp", "stock_id"]).groupBy("grp", "n").agg(
         F.sum(F.col("mu") * F.col("weight")).alias("expected_return")
     )
     order = weights.groupBy("grp", "stock_id").agg(F.min("position").alias("position"))
-    corr = est.correlation_profile(rows, order).withColumnRenamed("k", "n")
+    corr = est.correlation_profile(some, order).withColumnRenamed("k", "n")
     top = Window.partitionBy("grp", "n").orderBy(F.desc("weight"), "stock_id")
     scored = (
         weights.withColumn("_k", F.row_number().over(top))

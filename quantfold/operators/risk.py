@@ -448,7 +448,7 @@ def stop_loss(
     return scored.withColumn("_sls", F.round(sls, 9)).select(
         "grp",
         "stock_id",
-        rounded("_sls", two).alias("stop_loss_score"),
+        rounded(F.col("_sls") + F.lit(1e-9 if display else 0.0), two).alias("stop_loss_score"),  # ties go up
         ladder("_sls", RISK_LEVELS, "Low").alias("risk_level"),
         ladder("_sls", ACTIONS, "Hold").alias("recommended_action"),
         rounded(F.col("high") * (1 - clip(2.5 * annual, 0.05, 0.30)), two).alias("trigger_threshold"),
@@ -601,7 +601,7 @@ def own_market_stop_loss(cut: DataFrame, display: bool = True) -> DataFrame:
     two, four = (2, 4) if display else (None, None)
     return f.withColumn("_sls", F.round(sls, 9)).select(
         "stock_id",
-        rounded("_sls", two).alias("stop_loss_score"),
+        rounded(F.col("_sls") + F.lit(1e-9 if display else 0.0), two).alias("stop_loss_score"),  # ties go up
         ladder("_sls", RISK_LEVELS, "Low").alias("risk_level"),
         ladder("_sls", ACTIONS, "Hold").alias("recommended_action"),
         rounded(F.col("high") * (1 - clip(2.5 * annual, 0.05, 0.30)), two).alias("trigger_threshold"),

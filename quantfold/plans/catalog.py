@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantfold.plans.registry import COVERS, QUERIES, runnable
 
-MODULES = ("core_queries", "risk_queries", "rating_queries", "view_queries", "hybrid_queries", "error_queries", "research_queries")
+MODULES = ("core_queries", "risk_queries", "rating_queries", "view_queries", "hybrid_queries", "error_queries", "research_queries", "store_queries")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
