@@ -25,7 +25,7 @@ def stability_ctes(tag: str, curve: str, turn: str | None = None, corr: str | No
     cte(f"c_{tag}_ry", f"""SELECT *, max(c) OVER (PARTITION BY portfolio, rn ORDER BY k ROWS UNBOUNDED PRECEDING) AS pk FROM c_{tag}_rx""")
     cte(f"c_{tag}_roll", f"""SELECT portfolio, date, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS rolling_sharpe,
         pow(arg_max(c, k), 252.0 / any_value(w)) - 1 AS rolling_cagr, min((c - pk) / pk) AS rolling_maxdd FROM c_{tag}_ry GROUP BY portfolio, date""")
-    cte(f"c_{tag}_v", f"""SELECT *, CASE WHEN count(r) OVER f >= 10 THEN stddev_samp(r) OVER f END AS v FROM c_{tag}_n
+    cte(f"c_{tag}_v", f"""SELECT *, CASE WHEN count(r) OVER f >= 10 THEN round(stddev_samp(r) OVER f, 12) END AS v FROM c_{tag}_n
         WINDOW f AS (PARTITION BY portfolio ORDER BY date ROWS 19 PRECEDING)""")
     cte(f"c_{tag}_rg", f"""SELECT v.portfolio, count(*) AS n_days,
         coalesce(avg(r) FILTER (WHERE v >= md) / nullif(stddev_samp(r) FILTER (WHERE v >= md), 0) * sqrt(252), 0) AS sh,
@@ -82,9 +82,9 @@ def regime_cagr_cte(name: str, curve: str) -> None:
       SELECT portfolio, any_value(md) AS md, count(*) FILTER (WHERE hi) AS nh, count(*) FILTER (WHERE NOT hi) AS nl,
         product(1 + r) FILTER (WHERE hi) AS ph, product(1 + r) FILTER (WHERE NOT hi) AS pl FROM (
         SELECT v.portfolio, daily_return AS r, md, coalesce(v >= md, false) AS hi FROM (
-          SELECT *, CASE WHEN count(daily_return) OVER f >= 10 THEN stddev_samp(daily_return) OVER f END AS v FROM {curve}
+          SELECT *, CASE WHEN count(daily_return) OVER f >= 10 THEN round(stddev_samp(daily_return) OVER f, 12) END AS v FROM {curve}
           WINDOW f AS (PARTITION BY portfolio ORDER BY date ROWS 29 PRECEDING)) v JOIN (SELECT portfolio, median(v) AS md FROM (
-          SELECT *, CASE WHEN count(daily_return) OVER f >= 10 THEN stddev_samp(daily_return) OVER f END AS v FROM {curve}
+          SELECT *, CASE WHEN count(daily_return) OVER f >= 10 THEN round(stddev_samp(daily_return) OVER f, 12) END AS v FROM {curve}
           WINDOW f AS (PARTITION BY portfolio ORDER BY date ROWS 29 PRECEDING)) GROUP BY 1) t ON t.portfolio = v.portfolio) GROUP BY 1)""")
 
 

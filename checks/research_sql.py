@@ -74,8 +74,10 @@ q("auto_n_due", """SELECT as_of, last_run, last_run IS NULL OR as_of > last_run
     SELECT reb_date AS as_of, unnest([lag(reb_date, 2) OVER w, lead(reb_date, 3) OVER w]) AS last_run FROM c_reb WINDOW w AS (ORDER BY reb_date))""")
 
 # --- meta ---
-cte("c_mo_g", """SELECT 1 AS grp, portfolio AS stock_id, 1 AS lo, idx - min(idx) OVER () AS rw, (SELECT max(idx) FROM c_us_curve) AS hi, idx,
-    cumulative_return + 1 AS close, CASE WHEN row_number() OVER (PARTITION BY portfolio ORDER BY idx) > 1 THEN daily_return END AS ret FROM c_us_curve""")
+cte("c_mo_g", """SELECT 1 AS grp, p.portfolio AS stock_id, 1 AS lo, d.idx - min(d.idx) OVER () AS rw, max(d.idx) OVER () AS hi, d.idx,
+    c.cumulative_return + 1 AS close, CASE WHEN c.date > p.d0 THEN c.daily_return END AS ret
+    FROM (SELECT portfolio, min(date) AS d0 FROM c_us_curve GROUP BY 1) p CROSS JOIN (SELECT DISTINCT idx FROM c_us_curve) d
+    LEFT JOIN c_us_curve c ON c.portfolio = p.portfolio AND c.idx = d.idx""")
 rs.rrc_ctes("mo")
 rs.sls_ctes("mo")
 cte("c_msc", "SELECT s.stock_id AS portfolio, s.s AS sls, p.rrc_score AS rrc FROM c_mo_sls s JOIN c_pr_prrc p ON p.portfolio = s.stock_id")

@@ -86,9 +86,14 @@ def _sharpe(mask: Column | None = None) -> Column:
 
 
 def regime_rows(curve: DataFrame, window: int, min_rows: int = 10) -> DataFrame:
-    """Curve rows with the rolling volatility and its median per portfolio."""
+    """Curve rows with the rolling volatility and its median per portfolio.
+
+    Rounding keeps equal volatilities equal on flat stretches.
+    """
     order = Window.partitionBy("portfolio").orderBy("date").rowsBetween(-(window - 1), 0)
-    vol = F.when(F.count("daily_return").over(order) >= min_rows, F.stddev_samp("daily_return").over(order))
+    vol = F.when(
+        F.count("daily_return").over(order) >= min_rows, F.round(F.stddev_samp("daily_return").over(order), 12)
+    )
     return curve.select("portfolio", "date", "daily_return").withColumn("vol", vol).withColumn(
         "median_vol", F.median("vol").over(Window.partitionBy("portfolio"))
     )

@@ -3,8 +3,20 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "DATE": T.DateType(),
+    "BOOLEAN": T.BooleanType(),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Column list to a schema without needing a session."""
+    pairs = [field.split() for field in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 STOCKS = _schema("stock_id BIGINT, symbol STRING, name STRING, sector STRING, market_cap DOUBLE")
