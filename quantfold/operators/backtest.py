@@ -25,7 +25,7 @@ def period_returns(weights: DataFrame, periods: DataFrame, panel: DataFrame) ->
     price in the period.
     """
     on = ["portfolio", "reb_no"] if "portfolio" in periods.columns else ["reb_no"]
-    days = weights.join(F.broadcast(periods.select(*on, "reb_idx", "end_idx")), on).select(
+    days = weights.join(periods.select(*on, "reb_idx", "end_idx"), on).select(
         "portfolio",
         "reb_no",
         "stock_id",
@@ -103,7 +103,7 @@ def volatility_target(returns: DataFrame, targets: DataFrame) -> DataFrame:
     ).otherwise(F.col("daily_return"))
     return (
         returns.withColumn("_vol", vol)
-        .join(F.broadcast(targets), "portfolio", "left")
+        .join(targets, "portfolio", "left")
         .withColumn("daily_return", scaled)
         .drop("_vol", "target_vol")
     )
@@ -216,7 +216,7 @@ def average_pairwise_correlation(weights: DataFrame, curve: DataFrame, panel: Da
     stock, over that class's days.
     """
     span = curve.groupBy("portfolio").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    held = weights.select("portfolio", "stock_id").distinct().join(F.broadcast(span), "portfolio")
+    held = weights.select("portfolio", "stock_id").distinct().join(span, "portfolio")
     first = panel.groupBy("stock_id").agg(F.min("idx").alias("first_idx"))
     usable = held.join(first, "stock_id").withColumn("v", F.greatest(F.col("lo"), F.col("first_idx")) + 1)
     classes = usable.select("portfolio", F.col("v").alias("c")).distinct()

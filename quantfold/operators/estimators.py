@@ -30,7 +30,7 @@ def trailing_returns(names: DataFrame, panel: DataFrame, spans: DataFrame, lookb
     names(grp, stock_id), spans(grp, lo_idx, hi_idx). The first day of the window has no return.
     """
     first = F.greatest(F.col("lo_idx") + 1, F.col("hi_idx") - (lookback - 1))
-    days = bounded(spans.select("grp", first.alias("from_idx"), "hi_idx"))
+    days = spans.select("grp", first.alias("from_idx"), "hi_idx")
     return (
         names.select("grp", "stock_id")
         .join(days, "grp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,19 +108,27 @@ def scores(factors: DataFrame) -> DataFrame:
     )
 
 
-def weighted_scores(factors: DataFrame, weightings: DataFrame) -> DataFrame:
+def weighted_scores(factors: DataFrame, weightings: Sequence[tuple[str, float, float, float, float]]) -> DataFrame:
     """Scores and ranks for many weightings at once.
 
-    weightings(weighting, quality, growth, momentum, value): a literal parameter
-    table; the weighting is part of the rank group.
+    weightings: (name, quality, growth, momentum, value) parameter rows, unrolled
+    as a literal array; the weighting is part of the rank group.
     """
+    names = ("quality", "growth", "momentum", "value")
+    rows = F.array(
+        *[F.struct(F.lit(n).alias("weighting"), *[F.lit(float(x)).alias(k) for k, x in zip(names, ws)]) for n, *ws in weightings]
+    )
     total = (
         F.col("quality") * F.coalesce("quality_score", F.lit(0.0))
         + F.col("growth") * F.coalesce("growth_score", F.lit(0.0))
         + F.col("momentum") * F.coalesce("momentum_score", F.lit(0.0))
         + F.col("value") * F.coalesce("value_score", F.lit(0.0))
     )
-    per = factors.join(bounded(weightings)).withColumn("composite_score", total)
+    per = (
+        factors.withColumn("_w", F.explode(rows))
+        .select(*factors.columns, "_w.*")
+        .withColumn("composite_score", total)
+    )
     return with_rank(per, ["weighting", "date"], "composite_score", out="rank", kind="dense").drop(
         "quality", "growth", "momentum", "value"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,23 +63,30 @@ def top_ranked(cands: DataFrame, keys: list[str], top_n: Column | int) -> DataFr
 
 
 def strategy_weights(
-    cands: DataFrame, specs: DataFrame, *, max_top_n: int = 50, null_vol_as_zero: bool = False
+    cands: DataFrame, specs: DataFrame | Sequence[tuple[str, str, int]], *, max_top_n: int = 50, null_vol_as_zero: bool = False
 ) -> DataFrame:
     """Equal and inverse-volatility weights of the top names per portfolio and rebalance date.
 
     cands(portfolio?, reb_no, reb_date, stock_id, rank, volatility_score);
-    specs(portfolio, strategy, top_n). Without a portfolio column the candidates
-    serve every portfolio of ``specs``. ``max_top_n`` bounds every spec (50 names
+    specs(portfolio, strategy, top_n): a table joined on the portfolio, or, when the
+    candidates have no portfolio column, parameter rows that all share them. ``max_top_n`` bounds every spec (50 names
     per portfolio in the product), which lets Spark cut each map task's output
     to that many rows per group before the shuffle.
     """
     if "portfolio" in cands.columns:
-        wide = cands.join(bounded(specs), "portfolio")
+        wide = cands.join(specs, "portfolio")
         keys = ["portfolio", "reb_no", "reb_date"]
         top = top_ranked(wide, keys, max_top_n).where(F.col("position") <= F.col("top_n"))
     else:
         shared = top_ranked(cands, ["reb_no", "reb_date"], max_top_n)
-        top = shared.join(bounded(specs), F.col("position") <= F.col("top_n"))
+        rows = F.array(
+            *[F.struct(F.lit(p).alias("portfolio"), F.lit(s).alias("strategy"), F.lit(n).alias("top_n")) for p, s, n in specs]
+        )
+        top = (
+            shared.withColumn("_s", F.explode(rows))
+            .select(*shared.columns, "_s.*")
+            .where(F.col("position") <= F.col("top_n"))
+        )
         keys = ["portfolio", "reb_no", "reb_date"]
     vol = F.coalesce("volatility_score", F.lit(0.0)) if null_vol_as_zero else F.col("volatility_score")
     inverse = F.lit(1.0) / F.greatest(vol + F.lit(VOL_OFFSET), F.lit(1e-8))

@@ -54,7 +54,7 @@ def set_observations(panel: DataFrame, sets: DataFrame, windows: DataFrame) -> t
     at the first day on which any member has a price.
     """
     cut = (
-        sets.join(bounded(windows), "grp")
+        sets.join(windows, "grp")
         .join(panel.select("stock_id", "idx", "close", "ret"), "stock_id")
         .where(F.col("idx").between(F.col("lo_idx"), F.col("hi_idx")))
     )
@@ -82,6 +82,12 @@ def _same(df: DataFrame) -> DataFrame:
     return df
 
 
+def _side(df: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Calendar-sized side of a join: with the universe scope it has one row per as-of date and
+    look-back day and is broadcast; with many stock sets it grows with them, so Spark chooses."""
+    return df if scope else bounded(df)
+
+
 def spike_starts(flags: Column) -> Column:
     """Onset rows at least 11 rows after the last accepted one; the last three of them."""
     accepted = F.aggregate(
@@ -115,7 +121,7 @@ def market_regimes(obs: DataFrame, windows: DataFrame, scope: Sequence[str] = ()
     """
     sums = obs.groupBy(*scope, "idx").agg(F.sum(F.coalesce("ret", F.lit(0.0))).alias("s"))
     names = (
-        obs.join(bounded(windows.select("grp", F.col("hi_idx").alias("idx"))), [*scope, "idx"])
+        obs.join(_side(windows.select("grp", F.col("hi_idx").alias("idx")), scope), [*scope, "idx"])
         .groupBy("grp")
         .agg(F.count(F.lit(1)).alias("n_names"))
     )
@@ -162,7 +168,7 @@ def _rolling_pairs(obs: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
     sw = Window.partitionBy(*scope, "stock_id").orderBy("idx")
     upto = sw.rowsBetween(Window.unboundedPreceding, 0)
-    rows = obs.join(bounded(market), [*scope, "idx"]).withColumn("r", F.coalesce("ret", F.lit(0.0)))
+    rows = obs.join(_side(market, scope), [*scope, "idx"]).withColumn("r", F.coalesce("ret", F.lit(0.0)))
     run = rows.select(
         *scope,
         "stock_id",
@@ -226,7 +232,7 @@ def responsiveness(
     corr = F.when(warm, one).when(edge, F.coalesce("corr_z", one)).otherwise(F.coalesce("corr", one))
     hi, no = F.col("hi"), ~F.col("hi")
     sums = (
-        pairs.join(bounded(flags), [*scope, "idx"])
+        pairs.join(_side(flags, scope), [*scope, "idx"])
         .groupBy("grp", "stock_id")
         .agg(
             *[F.sum(F.when(mask, v)).alias(f"s{name}_{side}") for name, v in (("b", beta), ("c", corr)) for side, mask in (("hi", hi), ("no", no))],
@@ -243,7 +249,7 @@ def responsiveness(
         return (have + missing) / F.col(f"n_{side}")
 
     enough = (F.col("n_hi") > 5) & (F.col("n_no") > 5)
-    drift = sums.join(bounded(per_grp), "grp").select(
+    drift = sums.join(_side(per_grp, scope), "grp").select(
         "grp",
         "stock_id",
         "n_names",
@@ -296,7 +302,7 @@ def _spike_drawdown(obs: DataFrame, regimes: DataFrame, scope: Sequence[str]) ->
         "grp", "k", F.explode(F.sequence("s_idx", F.least(F.col("s_idx") + 9, F.col("hi_idx")))).alias("idx")
     )
     w = Window.partitionBy("grp", "k", "stock_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    dd = obs.join(bounded(days), [*scope, "idx"]).withColumn("peak", F.max("close").over(w))
+    dd = obs.join(_side(days, scope), [*scope, "idx"]).withColumn("peak", F.max("close").over(w))
     return (
         dd.groupBy("grp", "k", "stock_id")
         .agg(F.min((F.col("close") - F.col("peak")) / F.col("peak")).alias("dd"))
@@ -314,7 +320,7 @@ def _recovery_rows(obs: DataFrame, windows: DataFrame, scope: Sequence[str]) ->
     upto = part.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     dd = (
         obs.select(*scope, "stock_id", "idx", "close")
-        .join(bounded(days), [*scope, "idx"])
+        .join(_side(days, scope), [*scope, "idx"])
         .withColumn("peak", F.max("close").over(upto))
         .withColumn("dd", (F.col("close") - F.col("peak")) / F.col("peak"))
         .withColumn("worst", F.min("dd").over(part))
@@ -379,7 +385,7 @@ def stop_loss(
     now = F.col("idx") == F.col("hi_idx")
     feats = (
         obs.select(*scope, "stock_id", "idx", "close", "ret")
-        .join(bounded(days), [*scope, "idx"])
+        .join(_side(days, scope), [*scope, "idx"])
         .groupBy("grp", "stock_id")
         .agg(
             F.max(F.when(now, F.col("close"))).alias("price"),
@@ -407,7 +413,7 @@ def stop_loss(
         .otherwise(F.lit(0.0))
         .alias("regime_score"),
     )
-    feats = feats.join(bounded(stress), "grp")
+    feats = feats.join(_side(stress, scope), "grp")
     ranks = [("dd", "p_dd", True), ("z", "p_z", True)]
     big = F.col("n_names") > 5
     if error_bias is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +95,7 @@ def single_factor_weightings() -> list[tuple[str, float, float, float, float]]:
 
 
 def weighting_backtests(
-    factors: DataFrame, weightings: DataFrame, rebalances: DataFrame, panel: DataFrame, cut, top_n: int = 20
+    factors: DataFrame, weightings: Sequence[tuple], rebalances: DataFrame, panel: DataFrame, cut, top_n: int = 20
 ) -> DataFrame:
     """Equal-weight backtest summary per weighting; only the score dates in use are re-ranked."""
     dates = rebalances.select(F.col("score_date").alias("date")).distinct()

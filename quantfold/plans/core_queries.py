@@ -11,7 +11,6 @@ from quantfold.operators import portfolio as pf
 from quantfold.plans.market import Market
 from quantfold.plans.registry import query, tidy
 from quantfold.sources import market as src
-from quantfold.tables import bounded, literal_rows
 
 # Closes are quotients of cents and whole quantities, so many sit exactly half-way
 # between two rounded values; the shift makes both engines round them alike.
@@ -86,12 +85,7 @@ WEIGHTINGS = [
 
 @query("custom_weight_scores", "D7")
 def custom_weight_scores(m: Market) -> DataFrame:
-    w = literal_rows(
-        m.spark,
-        [("weighting", "string"), ("quality", "double"), ("growth", "double"), ("momentum", "double"), ("value", "double")],
-        WEIGHTINGS,
-    )
-    out = fac.weighted_scores(m.factors, w)
+    out = fac.weighted_scores(m.factors, WEIGHTINGS)
     return tidy(out.select("weighting", "date", "stock_id", "composite_score", "rank"))
 
 
@@ -152,7 +146,7 @@ def rebalance_calendar(m: Market) -> DataFrame:
 def both_weights(m: Market) -> DataFrame:
     key = "w_both"
     return m.stage.get(key) or m.stage.plain(
-        key, pf.strategy_weights(pf.candidates(m.scored, m.rebalances), m.specs(BOTH))
+        key, pf.strategy_weights(pf.candidates(m.scored, m.rebalances), BOTH)
     )
 
 
@@ -182,7 +176,7 @@ def custom_weight_portfolio(m: Market) -> DataFrame:
 
 @query("research_inverse_vol_portfolios", "P5")
 def research_inverse_vol_portfolios(m: Market) -> DataFrame:
-    specs = m.specs([("research", "inverse_volatility", 20)])
+    specs = [("research", "inverse_volatility", 20)]
     return tidy(
         pf.strategy_weights(pf.candidates(m.scored, m.rebalances), specs, null_vol_as_zero=True)
     )
@@ -193,7 +187,7 @@ def portfolio_construction_checks(m: Market) -> DataFrame:
     """Both strategies on the latest score date with their weight checks and top-3 sum."""
     last = m.scored.agg(F.max("date").alias("score_date"))
     as_of = last.select(F.lit(0).alias("reb_no"), F.col("score_date").alias("reb_date"), "score_date")
-    w = pf.strategy_weights(pf.candidates(m.scored, as_of), m.specs(BOTH))
+    w = pf.strategy_weights(pf.candidates(m.scored, as_of), BOTH)
     order = Window.partitionBy("portfolio").orderBy(F.desc("weight"), "stock_id")
     top3 = (
         w.withColumn("_rn", F.row_number().over(order))
@@ -208,7 +202,7 @@ def portfolio_construction_checks(m: Market) -> DataFrame:
 def current_allocation(m: Market) -> DataFrame:
     last = m.scored.agg(F.max("date").alias("score_date"))
     as_of = last.select(F.lit(0).alias("reb_no"), F.col("score_date").alias("reb_date"), "score_date")
-    w = pf.strategy_weights(pf.candidates(m.scored, as_of), m.specs(BOTH))
+    w = pf.strategy_weights(pf.candidates(m.scored, as_of), BOTH)
     snap = fac.ranked_snapshot(m.scored, m.stocks, last.withColumnRenamed("score_date", "date"))
     return tidy(pf.allocation_view(w, snap).drop("reb_no"))
 

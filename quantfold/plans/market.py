@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantfold.operators import factors as fac
 from quantfold.operators import portfolio as pf
 from quantfold.sources import market as src
-from quantfold.tables import Stage, literal_rows, spread
+from quantfold.tables import Stage, spread
 
 
 class Market:
@@ -78,11 +78,6 @@ class Market:
     def last_score_date(self):
         return self.score_dates.agg(F.max("date")).first()[0]
 
-    def specs(self, rows: list[tuple[str, str, int]]) -> DataFrame:
-        return literal_rows(
-            self.spark, [("portfolio", "string"), ("strategy", "string"), ("top_n", "int")], rows
-        )
-
 
 _MARKETS: dict[tuple[str, str], Market] = {}
 

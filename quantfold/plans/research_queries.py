@@ -23,7 +23,6 @@ from quantfold.plans.market import Market
 from quantfold.plans.rating_queries import user_rating_input, user_stability, user_summary
 from quantfold.plans.registry import query, tidy
 from quantfold.plans.risk_queries import _spans
-from quantfold.tables import literal_rows
 
 
 def _auto_n(m: Market) -> DataFrame:
@@ -201,14 +200,11 @@ def walk_forward_rolling(m: Market) -> DataFrame:
     return tidy(val.walk_forward(eq_weights(m), p, m.panel, m.stage.cut))
 
 
-WEIGHT_COLUMNS = [("weighting", "string"), ("quality", "double"), ("growth", "double"), ("momentum", "double"), ("value", "double")]
-
-
 def _weightings(m: Market, key: str, rows) -> DataFrame:
     if m.stage.get(key) is None:
         m.stage.plain(
             key,
-            val.weighting_backtests(m.factors, literal_rows(m.spark, WEIGHT_COLUMNS, rows), m.rebalances, m.panel, m.stage.cut),
+            val.weighting_backtests(m.factors, rows, m.rebalances, m.panel, m.stage.cut),
         )
     return m.stage.get(key)
 

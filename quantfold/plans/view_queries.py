@@ -16,7 +16,6 @@ from quantfold.plans.market import Market
 from quantfold.plans.registry import query, tidy
 from quantfold.plans.risk_queries import universe_sls
 from quantfold.sources import market as src
-from quantfold.tables import literal_rows
 
 
 def day_scores(m: Market) -> DataFrame:
@@ -149,20 +148,12 @@ def unscored_stock_signals(m: Market) -> DataFrame:
 
 @query("recommendations", "N7")
 def recommendations(m: Market) -> DataFrame:
-    profiles = literal_rows(
-        m.spark,
-        [("risk_profile", "string"), ("min_pct", "double"), ("max_pct", "double")],
-        [(k, *v) for k, v in sig.ALLOCATION.items()],
-    )
-    return tidy(sig.recommendations(signals(m), profiles).drop("risk_commentary", "explanation"))
+    return tidy(sig.recommendations(signals(m)).drop("risk_commentary", "explanation"))
 
 
 @query("recommendation_texts", "N7")
 def recommendation_texts(m: Market) -> DataFrame:
-    profiles = literal_rows(
-        m.spark, [("risk_profile", "string"), ("min_pct", "double"), ("max_pct", "double")], [("moderate", 0.0, 0.10)]
-    )
-    out = sig.recommendations(signals(m), profiles)
+    out = sig.recommendations(signals(m), {"moderate": (0.0, 0.10)})
     return out.select("stock_id", "conviction", "recommendation", F.length("explanation").alias("explanation_chars"), "risk_commentary")
 
 

@@ -271,8 +271,7 @@ def test_signal_strength(spark, rank, n, want):
 def test_recommendation_overrides(spark):
     rows = [(1, 90.0, 1, 5, "improving", "low_vol", "Buy", 85.0), (2, 90.0, 1, 5, "improving", "low_vol", "Buy", 65.0), (3, 90.0, 1, 5, "improving", "low_vol", "Buy", 10.0)]
     s = spark.createDataFrame(rows, "stock_id long, composite_score double, rank int, signal_strength int, trend_direction string, regime string, recommendation string, stop_loss_score double")
-    p = literal_rows(spark, [("risk_profile", "string"), ("min_pct", "double"), ("max_pct", "double")], [("moderate", 0.0, 0.10)])
-    got = {r["stock_id"]: (r["recommendation"], r["conviction"], r["allocation_max"]) for r in signals.recommendations(s, p).collect()}
+    got = {r["stock_id"]: (r["recommendation"], r["conviction"], r["allocation_max"]) for r in signals.recommendations(s, {"moderate": (0.0, 0.10)}).collect()}
     assert got[1] == ("Exit", "Low", 0.0)
     assert got[2][0] == "Hold" and got[2][2] == pytest.approx(0.04)
     assert got[3] == ("Buy", "High", 0.10)
