@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 PIECES = 32
 
 
-def _pieces(df: DataFrame, group: Sequence[str], key: Column, pieces: int) -> DataFrame:
+def _pieces(df: DataFrame, group: Sequence[str], pieces: int, scale: float | None) -> DataFrame:
+    if scale is not None:
+        at = F.floor((F.tanh(F.col("_k") / F.lit(scale)) + 1) / 2 * F.lit(pieces))
+        return df.withColumn("_piece", F.least(F.lit(pieces - 1), at).cast("int"))
     span = df.groupBy(*group).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     at = F.floor((F.col("_k") - F.col("_lo")) / width * F.lit(pieces))
@@ -38,15 +41,18 @@ def with_rank(
     descending: bool = True,
     pieces: int = PIECES,
     keep_nulls: bool = True,
+    scale: float | None = None,
 ) -> DataFrame:
     """Add a rank of ``value`` inside ``group``; rows with a null value get null
-    (or are left out with ``keep_nulls=False``).
+    (or are left out with ``keep_nulls=False``). Ranges are equal parts of each
+    group's span; with ``scale``, the typical size of a value centred on zero,
+    they are parts of a fixed S-curve and the pass for the span is saved.
 
     kind: ``dense``, ``min`` (competition) or ``pct`` (average rank of ties over
     the number of non-null values, as in a percent rank with averaged ties).
     """
     keyed = df.withColumn("_k", F.col(value).cast("double") * F.lit(-1.0 if descending else 1.0))
-    filled = _pieces(keyed.where(F.col("_k").isNotNull()), group, F.col("_k"), pieces)
+    filled = _pieces(keyed.where(F.col("_k").isNotNull()), group, pieces, scale)
     part = [*group, "_piece"]
     w = Window.partitionBy(*part).orderBy("_k")
     local = filled.withColumn("_dense", F.dense_rank().over(w)).withColumn("_min", F.rank().over(w))

@@ -20,9 +20,10 @@ def period_returns(weights: DataFrame, periods: DataFrame, panel: DataFrame) ->
 
     weights(portfolio, reb_no, stock_id, weight); periods(portfolio?, reb_no, reb_idx, end_idx).
     The weights (top-n names per date) are repeated for the days of their period
-    and joined to the panel on (stock, day); the panel side is bucketed on the
-    stock and is not shuffled. Weights are rescaled over the stocks that have a
-    price in the period.
+    and joined to the panel on (stock, day), which also spreads a stock that
+    every portfolio holds. Weights are rescaled over the stocks that have a price
+    in the period: the panel carries closes forward, so those are the stocks with
+    a row on the period's last day, and one pass over the panel gives both sums.
     """
     on = ["portfolio", "reb_no"] if "portfolio" in periods.columns else ["reb_no"]
     days = weights.join(periods.select(*on, "reb_idx", "end_idx"), on).select(
@@ -31,19 +32,21 @@ def period_returns(weights: DataFrame, periods: DataFrame, panel: DataFrame) ->
         "stock_id",
         "weight",
         "reb_idx",
+        "end_idx",
         F.explode(F.sequence("reb_idx", "end_idx")).alias("idx"),
     )
     held = days.join(panel.select("stock_id", "idx", "date", "ret"), ["stock_id", "idx"])
-    present = held.groupBy("portfolio", "reb_no", "stock_id").agg(F.first("weight").alias("weight"))
-    total = present.groupBy("portfolio", "reb_no").agg(F.sum("weight").alias("total"))
-    daily = (
-        held.where((F.col("idx") > F.col("reb_idx")) & F.col("ret").isNotNull())
-        .groupBy("portfolio", "reb_no", "idx", "date")
-        .agg(F.sum(F.col("weight") * F.col("ret")).alias("wr"))
+    daily = held.groupBy("portfolio", "reb_no", "reb_idx", "end_idx", "idx", "date").agg(
+        F.sum(F.col("weight") * F.col("ret")).alias("wr"),
+        F.sum("weight").alias("w"),
+        F.count("ret").alias("k"),
     )
+    total = F.max(F.when(F.col("idx") == F.col("end_idx"), F.col("w"))).over(Window.partitionBy("portfolio", "reb_no"))
     scale = F.when(F.col("total") > 0, F.col("wr") / F.col("total")).otherwise(F.col("wr"))
-    return daily.join(total, ["portfolio", "reb_no"]).select(
-        "portfolio", "reb_no", "idx", "date", scale.alias("daily_return")
+    return (
+        daily.withColumn("total", total)
+        .where((F.col("idx") > F.col("reb_idx")) & (F.col("k") > 0))
+        .select("portfolio", "reb_no", "idx", "date", scale.alias("daily_return"))
     )
 
 

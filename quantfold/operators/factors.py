@@ -16,6 +16,8 @@ MOMENTUM_LONG = 252
 VOL_WINDOW = 252
 MIN_STOCKS = 5
 FACTOR_WEIGHTS = {"quality": 0.30, "growth": 0.25, "momentum": 0.25, "value": 0.20}
+# typical size of a composite of z-scores, which only balances the ranking ranges
+SCORE_SCALE = 0.3
 RAW = ["momentum_6m", "momentum_12m", "volatility"]
 
 
@@ -104,7 +106,13 @@ def composite(weights: dict[str, float] | None = None) -> Column:
 def scores(factors: DataFrame) -> DataFrame:
     """Composite score and dense rank (best = 1) per date, with the factors alongside."""
     return with_rank(
-        factors.withColumn("composite_score", composite()), ["date"], "composite_score", out="rank", kind="dense"
+        factors.withColumn("composite_score", composite()),
+        ["date"],
+        "composite_score",
+        out="rank",
+        kind="dense",
+        scale=SCORE_SCALE,
+        keep_nulls=False,
     )
 
 
@@ -129,7 +137,9 @@ def weighted_scores(factors: DataFrame, weightings: Sequence[tuple[str, float, f
         .select(*factors.columns, "_w.*")
         .withColumn("composite_score", total)
     )
-    return with_rank(per, ["weighting", "date"], "composite_score", out="rank", kind="dense").drop(
+    return with_rank(
+        per, ["weighting", "date"], "composite_score", out="rank", kind="dense", scale=SCORE_SCALE, keep_nulls=False
+    ).drop(
         "quality", "growth", "momentum", "value"
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantfold.operators import factors as fac
 from quantfold.operators import portfolio as pf
 from quantfold.sources import market as src
-from quantfold.tables import Stage, spread
+from quantfold.tables import Stage, bucket_count, spread
 
 
 class Market:
@@ -23,7 +23,7 @@ class Market:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.stage = Stage(spark, self.sf_dir.rsplit("/", 1)[-1])
+        self.stage = Stage(spark, self.sf_dir.rsplit("/", 1)[-1], bucket_count(self.table("lineitem")))
 
     def table(self, name: str) -> DataFrame:
         return src.read_table(self.spark, self.sf_dir, name)
@@ -34,7 +34,7 @@ class Market:
 
     @cached_property
     def prices(self) -> DataFrame:
-        trades = spread(src.daily_trades(self.spark, self.sf_dir), "stock_id")
+        trades = spread(src.daily_trades(self.spark, self.sf_dir), self.stage.buckets, "stock_id")
         return self.stage.bucketed("prices", src.sparse_prices(trades), "stock_id", ["stock_id", "date"])
 
     @cached_property

@@ -38,8 +38,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 class Stage:
     """Named tables of one run, written once and read many times."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, buckets: int | None = None):
         self.spark = spark
+        self.buckets = buckets or shuffle_partitions(spark)
         self.uid = uuid.uuid4().hex[:10]
         self.root = f"{scratch_root(spark)}/quantfold/{spark.sparkContext.applicationId}/{label}-{self.uid}"
         self._tables: dict[str, DataFrame] = {}
@@ -55,7 +56,7 @@ class Stage:
         """
         table = f"qf_{name}_{self.uid}"
         (
-            df.write.bucketBy(shuffle_partitions(self.spark), key)
+            df.write.bucketBy(self.buckets, key)
             .sortBy(*order)
             .option("path", f"{self.root}/{name}")
             .mode("overwrite")
@@ -66,7 +67,7 @@ class Stage:
 
     def ranged(self, name: str, df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
         """Write ``df`` clustered by ranges of ``key`` so filters on it skip row groups."""
-        out = df.repartitionByRange(shuffle_partitions(self.spark), key, *order).sortWithinPartitions(key, *order)
+        out = df.repartitionByRange(self.buckets, key, *order).sortWithinPartitions(key, *order)
         return self.plain(name, out)
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -81,9 +82,17 @@ class Stage:
         return self._tables[name]
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition on ``keys`` with the session's partition count (matches the bucket count)."""
-    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+def bucket_count(scan: DataFrame) -> int:
+    """Buckets for tables derived from ``scan``: as many as its splits, at least one per core,
+    at most the session's shuffle partitions."""
+    spark = scan.sparkSession
+    splits = max(scan.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    return max(1, min(splits, shuffle_partitions(spark)))
+
+
+def spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Hash-partition on ``keys`` into ``n`` parts (the bucket count of the table they go to)."""
+    return df.repartition(n, *keys)
 
 
 def bounded(df: DataFrame) -> DataFrame:
