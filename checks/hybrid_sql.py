@@ -96,6 +96,13 @@ COLS = ("cagr", "sharpe", "max_drawdown", "volatility", "turnover_cost")
 ABL = ", ".join(f"{r(f'a.{c}')} AS {c}_with_sls, {r(f'b.{c}')} AS {c}_without_sls, {r(f'a.{c} - b.{c}')} AS d_{c}" for c in COLS)
 q("stop_loss_ablation", f"""SELECT {ABL}, a.cagr - b.cagr < -0.05 AS alpha_loss, a.turnover_cost > b.turnover_cost * 1.05 AS turnover_up
     FROM c_abl_all a JOIN c_abl_all b ON a.portfolio = 'with_sls' AND b.portfolio = 'without_sls'""")
+cte("c_lw_x", "SELECT grp, stock_id, idx, ret - avg(ret) OVER (PARTITION BY grp, stock_id) AS x FROM c_hy_held")
+cte("c_lw", """SELECT a.grp, a.p, a.n, a.ss, b.q / a.n AS q, a.tr / a.p AS mu FROM
+    (SELECT c.grp, count(*) FILTER (WHERE i = j) AS p, any_value(d.n) AS n, sum(pow(cv * (d.n - 1) / d.n, 2)) AS ss, sum(cv * (d.n - 1) / d.n) FILTER (WHERE i = j) AS tr
+      FROM c_hy_cov c JOIN (SELECT grp, count(DISTINCT idx) AS n FROM c_hy_held GROUP BY 1) d ON d.grp = c.grp GROUP BY 1) a
+    JOIN (SELECT grp, sum(pow(s, 2)) AS q FROM (SELECT grp, idx, sum(x * x) AS s FROM c_lw_x GROUP BY 1, 2) GROUP BY 1) b ON b.grp = a.grp""")
+q("covariance_ledoit_wolf", f"""SELECT grp, p AS n_assets, n AS n_obs, {r('1 - least(beta, delta) / delta')} AS shrinkage FROM (
+    SELECT *, (ss - p * mu * mu) / p AS delta, (q - ss) / (p * n) AS beta FROM c_lw)""")
 q("hybrid_correlation_matrix", f"SELECT i AS stock_a, j AS stock_b, {r('cr')} AS correlation FROM c_hy_cov WHERE grp = (SELECT max(grp) FROM c_hy_w)")
 
 

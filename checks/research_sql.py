@@ -82,6 +82,18 @@ rs.rrc_ctes("mo")
 rs.sls_ctes("mo")
 cte("c_msc", "SELECT s.stock_id AS portfolio, s.s AS sls, p.rrc_score AS rrc FROM c_mo_sls s JOIN c_pr_prrc p ON p.portfolio = s.stock_id")
 q("meta_asset_scores", f"SELECT portfolio, {r('sls')} AS stop_loss_score, {r('rrc')} AS rrc_score FROM c_msc")
+# weight grid over the five saved portfolios, names in alphabetical order
+cte("c_gs_ret", "SELECT 1 AS grp, portfolio AS stock_id, idx, daily_return AS ret FROM c_us_curve")
+shrink_cte("c_gs_shr", "c_gs_ret", 252)
+cte("c_gs_cov", """SELECT a.portfolio AS i, b.portfolio AS j, covar_samp(a.daily_return, b.daily_return) AS cv FROM c_us_curve a JOIN c_us_curve b ON a.date = b.date GROUP BY 1, 2""")
+cte("c_gs_row", """SELECT i, list(252 * (0.8 * cv + CASE WHEN i = j THEN 0.2 * (SELECT avg(cv) FROM c_gs_cov WHERE i = j) ELSE 0 END) ORDER BY j) AS v FROM c_gs_cov GROUP BY 1""")
+cte("c_gs_one", """SELECT (SELECT list(v ORDER BY i) FROM c_gs_row) AS cov, list(m.mu ORDER BY m.stock_id) AS mu, list(pow(s.sls / 100, 2) ORDER BY m.stock_id) AS pen, list(s.rrc / 100 ORDER BY m.stock_id) AS bon,
+    list(m.stock_id ORDER BY m.stock_id) AS names FROM c_gs_shr m JOIN c_msc s ON s.portfolio = m.stock_id""")
+cte("c_gs_grid", """SELECT [a / 20.0, b / 20.0, c / 20.0, d / 20.0, (20 - a - b - c - d) / 20.0]::DOUBLE[] AS w FROM range(13) x(a), range(13) y(b), range(13) z(c), range(13) u(d)
+    WHERE 20 - a - b - c - d BETWEEN 0 AND 12""")
+cte("c_gs_best", """SELECT w, names, list_dot_product(w, mu) / sqrt(list_dot_product(w, list_transform(cov, lambda v: list_dot_product(w, v)))) - 0.2 * list_dot_product(w, pen) + 0.1 * list_dot_product(w, bon) AS o
+    FROM c_gs_grid CROSS JOIN c_gs_one ORDER BY o DESC LIMIT 1""")
+q("meta_weights_search", f"SELECT unnest(names) AS portfolio, (round(unnest(w), 6) + 0.0) AS weight, {r('o')} AS objective FROM c_gs_best")
 cte("c_mw", """SELECT portfolio, c / sum(c) OVER () AS weight FROM (SELECT portfolio, least(CASE WHEN sum(greatest(sharpe, 0)) OVER () > 0 THEN greatest(sharpe, 0) / sum(greatest(sharpe, 0)) OVER ()
     ELSE 1.0 / count(*) OVER () END, CASE WHEN count(*) OVER () * 0.6 >= 1 THEN 0.6 ELSE 1.0 END) AS c FROM c_us_sum)""")
 q("meta_weights_heuristic", f"SELECT portfolio, {r('weight')} AS weight FROM c_mw")

@@ -104,6 +104,12 @@ q("recommendations", f"""SELECT stock_id, risk_profile, rec2 AS recommendation,
     {r('CASE WHEN sls > 80 THEN 0.0 ELSE mx * CASE WHEN s2 <= 2 THEN 0.4 WHEN s2 = 3 THEN 0.7 ELSE 1.0 END END')} AS allocation_max,
     {r('0.6 * least(1, greatest(0, coalesce(composite_score, 50) / 100)) - 0.3 * least(1, greatest(0, sls / 100)) + 0.1 * 0.5')} AS final_stock_score, {r('sls')} AS stop_loss_score
     FROM c_rec CROSS JOIN (VALUES ('conservative', 0.05), ('moderate', 0.10), ('aggressive', 0.15)) p(risk_profile, mx)""")
+q("recommendation_texts", """SELECT stock_id, conviction, rec2 AS recommendation, length('Composite score rank ' || rank || ', trend ' || trend_direction || '. Signal strength ' || s2 || '/5, conviction ' || conviction
+      || '. Stop-Loss Engine Score: ' || printf('%.1f', sls) || '/100.' || CASE WHEN regime = 'high_vol' THEN ' High-vol regime suggests caution on size.' ELSE '' END) AS explanation_chars,
+    CASE WHEN c = '' THEN 'Volatility regime is low; standard position sizing applies.' ELSE c END AS risk_commentary FROM (SELECT *, concat_ws(' ',
+      CASE WHEN regime = 'high_vol' THEN 'Stock is in a high-volatility regime.' END,
+      CASE WHEN sls > 80 THEN 'CRITICAL DOWNSIDE RISK (SLS > 80). Immediate exit suggested.'
+        WHEN sls > 60 THEN 'Elevated downside risk detected (SLS: ' || printf('%.1f', sls) || '). Consider tightening stops or reducing size.' END) AS c FROM c_rec)""")
 cte("c_fund", """SELECT l_suppkey AS stock_id, strftime(l_shipdate, '%Y') || '-Q' || quarter(l_shipdate) AS quarter, sum(l_extendedprice * (1 - l_discount)) AS revenue,
     sum(l_extendedprice * (1 - l_discount) * (1 - l_tax)) - sum(l_extendedprice * 0.8) AS net_income FROM lineitem GROUP BY 1, 2""")
 q("fundamentals_by_quarter", f"SELECT stock_id, quarter, {r('revenue', 4)} AS revenue, {r('net_income', 4)} AS net_income FROM c_fund")
