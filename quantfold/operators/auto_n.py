@@ -38,14 +38,20 @@ def prefixes(held: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    weights: DataFrame, returns: DataFrame, long_returns: DataFrame, sls: DataFrame, rrc: DataFrame
+    weights: DataFrame,
+    held: DataFrame,
+    returns: DataFrame,
+    long_returns: DataFrame,
+    sls: DataFrame,
+    rrc: DataFrame,
 ) -> DataFrame:
     """Evaluation table per (grp, n).
 
-    weights from ``prefixes``; returns(grp, stock_id, idx, ret): the 90-day block;
+    weights from ``prefixes(held)``; covariance and shrunk means are taken over all
+    held names, also those that no evaluated n includes; returns(grp, stock_id, idx, ret): the 90-day block;
     long_returns: the 180-day block for the stability estimate; sls, rrc: scores of the pool.
     """
-    names = weights.select("grp", "stock_id").distinct()
+    names = held.select("grp", "stock_id").distinct()
     some = returns.join(names, ["grp", "stock_id"], "left_semi")
     rows = est.complete_rows(some).select("grp", "stock_id", "idx", "ret")
     vol = est.portfolio_moments(rows, weights.select("grp", "n", "stock_id", "weight"), ["n"])

@@ -50,7 +50,7 @@ def _auto_n(m: Market) -> DataFrame:
         longer = est.trailing_returns(
             held.select("grp", "stock_id"), m.panel, _spans(m, an.STABILITY_CALENDAR), an.STABILITY_LOOKBACK
         )
-        m.stage.plain("auto_n", an.benefit(an.evaluate(w, returns, cut(longer), sls, rrc)))
+        m.stage.plain("auto_n", an.benefit(an.evaluate(w, held, returns, cut(longer), sls, rrc)))
     return m.stage.get("auto_n")
 
 
