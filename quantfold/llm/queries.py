@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantfold.llm import chat_format, license_scan, quality_rules, source_mixing, url_filter
+from quantfold.llm import chat_format, decontaminate, license_scan, near_join, quality_rules, source_mixing, url_filter
 from quantfold.llm.common import table
 
 
@@ -59,6 +59,19 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_join.near_groups(table(spark, sf_dir, "documents"), near_join.Rule(width=3, num=90, den=100))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -77,5 +90,5 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_chat_formatting, op6_source_mixing, op8_quality_rules, op10_license_scans]
+    found = [op1_url_filters, op2_chat_formatting, op3_ngram_jaccard_join, op4_benchmark_decontamination, op6_source_mixing, op8_quality_rules, op10_license_scans]
     return {f.__name__: f for f in found}

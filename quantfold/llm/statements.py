@@ -134,6 +134,45 @@ FROM rated JOIN chosen ON rated.lang IS NOT DISTINCT FROM chosen.lang AND rated.
 """
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NGRAM_JACCARD_JOIN = rf"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) END) AS s FROM split),
+uniq AS (SELECT list_sort(s) AS s, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+tok AS (SELECT node, len(s) AS n, unnest(s) AS t FROM uniq),
+inter AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS k FROM tok a JOIN tok b ON a.t = b.t AND a.node < b.node
+          WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM inter WHERE 100 * k >= 90 * (na + nb - k)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT node, node AS r FROM uniq UNION SELECT reach.node, ways.b FROM reach JOIN ways ON reach.r = ways.a),
+comp AS (SELECT node, min(r) AS c FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id
+FROM sets d LEFT JOIN uniq u ON u.s = list_sort(d.s) LEFT JOIN comp ON comp.node = u.node
+"""
+
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+BENCHMARK_DECONTAMINATION = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS l, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS s
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT l FROM win),
+runs AS (
+  SELECT r, l, unnest(range(1, len(w) - l + 2)) AS i, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS s
+  FROM docs, sizes WHERE len(w) >= l),
+hit AS (SELECT r, i, runs.l, item_id FROM runs JOIN win ON runs.l = win.l AND runs.s = win.s),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM hit) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -167,6 +206,8 @@ def llm_statements() -> dict[str, str]:
     return {
         "op1_url_filters": URL_FILTERS,
         "op2_chat_formatting": CHAT_FORMATTING,
+        "op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
+        "op4_benchmark_decontamination": BENCHMARK_DECONTAMINATION,
         "op6_source_mixing": SOURCE_MIXING,
         "op8_quality_rules": QUALITY_RULES,
         "op10_license_scans": license_scans(),
