@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfold.llm.common import SPACES, let, small, words
+from quantfold.tables import Stage
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -176,7 +177,7 @@ def filter_documents(docs: DataFrame, floors: dict[str, int] = FLOORS, min_docs:
 
 def _judged(docs: DataFrame, prefix: str, floors: dict[str, int], min_docs: int) -> DataFrame:
     names = list(floors)
-    bins = sketches(with_measures(docs.select("text", "lang", "source"), prefix="_q_"), names, "_q_")
+    bins = Stage(docs.sparkSession, "quality").plain("sketches", sketches(with_measures(docs.select("text", "lang", "source"), prefix="_q_"), names, "_q_"))
     of_group = small(limits(bins, floors, min_docs).withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"} | {f"{n}_limit": f"{prefix}{n}_limit" for n in names} | {"sketch_level": f"{prefix}sketch_level"}))
     judged = with_base(with_measures(docs, prefix=prefix), prefix=prefix)
     same = F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source"))
