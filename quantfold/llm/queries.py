@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantfold.llm import chat_format, decontaminate, license_scan, near_join, quality_rules, source_mixing, url_filter
+from quantfold.llm import (
+    chat_format,
+    decontaminate,
+    license_scan,
+    near_join,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    source_mixing,
+    token_counts,
+    url_filter,
+)
 from quantfold.llm.common import table
 
 
@@ -72,11 +83,20 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.zipf_vocabulary())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -85,10 +105,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"), F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"), number("novel"),
+    )
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_chat_formatting, op3_ngram_jaccard_join, op4_benchmark_decontamination, op6_source_mixing, op8_quality_rules, op10_license_scans]
+    found = [
+        op1_url_filters, op2_chat_formatting, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_quality_classifier,
+        op6_source_mixing, op7_token_counts, op8_quality_rules, op9_secret_scans, op10_license_scans,
+    ]
     return {f.__name__: f for f in found}

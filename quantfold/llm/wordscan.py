@@ -24,6 +24,9 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
+#: Spaces, words (digits, letters, beyond ASCII) and runs of other characters.
+PIECES = np.where(SPACES, 0, np.where(NOT_ALNUM, 2, 1)).astype(np.uint8)
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SAME = np.arange(256, dtype=np.uint8)
@@ -95,17 +98,20 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         yield lo, len(sizes)
 
 
-def scan(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = True) -> Words:
+def scan(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = True, kinds: np.ndarray | None = None) -> Words:
+    """``kinds``: instead of ``separators``, a number for each byte; words are runs of one kind, 0 separates."""
     raw, at = _bytes_of(texts)
     data = (_FOLD if fold else _SAME)[raw]
-    inside = ~separators[data]
+    kind = ~separators[data] if kinds is None else kinds[data]
+    inside = kind if kinds is None else kind > 0
+    change = kind[1:] != kind[:-1]
     full = at[:-1] < at[1:]
     opens = inside.copy()
-    opens[1:] &= ~inside[:-1]
+    opens[1:] &= change
     head = at[:-1][full]
     opens[head] = inside[head]
     closes = inside.copy()
-    closes[:-1] &= ~inside[1:]
+    closes[:-1] &= change
     tail = at[1:][full] - 1
     closes[tail] = inside[tail]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
