@@ -105,7 +105,7 @@ def with_base(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     p = prefix
     return (
         df.withColumn("_q_words", words(F.col(text)))
-        .withColumns({p + "n_words": F.size("_q_words").cast("long"), p + "n_repeat_words": repeated_words(F.col("_q_words"))})
+        .withColumns({p + "n_words": F.size("_q_words").cast("long"), p + "n_repeat_words": let(F.col("_q_words"), lambda w: repeated_words(w))})
         .drop("_q_words")
         .withColumn(
             p + "base_failed",
@@ -181,8 +181,9 @@ def _judged(docs: DataFrame, prefix: str, floors: dict[str, int], min_docs: int)
     of_group = small(limits(bins, floors, min_docs).withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"} | {f"{n}_limit": f"{prefix}{n}_limit" for n in names} | {"sketch_level": f"{prefix}sketch_level"}))
     judged = with_base(with_measures(docs, prefix=prefix), prefix=prefix)
     same = F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source"))
-    within = [F.col(f"{prefix}{n}") <= F.col(f"{prefix}{n}_limit") for n in names]
-    kept = ~F.col(f"{prefix}base_failed")
-    for w in within:
-        kept = kept & w
+    within = F.lit(True)
+    for n in names:
+        within = within & (F.col(f"{prefix}{n}") <= F.col(f"{prefix}{n}_limit"))
+    # one expression over both sides, so that a filter on it stays above the join and measures are taken once
+    kept = F.when(F.col(f"{prefix}base_failed"), F.lit(False)).otherwise(within)
     return judged.join(of_group, same, "left").withColumn(f"{prefix}kept", kept).drop("_q_lang", "_q_source")
