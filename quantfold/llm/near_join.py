@@ -96,7 +96,7 @@ ROWS = "doc_id long, n int, digest binary, prefix array<bigint>, salts array<int
 
 
 def described(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
-    """Per row: set size, digest of the set, rare-first prefix, splits of hot prefix shingles (null: none) and the parity map."""
+    """Per row: set size, digest of the set, rare-first prefix, salts of hot prefix shingles (null: none, 0: not split) and the parity map."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     hot = max(HOT_LEAST, int(HOT_TIMES_MEAN * counts.mean()) if len(counts) else 0)
 
@@ -119,7 +119,7 @@ def described(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
                 prefixes.append(tokens[order].view(np.int64))
                 splits = -(-seen[order] // hot)
                 salt = int.from_bytes(digest[:4], "big")
-                salts.append((salt % splits).astype(np.int32) if splits.max() > 1 else None)
+                salts.append(np.where(splits > 1, 1 + salt % splits, 0).astype(np.int32) if splits.max() > 1 else None)
                 parity = np.bincount((tokens & np.uint64(511)).astype(np.int64), minlength=512) & 1
                 maps.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             sig = np.array(maps, np.int64).reshape(-1, 8)
@@ -235,8 +235,8 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     group = Window.partitionBy("token", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     alone = F.count("*").over(group) == 1
     hub = F.first(F.struct("node", "pos", "n")).over(group)
-    # a split shingle may be alone in its salt and still be shared
-    shared = stage.plain("shared", posting.withColumn("alone", alone).withColumn("hub", hub).filter(~F.col("alone") | F.col("salt").isNotNull() & (F.col("salt") > 0)))
+    # a split shingle (salt over 0) may be alone under its salt and still be shared
+    shared = stage.plain("shared", posting.withColumn("alone", alone).withColumn("hub", hub).filter("NOT alone OR salt > 0"))
     maps = sets_of.select("node", "n", *SIG)
     maps = stage.plain("maps", maps.join(shared.select("node").distinct(), "node", "left_semi"))
     star = shared.filter("node <> hub.node").select("node", "pos", "n", "hub")
