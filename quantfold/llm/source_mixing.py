@@ -96,7 +96,7 @@ def mix_sources(
         ),
     )
     goals = stage.plain("targets", targets(sized, weights, most_copies))
-    mean = sized.groupBy("source").agg((F.sum(F.col("rel") * F.col("size")) / F.sum("size")).alias("mean_rel"))
+    mean = sized.groupBy("source").agg(F.try_divide(F.sum(F.col("rel") * F.col("size")), F.sum("size")).alias("mean_rel"))
     per_source = goals.join(mean.withColumnRenamed("source", "ms"), F.col("source").eqNullSafe(F.col("ms"))).drop("ms")
     of = per_source.withColumnRenamed("source", "gs")
     expected = F.least(F.lit(float(most_copies)), F.col("target") / F.col("source_size") * F.col("rel") / F.col("mean_rel"))
