@@ -90,8 +90,8 @@ q("calibration_due", f"""SELECT today, last_end, {r('mo')} AS months_since, last
     + (day(today) - day(last_end)) / 30.0 AS mo FROM (SELECT r.reb_date AS today, max(h.window_end) AS last_end FROM c_reb r LEFT JOIN c_hist h ON h.window_end <= r.reb_date GROUP BY 1))""")
 cte("c_hlong", """SELECT window_end, 'momentum' AS factor, p_bm AS beta FROM c_hist UNION ALL SELECT window_end, 'volatility', p_bv FROM c_hist
     UNION ALL SELECT window_end, 'quality', 0.0 FROM c_hist UNION ALL SELECT window_end, 'value', 0.0 FROM c_hist""")
-q("coefficient_table", f"""SELECT window_end, factor, {r('beta')} AS beta, CASE WHEN abs(beta) < 1e-6 THEN upper(substr(factor, 1, 1)) || substr(factor, 2) || ' coefficient is near 0: no systematic bias.'
-    WHEN beta > 0 THEN 'Model underestimates high-' || factor || ' stocks.' ELSE 'Model overestimates high-' || factor || ' stocks.' END AS interpretation,
+q("coefficient_table", f"""SELECT window_end, factor, {r('beta')} AS beta, CASE WHEN abs(beta) < 1e-6 THEN 'No tilt by ' || factor || ': its coefficient is about 0.'
+    ELSE 'Returns of stocks with high ' || factor || ' tend to end ' || CASE WHEN beta > 0 THEN 'above' ELSE 'below' END || ' the prediction.' END AS interpretation,
     12 * (year(d) - year(window_end)) + month(d) - month(window_end) AS months_elapsed, 12 * (year(d) - year(window_end)) + month(d) - month(window_end) >= 6 AS is_stale
     FROM c_hlong CROSS JOIN (SELECT max(date) AS d FROM c_scored)""")
 cte("c_num", """SELECT *, row_number() OVER (PARTITION BY window_end ORDER BY rebalance_date, stock_id) AS rn, count(*) OVER (PARTITION BY window_end) AS nn FROM c_wrows""")

@@ -13,7 +13,7 @@ def q(name: str, sql: str) -> None:
 
 
 def back(n: int) -> str:
-    return f"(SELECT date FROM c_calendar WHERE idx = (SELECT max(idx) - {n} FROM c_calendar))"
+    return f"(SELECT date FROM c_calendar WHERE idx = (SELECT greatest(max(idx) - {n}, min(idx)) FROM c_calendar))"
 
 
 q("incremental_append", f"""SELECT stock_id, count(*) FILTER (WHERE date > {back(60)}) AS inserted, count(*) FILTER (WHERE date <= {back(60)}) AS skipped
@@ -26,8 +26,8 @@ q("sector_enrichment", "SELECT symbol, CASE WHEN market_cap > 0 THEN sector ELSE
 q("score_upsert", f"SELECT date, count(*) AS rows, {r(f'sum(composite_score + CASE WHEN date > {back(30)} THEN 1 ELSE 0 END)')} AS total FROM c_scored GROUP BY 1")
 q("portfolio_replace", """SELECT e.reb_date AS date, 'equal_weight' AS strategy_type, least(count(*), 10) AS inserted, count(*) AS deleted, least(count(*), 10) + (SELECT count(*) FROM c_w_iv v WHERE v.reb_date = e.reb_date) AS rows_after
     FROM c_w_eq e GROUP BY 1""")
-q("monthly_allocation_append", """SELECT b.reb_date AS rebalance_date, count(*) FILTER (WHERE grp > 60) AS inserted, count(*) FILTER (WHERE grp <= 60) AS skipped FROM c_hy_w w JOIN c_reb b ON b.reb_no = w.grp
-    WHERE grp >= 55 GROUP BY 1""")
+q("monthly_allocation_append", """SELECT b.reb_date AS rebalance_date, count(*) FILTER (WHERE grp > last - 8) AS inserted, count(*) FILTER (WHERE grp <= last - 8) AS skipped FROM c_hy_w w JOIN c_reb b ON b.reb_no = w.grp
+    CROSS JOIN (SELECT max(reb_no) AS last FROM c_reb) WHERE grp >= last - 13 GROUP BY 1""")
 cte("c_snap", "SELECT b.reb_date AS rebalance_date, s.* FROM c_hy_stats s JOIN c_reb b ON b.reb_no = s.grp")
 SNAP = f"""'auto_hybrid' AS portfolio_type, rebalance_date, {r('es')} AS cagr, {r('ev')} AS volatility, {r('es')} AS sharpe, CAST(0.0 AS DOUBLE) AS max_drawdown, CAST(0.0 AS DOUBLE) AS calmar, n_stocks,
     {r('ev')} AS expected_volatility, {r('es')} AS expected_sharpe, {r('ac')} AS avg_pairwise_corr"""
@@ -42,14 +42,14 @@ q("monthly_rebalance_guard", """SELECT 1 AS user_id, date AS call_date, CASE WHE
 q("table_health", """SELECT 'stocks' AS table_name, count(*) AS rows, CAST(NULL AS DATE) AS max_date FROM c_stocks UNION ALL SELECT 'prices', count(*), max(date) FROM c_prices
     UNION ALL SELECT 'scores', count(*), max(date) FROM c_scored UNION ALL SELECT 'orders', count(*), CAST(max(o_orderdate) AS DATE) FROM orders UNION ALL SELECT 'events', count(*), CAST(max(ts) AS DATE) FROM events""")
 q("positions_per_user", f"""SELECT user_id, count(*) AS positions, {r('sum(q)')} AS quantity FROM (SELECT o_custkey AS user_id, l_suppkey, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE o_custkey <= 20 GROUP BY 1, 2) GROUP BY 1""")
+    GROUP BY 1, 2) GROUP BY 1""")
 cte("c_bars", """SELECT user_id AS key, CAST(ts AS DATE) AS date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume
     FROM events GROUP BY 1, 2""")
 BARS = f"SELECT key, date, {r('open')} AS open, {r('high')} AS high, {r('low')} AS low, {r('close')} AS close, volume FROM c_bars"
 q("daily_bars", BARS)
 q("streamed_daily_bars", f"{BARS} WHERE CAST(date + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 q("streamed_price_ingest", f"SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS rows, {r('sum(volume)')} AS volume FROM c_prices GROUP BY 1")
-q("streamed_rescoring", f"""SELECT date, count(*) AS rows, max(rank) AS worst_rank, {r('sum(abs(composite_score))')} AS total FROM c_scored WHERE date > {back(120)} GROUP BY 1""")
+q("streamed_rescoring", f"""SELECT date, count(*) AS rows, max(rank) AS worst_rank, {r('sum(abs(composite_score))')} AS total FROM c_scored GROUP BY 1""")
 
 
 def statements() -> dict[str, str]:

@@ -42,22 +42,22 @@ q("sector_rankings", f"""SELECT p.sector, n_stocks, {PERF}, sector_rank, positio
       SELECT t.sector, t.symbol, s.rank, s.composite_score AS score, row_number() OVER (PARTITION BY t.sector ORDER BY s.rank, s.stock_id) AS position
       FROM c_scored s JOIN c_stocks t USING (stock_id) WHERE s.date = {LAST}) x ON x.sector = p.sector AND position <= 3 WHERE sector_rank <= 10""")
 cte("c_pos", """SELECT o_custkey AS user_id, upper(s_name) AS symbol, sum(l_extendedprice) AS invested_amount, sum(l_quantity) AS quantity FROM lineitem
-    JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey <= 20 GROUP BY 1, 2""")
+    JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""")
 q("tracker_positions", f"SELECT user_id, symbol, {r('round(invested_amount, 2)')} AS invested_amount, {r('quantity')} AS quantity FROM c_pos WHERE quantity >= 20")
 cte("c_lastp", "SELECT upper(symbol) AS symbol, arg_max(close, date) AS current_price, max(date) AS price_date FROM c_prices JOIN c_stocks USING (stock_id) GROUP BY 1")
 q("latest_prices", f"SELECT symbol, {r('current_price + 1e-9')} AS current_price, price_date FROM c_lastp")
 
 
 def valued(src: str) -> str:
-    return f"""SELECT user_id, symbol, {r('invested_amount')} AS invested_amount, {r('quantity')} AS quantity, {r('current_price')} AS current_price, price_date,
-      price_source, {r('invested_amount / quantity')} AS average_cost, {r('current_price * quantity')} AS current_amount, {r('current_price * quantity - invested_amount')} AS pnl,
-      {r('(current_price * quantity - invested_amount) / invested_amount')} AS pnl_pct FROM {src}"""
+    return f"""SELECT user_id, symbol, CAST(CAST(invested_amount AS FLOAT) AS DOUBLE) AS invested_amount, CAST(CAST(quantity AS FLOAT) AS DOUBLE) AS quantity, CAST(CAST(current_price AS FLOAT) AS DOUBLE) AS current_price, price_date,
+      price_source, CAST(CAST(invested_amount / quantity AS FLOAT) AS DOUBLE) AS average_cost, CAST(CAST(current_price * quantity AS FLOAT) AS DOUBLE) AS current_amount, CAST(CAST(current_price * quantity - invested_amount AS FLOAT) AS DOUBLE) AS pnl,
+      CAST(CAST((current_price * quantity - invested_amount) / invested_amount AS FLOAT) AS DOUBLE) AS pnl_pct FROM {src}"""
 
 
 cte("c_val", "SELECT p.*, l.current_price, l.price_date, 'database' AS price_source FROM c_pos p LEFT JOIN c_lastp l USING (symbol)")
 q("tracker_valuation", valued("c_val"))
-q("tracker_summary", f"""SELECT user_id, {r('ti')} AS total_invested, {r('tc')} AS total_current, pp AS priced_positions, tp AS total_positions, d AS latest_price_date,
-    {r('tc - ti')} AS total_pnl, {r('(tc - ti) / ti')} AS total_pnl_pct FROM (SELECT user_id, sum(invested_amount) AS ti, sum(coalesce(current_price * quantity, 0)) AS tc,
+q("tracker_summary", f"""SELECT user_id, CAST(CAST(ti AS FLOAT) AS DOUBLE) AS total_invested, CAST(CAST(tc AS FLOAT) AS DOUBLE) AS total_current, pp AS priced_positions, tp AS total_positions, d AS latest_price_date,
+    CAST(CAST(tc - ti AS FLOAT) AS DOUBLE) AS total_pnl, CAST(CAST((tc - ti) / ti AS FLOAT) AS DOUBLE) AS total_pnl_pct FROM (SELECT user_id, sum(invested_amount) AS ti, sum(coalesce(current_price * quantity, 0)) AS tc,
     count(current_price) AS pp, count(*) AS tp, max(price_date) AS d FROM c_val GROUP BY 1)""")
 cte("c_ovl", """SELECT p.*, CASE WHEN t.market_cap > 0 THEN l.current_price * 1.02 ELSE l.current_price END AS current_price,
     CASE WHEN t.market_cap > 0 AND l.current_price IS NOT NULL THEN l.price_date + 1 ELSE l.price_date END AS price_date,
@@ -104,12 +104,13 @@ q("recommendations", f"""SELECT stock_id, risk_profile, rec2 AS recommendation,
     {r('CASE WHEN sls > 80 THEN 0.0 ELSE mx * CASE WHEN s2 <= 2 THEN 0.4 WHEN s2 = 3 THEN 0.7 ELSE 1.0 END END')} AS allocation_max,
     {r('0.6 * least(1, greatest(0, coalesce(composite_score, 50) / 100)) - 0.3 * least(1, greatest(0, sls / 100)) + 0.1 * 0.5')} AS final_stock_score, {r('sls')} AS stop_loss_score
     FROM c_rec CROSS JOIN (VALUES ('conservative', 0.05), ('moderate', 0.10), ('aggressive', 0.15)) p(risk_profile, mx)""")
-q("recommendation_texts", """SELECT stock_id, conviction, rec2 AS recommendation, length('Composite score rank ' || rank || ', trend ' || trend_direction || '. Signal strength ' || s2 || '/5, conviction ' || conviction
-      || '. Stop-Loss Engine Score: ' || printf('%.1f', sls) || '/100.' || CASE WHEN regime = 'high_vol' THEN ' High-vol regime suggests caution on size.' ELSE '' END) AS explanation_chars,
-    CASE WHEN c = '' THEN 'Volatility regime is low; standard position sizing applies.' ELSE c END AS risk_commentary FROM (SELECT *, concat_ws(' ',
-      CASE WHEN regime = 'high_vol' THEN 'Stock is in a high-volatility regime.' END,
-      CASE WHEN sls > 80 THEN 'CRITICAL DOWNSIDE RISK (SLS > 80). Immediate exit suggested.'
-        WHEN sls > 60 THEN 'Elevated downside risk detected (SLS: ' || printf('%.1f', sls) || '). Consider tightening stops or reducing size.' END) AS c FROM c_rec)""")
+q("recommendation_texts", """SELECT stock_id, risk_profile, conviction, rec2 AS recommendation, 'Place ' || rank || ' by composite score with a trend that is ' || trend_direction || '. Strength ' || s2 || ' of 5, held with '
+      || lower(conviction) || ' conviction. The stop-loss score is ' || printf('%.1f', sls) || ' of 100.' || CASE WHEN regime = 'high_vol' THEN ' Hold less while volatility is high.' ELSE '' END AS explanation,
+    CASE WHEN c = '' THEN 'No warnings: volatility is low, so the usual size is fine.' ELSE c END AS risk_commentary FROM (SELECT *, concat_ws(' ',
+      CASE WHEN regime = 'high_vol' THEN 'Large swings: the stock is in the high-volatility group.' END,
+      CASE WHEN sls > 80 THEN 'Stop-loss score ' || printf('%.1f', sls) || ' is over 80, so the position should be closed.'
+        WHEN sls > 60 THEN 'Stop-loss score ' || printf('%.1f', sls) || ' is over 60: set a closer stop or hold less.' END) AS c FROM c_rec)
+    CROSS JOIN (VALUES ('conservative'), ('moderate'), ('aggressive')) p(risk_profile)""")
 cte("c_fund", """SELECT l_suppkey AS stock_id, strftime(l_shipdate, '%Y') || '-Q' || quarter(l_shipdate) AS quarter, sum(l_extendedprice * (1 - l_discount)) AS revenue,
     sum(l_extendedprice * (1 - l_discount) * (1 - l_tax)) - sum(l_extendedprice * 0.8) AS net_income FROM lineitem GROUP BY 1, 2""")
 q("fundamentals_by_quarter", f"SELECT stock_id, quarter, {r('revenue', 4)} AS revenue, {r('net_income', 4)} AS net_income FROM c_fund")

@@ -24,12 +24,13 @@ def shrinkage_lambda(n_obs: Column, k: float = PRIOR_STRENGTH) -> Column:
     return F.when(n_obs > 0, n_obs / (n_obs + F.lit(float(k)))).otherwise(F.lit(0.0))
 
 
-def trailing_returns(names: DataFrame, panel: DataFrame, spans: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """Last ``lookback`` daily returns of each group's names inside its calendar window.
+def trailing_returns(names: DataFrame, panel: DataFrame, spans: DataFrame, lookback: int | None = LOOKBACK) -> DataFrame:
+    """Last ``lookback`` daily returns (None: all) of each group's names inside its calendar window.
 
     names(grp, stock_id), spans(grp, lo_idx, hi_idx). The first day of the window has no return.
     """
-    first = F.greatest(F.col("lo_idx") + 1, F.col("hi_idx") - (lookback - 1))
+    opening = F.col("lo_idx") + 1
+    first = opening if lookback is None else F.greatest(opening, F.col("hi_idx") - (lookback - 1))
     days = spans.select("grp", first.alias("from_idx"), "hi_idx")
     return (
         names.select("grp", "stock_id")
@@ -65,8 +66,8 @@ def error_corrected(predicted: DataFrame, factors: DataFrame, calibration: DataF
     """Subtract the calibrated bias b0 + b * factors from the predictions.
 
     predicted(grp, stock_id, mu); factors(grp, stock_id, any *_score columns);
-    calibration: one row (intercept, beta_momentum, beta_quality, beta_value,
-    beta_volatility). Missing factor columns and values count as zero. Without a
+    calibration: rows (window_end?, intercept, beta_momentum, beta_quality, beta_value,
+    beta_volatility), of which the newest window counts. Missing factor columns and values count as zero. Without a
     calibration, or when disabled, the predictions stay as they are.
     """
     if not enabled or calibration is None:
@@ -74,7 +75,9 @@ def error_corrected(predicted: DataFrame, factors: DataFrame, calibration: DataF
     wanted = ["momentum", "quality", "value", "volatility"]
     have = [w for w in wanted if f"{w}_score" in factors.columns]
     joined = predicted.join(factors.select("grp", "stock_id", *[f"{w}_score" for w in have]), ["grp", "stock_id"], "left")
-    one = bounded(calibration.select("intercept", *[f"beta_{w}" for w in wanted]).limit(1))
+    ages = ["window_end"] if "window_end" in calibration.columns else []
+    newest = F.max(F.struct(*ages, "intercept", *[f"beta_{w}" for w in wanted])).alias("c")
+    one = bounded(calibration.agg(newest).select("c.intercept", *[f"c.beta_{w}" for w in wanted]))
     bias: Column = F.coalesce("intercept", F.lit(0.0))
     for w in have:
         bias = bias + F.coalesce(f"beta_{w}", F.lit(0.0)) * F.coalesce(f"{w}_score", F.lit(0.0))
@@ -90,26 +93,13 @@ def covariance_report(returns: DataFrame, method: str = "manual", alpha: float =
     """
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         wide = linalg.wide_returns(pdf, sorted(pdf["stock_id"].unique()))
-        out = linalg.robust_covariance(wide, method, alpha)
-        m = out.pop("matrix")
-        eig = np.linalg.eigvalsh(m)
-        return pd.DataFrame(
-            [
-                {
-                    "grp": key[0],
-                    **out,
-                    "min_eigenvalue": float(eig.min()),
-                    "max_eigenvalue": float(eig.max()),
-                    "is_positive_definite": bool(eig.min() > 0),
-                    "is_symmetric": bool(np.allclose(m, m.T, atol=1e-10)),
-                    "rank": int(np.linalg.matrix_rank(m)),
-                }
-            ]
-        )
+        return pd.DataFrame([{"grp": key[0], **linalg.robust_covariance(wide, method, alpha).report()}])[columns]
 
+    columns = [
+        "grp", "shrinkage", "cond_before", "cond_after", "jitter", "n_assets", "n_obs",
+        "min_eigenvalue", "max_eigenvalue", "is_positive_definite", "is_symmetric", "rank",
+    ]
     return returns.groupBy("grp").applyInPandas(
         one,
         "grp int, shrinkage double, cond_before double, cond_after double, jitter double, n_assets int, n_obs int, "

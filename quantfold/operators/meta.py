@@ -11,6 +11,7 @@ from quantfold.operators.backtest import equity_curve
 from quantfold.tables import bounded
 
 CAP = 0.6
+MOST_PORTFOLIOS = 6
 
 
 def as_observations(curve: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,12 +47,12 @@ def searched_weights(curve: DataFrame, scores: DataFrame, names: list[str], step
     """Best point of a weight grid for Sharpe - 0.2 * stop-loss penalty + 0.1 * responsiveness bonus.
 
     Weights are multiples of 1/steps, none above the cap, summing to one. The
-    grid is generated and scored in parallel; names holds the (at most six)
-    portfolios. scores(portfolio, stop_loss_score, rrc_score).
+    grid is generated and scored in parallel; names holds the portfolios that are
+    compared, ``MOST_PORTFOLIOS`` at most (a limit of the feature). scores(portfolio, stop_loss_score, rrc_score).
     """
     n = len(names)
-    if n > 6:
-        raise ValueError("a comparison holds at most six portfolios")
+    if n > MOST_PORTFOLIOS:
+        raise ValueError(f"a comparison holds at most {MOST_PORTFOLIOS} portfolios; choose the ones to compare")
     spark = curve.sparkSession
     cap = CAP if n * CAP >= 1.0 else 1.0
     base = steps + 1

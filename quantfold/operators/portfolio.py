@@ -63,22 +63,21 @@ def top_ranked(cands: DataFrame, keys: list[str], top_n: Column | int) -> DataFr
 
 
 def strategy_weights(
-    cands: DataFrame, specs: DataFrame | Sequence[tuple[str, str, int]], *, max_top_n: int = 50, null_vol_as_zero: bool = False
+    cands: DataFrame, specs: DataFrame | Sequence[tuple[str, str, int]], *, null_vol_as_zero: bool = False
 ) -> DataFrame:
     """Equal and inverse-volatility weights of the top names per portfolio and rebalance date.
 
     cands(portfolio?, reb_no, reb_date, stock_id, rank, volatility_score);
     specs(portfolio, strategy, top_n): a table joined on the portfolio, or, when the
-    candidates have no portfolio column, parameter rows that all share them. ``max_top_n`` bounds every spec (50 names
-    per portfolio in the product), which lets Spark cut each map task's output
-    to that many rows per group before the shuffle.
+    candidates have no portfolio column, parameter rows that all share them. Parameter rows
+    bound the names per date, so Spark cuts each map task's output before the shuffle.
     """
     if "portfolio" in cands.columns:
         wide = cands.join(specs, "portfolio")
         keys = ["portfolio", "reb_no", "reb_date"]
-        top = top_ranked(wide, keys, max_top_n).where(F.col("position") <= F.col("top_n"))
+        top = top_ranked(wide, keys, F.col("top_n"))
     else:
-        shared = top_ranked(cands, ["reb_no", "reb_date"], max_top_n)
+        shared = top_ranked(cands, ["reb_no", "reb_date"], max((n for _, _, n in specs), default=0))
         rows = F.array(
             *[F.struct(F.lit(p).alias("portfolio"), F.lit(s).alias("strategy"), F.lit(n).alias("top_n")) for p, s, n in specs]
         )

@@ -58,7 +58,7 @@ def forward_returns(m: Market) -> DataFrame:
 def predicted_returns(m: Market) -> DataFrame:
     """Shrinkage prediction next to the score proxy."""
     day = m.scored.join(F.broadcast(as_of(m).select("grp", F.col("score_date").alias("date"))), "date")
-    r = est.trailing_returns(day, priced(m), _spans(m, est.LOOKBACK_CALENDAR), em.ANY_NUMBER_OF_ROWS)
+    r = est.trailing_returns(day, priced(m), _spans(m, est.LOOKBACK_CALENDAR), None)
     proxy = day.select("grp", "stock_id", est.predicted_from_score(F.col("composite_score")).alias("score_return"))
     return tidy(proxy.join(est.predicted_from_shrinkage(r), ["grp", "stock_id"], "left"))
 

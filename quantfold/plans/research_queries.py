@@ -98,7 +98,7 @@ def meta_asset_scores(m: Market) -> DataFrame:
 
 @query("meta_weights_search", "M1")
 def meta_weights_search(m: Market) -> DataFrame:
-    names = [r.portfolio for r in user_specs(m).select("portfolio").orderBy("portfolio").take(7)]
+    names = [r.portfolio for r in user_specs(m).select("portfolio").orderBy("portfolio").take(mt.MOST_PORTFOLIOS + 1)]
     return tidy(mt.searched_weights(user_curve(m), meta_scores(m), names))
 
 

@@ -16,7 +16,9 @@ from quantfold.streaming import ingest
 
 
 def _cutoff(m: Market, back: int):
-    return m.calendar.where(F.col("idx") == m.last_idx - back).first()["date"]
+    """Date ``back`` days before the last, or the first of a shorter calendar."""
+    at = F.greatest(F.lit(m.last_idx - back), F.min("idx"))
+    return m.calendar.agg(at.alias("idx")).join(m.calendar, "idx").first()["date"]
 
 
 @query("incremental_append", "S11 J16")
@@ -104,9 +106,10 @@ ALLOCATION_KEY = ["user_id", "portfolio_type", "portfolio_name", "rebalance_date
 
 @query("monthly_allocation_append", "S17")
 def monthly_allocation_append(m: Market) -> DataFrame:
-    """Stored: the first 60 rebalances. Offered: number 55 on. Null user and name count as equal."""
+    """Stored: all but the last 8 rebalances. Offered: the last 14. Null user and name count as equal."""
     a = allocations(m)
-    stored, offered = a.where("reb_no <= 60"), a.where("reb_no >= 55")
+    last = m.rebalances.agg(F.max("reb_no")).first()[0]
+    stored, offered = a.where(F.col("reb_no") <= last - 8), a.where(F.col("reb_no") >= last - 13)
     return wr.append_counts(stored, offered, ALLOCATION_KEY, ["rebalance_date"])
 
 
@@ -224,8 +227,6 @@ def streamed_rescoring(m: Market) -> DataFrame:
         dates = m.score_dates.join(m.prices.select("date").distinct(), "date", "left_semi")
         dates.coalesce(1).write.mode("overwrite").parquet(f"{root}/date_files")
         stream = ingest.file_stream(m.spark, f"{root}/date_files", dates.schema)
-        last = F.lit(_cutoff(m, 120))
-        recent = stream.where(F.col("date") > last)
 
         def score(d: DataFrame) -> DataFrame:
             from quantfold.operators import factors as fac
@@ -233,7 +234,7 @@ def streamed_rescoring(m: Market) -> DataFrame:
             touched = m.raw_factors.join(F.broadcast(d), "date", "left_semi")
             return fac.scores(fac.normalised_factors(touched)).repartition("date")
 
-        ingest.rescore_touched_dates(recent, f"{root}/score_table", f"{root}/score_checkpoint", score).awaitTermination()
+        ingest.rescore_touched_dates(stream, f"{root}/score_table", f"{root}/score_checkpoint", score).awaitTermination()
         m.stage._tables["rescored"] = m.spark.read.parquet(f"{root}/score_table")
     return tidy(
         m.stage.get("rescored").groupBy("date").agg(

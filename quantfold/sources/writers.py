@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,11 +78,13 @@ def write_partitions(df: DataFrame, path: str, partition: Sequence[str]) -> None
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    """A stored table, or no rows where there is none yet."""
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return like.limit(0)
-    return spark.read.schema(like.schema).parquet(path)
 
 
 def last_price_dates(prices: DataFrame) -> DataFrame:

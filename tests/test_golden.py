@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quantfold.functions import exprs as ex
 from quantfold.functions import linalg
 from quantfold.functions.ols import ols
-from quantfold.operators import auto_n, error_model, estimators, factors, governance, meta, rating, risk, signals, stability, tracker
+from quantfold.operators import auto_n, error_model, estimators, factors, governance, meta, portfolio, rating, risk, signals, stability, tracker
 from quantfold.tables import literal_rows
 
 
@@ -81,13 +81,16 @@ def test_covariance_edges():
     singular = np.array([[1.0, 1.0], [1.0, 1.0]])
     fixed, jitter = linalg.positive_definite(singular)
     assert jitter > 0 and np.linalg.eigvalsh(fixed).min() > 0
+    # the steps add up: 1e-8 does not lift -5e-8, 1e-8 + 1e-7 does
+    lifted, added = linalg.positive_definite(np.diag([1.0, -5e-8]))
+    assert added == pytest.approx(1.1e-7) and lifted[1, 1] == pytest.approx(6e-8)
     one = linalg.robust_covariance(pd.DataFrame({"a": [0.01, -0.02, 0.03]}))
-    assert one["matrix"].shape == (1, 1) and one["matrix"][0, 0] > 0
+    assert one.matrix.shape == (1, 1) and one.matrix[0, 0] > 0
     rng = np.random.default_rng(42)
     x = pd.DataFrame(rng.normal(0, 0.02, (60, 5)))
     out = linalg.robust_covariance(x)
     s = x.cov().to_numpy()
-    assert np.allclose(out["matrix"], (0.8 * s + 0.2 * np.diag(s).mean() * np.eye(5)) * 252)
+    assert np.allclose(out.matrix, (0.8 * s + 0.2 * np.diag(s).mean() * np.eye(5)) * 252)
     assert 0 <= linalg.ledoit_wolf_intensity(x.to_numpy()) <= 1
 
 
@@ -98,7 +101,7 @@ def test_portfolio_variance_needs_no_pairs(spark):
     rows = pd.DataFrame([(1, s, t, x[t, s]) for t in range(90) for s in range(4)], columns=["grp", "stock_id", "idx", "ret"])
     weights = pd.DataFrame({"grp": 1, "stock_id": range(4), "weight": w})
     got = estimators.portfolio_moments(frame(spark, rows), frame(spark, weights), []).first()["expected_volatility"]
-    cov = linalg.robust_covariance(pd.DataFrame(x))["matrix"]
+    cov = linalg.robust_covariance(pd.DataFrame(x)).matrix
     assert got == pytest.approx(math.sqrt(w @ cov @ w), rel=1e-9)
 
 
@@ -275,3 +278,12 @@ def test_recommendation_overrides(spark):
     assert got[1] == ("Exit", "Low", 0.0)
     assert got[2][0] == "Hold" and got[2][2] == pytest.approx(0.04)
     assert got[3] == ("Buy", "High", 0.10)
+
+
+def test_portfolios_of_any_size(spark):
+    rows = [(1, dt.date(2024, 1, 31), i, i, 0.1) for i in range(1, 81)]
+    cands = spark.createDataFrame(rows, "reb_no int, reb_date date, stock_id long, rank int, volatility_score double")
+    assert portfolio.strategy_weights(cands, [("big", "equal_weight", 60), ("small", "equal_weight", 5)]).groupBy("portfolio").count().orderBy("portfolio").collect() == [("big", 60), ("small", 5)]
+    specs = spark.createDataFrame([("big", "equal_weight", 60)], "portfolio string, strategy string, top_n int")
+    own = cands.withColumn("portfolio", F.lit("big"))
+    assert portfolio.strategy_weights(own, specs).count() == 60

@@ -62,6 +62,18 @@ def test_price_stream_survives_a_replay(spark, tmp_path):
     assert spark.read.parquet(table).count() == 2
 
 
+def test_price_stream_takes_history_later(spark, tmp_path):
+    src, table = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda m, d: dt.date(2024, m, d)
+    batches = [[day(3, 1), day(3, 4)], [day(1, 5), day(1, 8), day(3, 4)], [day(3, 5), day(1, 5)]]
+    for days in batches:
+        df = spark.createDataFrame([(1, d, 10.0) for d in days], "stock_id long, date date, close double")
+        df.coalesce(1).write.mode("append").parquet(src)
+        ingest.append_prices(ingest.file_stream(spark, src, df.schema), table, str(tmp_path / "cp")).awaitTermination()
+    got = sorted(r["date"] for r in spark.read.parquet(table).collect())
+    assert got == sorted({d for days in batches for d in days})
+
+
 def test_late_ticks_do_not_reopen_a_day(spark, tmp_path):
     src, table, cp = (str(tmp_path / x) for x in ("ticks", "bars", "cp"))
     t = lambda d, h: dt.datetime(2024, 1, d, h)
