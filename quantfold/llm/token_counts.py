@@ -61,28 +61,30 @@ class Segmenter:
 
     def count(self, word: str) -> tuple[int, int]:
         """Pieces of a word and how many of them are unknown."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, found in self.automaton.iter(word):
-            ends[last + 1].append(found)
-        best = [0.0] * (n + 1)
-        pieces = [(0, 0)] * (n + 1)
-        open_unknown = [False] * (n + 1)
-        for end in range(1, n + 1):
-            top = None
-            # longer pieces begin earlier
-            for length, score in sorted(ends[end], reverse=True):
+        # per place of the word: best score, pieces and unknown pieces of its path, and whether that ends in an unknown piece
+        best, pieces, unknown, open_end = [0.0], [0], [0], [False]
+        matches = self.automaton.iter(word)
+        last, found = next(matches, (-1, None))
+        for end, letter in enumerate(word, 1):
+            top, start = None, 0
+            while last == end - 1:
+                length, score = found
                 total = score + best[end - length]
-                if top is None or total > top:
-                    top, start, unknown = total, end - length, False
-            if word[end - 1] not in self.single:
+                # of equal scores the earliest start wins
+                if top is None or total > top or (total == top and end - length < start):
+                    top, start = total, end - length
+                last, found = next(matches, (-1, None))
+            skipped = False
+            if letter not in self.single:
                 total = self.unknown + best[end - 1]
                 if top is None or total > top:
-                    top, start, unknown = total, end - 1, True
-            best[end], open_unknown[end] = top, unknown
-            more = 0 if unknown and open_unknown[start] else 1
-            pieces[end] = (pieces[start][0] + more, pieces[start][1] + (more if unknown else 0))
-        return pieces[n]
+                    top, start, skipped = total, end - 1, True
+            more = 0 if skipped and open_end[start] else 1
+            best.append(top)
+            pieces.append(pieces[start] + more)
+            unknown.append(unknown[start] + (more if skipped else 0))
+            open_end.append(skipped)
+        return pieces[-1], unknown[-1]
 
 
 _made: dict[int, tuple[Segmenter, dict[int, tuple[int, int]]]] = {}
