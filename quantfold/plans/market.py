@@ -22,6 +22,8 @@ class Market:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
+        # joins on stock and day then read the panel's buckets as they are and deal out the other side by stock only
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.sf_dir = sf_dir.rstrip("/")
         self.stage = Stage(spark, self.sf_dir.rsplit("/", 1)[-1], bucket_count(self.table("lineitem")))
 

@@ -47,3 +47,20 @@ def test_contract_needs_no_session():
 def test_entry_runs(spark, sf_dir):
     df = entry.entry(spark)
     assert {"portfolio", "cagr", "sharpe"} <= set(df.columns) and df.count() == 2
+
+
+def test_backtests_read_the_panel_by_bucket(spark, sf_dir):
+    from quantfold.operators import backtest as bt
+    from quantfold.plans.core_queries import both_weights
+    from quantfold.plans.market import market
+
+    m = market(spark, sf_dir)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        periods = m.rebalances.select("reb_no", "reb_idx", "end_idx")
+        plan = bt.period_returns(both_weights(m), periods, m.panel)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scans = [x for x in plan.splitlines() if "qf_panel" in x]
+    assert scans and all("Bucketed: true" in x for x in scans)
