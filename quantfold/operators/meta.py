@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +30,22 @@ def as_observations(curve: DataFrame) -> tuple[DataFrame, DataFrame]:
     return obs, span
 
 
-def heuristic_weights(metrics: DataFrame) -> DataFrame:
-    """Proportional to positive Sharpe (equal when none is positive), clipped to the cap, renormalised once."""
-    part = Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(part)
-    cap = F.when(n * CAP >= 1.0, F.lit(CAP)).otherwise(F.lit(1.0))
+def heuristic_weights(metrics: DataFrame, peers: Sequence[str] = ()) -> DataFrame:
+    """Proportional to positive Sharpe (equal when none is positive), clipped to the cap, renormalised once.
+
+    The weights of each peer group (all rows, or those of one key) sum to one.
+    """
+    keys = list(peers)
     pos = F.greatest("sharpe", F.lit(0.0))
-    raw = F.when(F.sum(pos).over(part) > 0, pos / F.sum(pos).over(part)).otherwise(1.0 / n)
-    return (
-        metrics.select("portfolio", "sharpe")
-        .withColumn("_w", raw)
-        .withColumn("_c", F.least("_w", cap))
-        .select("portfolio", (F.col("_c") / F.sum("_c").over(part)).alias("weight"))
-    )
+    sums = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(pos).alias("_pos"))
+    both = metrics.select(*keys, "portfolio", "sharpe")
+    both = both.join(sums, keys) if keys else both.crossJoin(sums)
+    cap = F.when(F.col("_n") * CAP >= 1.0, F.lit(CAP)).otherwise(F.lit(1.0))
+    raw = F.when(F.col("_pos") > 0, pos / F.nullif(F.col("_pos"), F.lit(0.0))).otherwise(1.0 / F.col("_n"))
+    clipped = both.select(*keys, "portfolio", F.least(raw, cap).alias("_c"))
+    total = clipped.groupBy(*keys).agg(F.sum("_c").alias("_t"))
+    both = clipped.join(total, keys) if keys else clipped.crossJoin(total)
+    return both.select(*keys, "portfolio", (F.col("_c") / F.col("_t")).alias("weight"))
 
 
 def searched_weights(curve: DataFrame, scores: DataFrame, names: list[str], steps: int = 20, alpha: float = 0.8) -> DataFrame:

@@ -105,8 +105,8 @@ def custom_weights(cands: DataFrame, custom: DataFrame) -> DataFrame:
     """
     keys = ["portfolio", "reb_no", "reb_date"]
     held = cands.select("reb_no", "reb_date", "stock_id").join(custom, "stock_id")
-    total = F.sum("custom_weight").over(Window.partitionBy(*keys))
-    return held.withColumn("_t", total).select(
+    total = held.groupBy(*keys).agg(F.sum("custom_weight").alias("_t"))
+    return held.join(total, keys).select(
         *keys,
         "stock_id",
         F.when(F.col("_t") > 0, F.col("custom_weight") / F.col("_t")).otherwise(F.col("custom_weight")).alias("weight"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,32 +93,25 @@ def normalised_rating(df: DataFrame) -> DataFrame:
     return df.withColumn("rating_score", score)
 
 
-def minmax_metrics(metrics: DataFrame) -> DataFrame:
-    """Peer-normalised metrics: position between the peers' minimum and maximum."""
-    w = Window.partitionBy(F.lit(0))
-
-    def scaled(c: Column) -> Column:
-        return minmax(c, F.min(c).over(w), F.max(c).over(w))
-
-    return metrics.select(
-        "portfolio",
-        scaled(F.col("sharpe")).alias("sharpe_norm"),
-        scaled(F.col("cagr")).alias("cagr_norm"),
-        scaled(F.abs("max_drawdown")).alias("maxdd_norm"),
-        scaled(F.col("calmar")).alias("calmar_norm"),
-    )
+def minmax_metrics(metrics: DataFrame, peers: Sequence[str] = ()) -> DataFrame:
+    """Peer-normalised metrics: position between the peers' minimum and maximum (peers: all rows, or those of one key)."""
+    values = {"sharpe": F.col("sharpe"), "cagr": F.col("cagr"), "maxdd": F.abs("max_drawdown"), "calmar": F.col("calmar")}
+    ends = [end(v).alias(f"_{k}_{name}") for k, v in values.items() for name, end in (("lo", F.min), ("hi", F.max))]
+    bounds = metrics.groupBy(*peers).agg(*ends)
+    both = metrics.join(bounds, list(peers)) if peers else metrics.crossJoin(bounds)
+    return both.select(*peers, "portfolio", *[minmax(v, F.col(f"_{k}_lo"), F.col(f"_{k}_hi")).alias(f"{k}_norm") for k, v in values.items()])
 
 
-def portfolio_correlation(curve: DataFrame) -> DataFrame:
-    """Correlation and sample covariance of every pair of portfolios on shared dates.
+def portfolio_correlation(curve: DataFrame, comparison: Sequence[str] = ()) -> DataFrame:
+    """Correlation and sample covariance of every pair of portfolios of a comparison on shared dates.
 
-    A comparison holds at most six portfolios, which bounds the pairs per date.
+    A comparison (all rows, or those of one key) holds at most six portfolios, which bounds the pairs per date.
     """
-    a = curve.select("date", F.col("portfolio").alias("portfolio_a"), F.col("daily_return").alias("ra"))
-    b = curve.select("date", F.col("portfolio").alias("portfolio_b"), F.col("daily_return").alias("rb"))
+    a = curve.select(*comparison, "date", F.col("portfolio").alias("portfolio_a"), F.col("daily_return").alias("ra"))
+    b = curve.select(*comparison, "date", F.col("portfolio").alias("portfolio_b"), F.col("daily_return").alias("rb"))
     return (
-        a.join(b, "date")
-        .groupBy("portfolio_a", "portfolio_b")
+        a.join(b, [*comparison, "date"])
+        .groupBy(*comparison, "portfolio_a", "portfolio_b")
         .agg(safe_corr("ra", "rb").alias("correlation"), F.covar_samp("ra", "rb").alias("covariance"))
     )
 
