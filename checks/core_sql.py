@@ -43,6 +43,9 @@ SNAP = f"""SELECT s.date, s.rank, s.stock_id, t.symbol, t.name, t.sector, {r('s.
     {r('s.volatility_score')} AS volatility_score FROM c_scored s JOIN c_stocks t USING (stock_id)"""
 q("ranked_snapshot_latest", f"{SNAP} WHERE s.date = {LAST}")
 q("ranked_snapshot_sector", f"{SNAP} WHERE s.date IN (SELECT score_date FROM c_reb) AND t.sector ILIKE '%ia%'")
+q("ranked_snapshot_symbols", f"{SNAP} WHERE s.date = {LAST} AND t.symbol LIKE '%7'")
+q("top_stocks_filtered", f"""SELECT date, symbol, rank, {r('composite_score')} AS composite_score FROM c_scored JOIN c_stocks USING (stock_id)
+    WHERE lower(sector) = 'asia' AND composite_score >= 0.1 QUALIFY row_number() OVER (PARTITION BY date ORDER BY rank, stock_id) <= 3""")
 q("top_stocks", f"""SELECT symbol, rank, {r('composite_score * 100', 2)} AS score, {r('volatility_score * 100', 2)} AS volatility
     FROM c_scored JOIN c_stocks USING (stock_id) WHERE date = {LAST} AND composite_score >= 0 ORDER BY rank, stock_id LIMIT 10""")
 q("score_history", f"""SELECT stock_id, date, {r('composite_score')} AS composite_score, rank FROM c_scored

@@ -179,16 +179,19 @@ def ranked_snapshot(
     stocks: DataFrame,
     dates: DataFrame,
     *,
-    symbols: list[str] | None = None,
+    symbols: list[str] | DataFrame | None = None,
     sector: str | None = None,
 ) -> DataFrame:
     """Ranked stocks on the given score dates.
 
     ``symbols=None`` or an empty list means no filter; unknown symbols match nothing.
+    A longer list can be a table with the column ``symbol``.
     ``sector`` is a case-insensitive substring.
     """
     names = stocks.select("stock_id", "symbol", "name", "sector")
-    if symbols:
+    if isinstance(symbols, DataFrame):
+        names = names.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("stock_id", "symbol", "name", "sector")
+    elif symbols:
         names = names.where(F.col("symbol").isin(list(symbols)))
     if sector:
         names = names.where(F.lower("sector").contains(sector.lower()))

@@ -107,6 +107,22 @@ def ranked_snapshot_sector(m: Market) -> DataFrame:
     return tidy(fac.ranked_snapshot(m.scored, m.stocks, dates, sector="IA"))
 
 
+@query("ranked_snapshot_symbols", "D9 F4")
+def ranked_snapshot_symbols(m: Market) -> DataFrame:
+    """Last date, the symbols that end in 7 and one that does not exist."""
+    wanted = m.stocks.where(F.col("symbol").endswith("7")).select("symbol").unionByName(m.spark.sql("SELECT 'NO SUCH STOCK' AS symbol"))
+    dates = m.scored.where(F.col("date") == F.lit(m.last_score_date)).select("date").limit(1)
+    return tidy(fac.ranked_snapshot(m.scored, m.stocks, dates, symbols=wanted))
+
+
+@query("top_stocks_filtered", "O3 F6 F7")
+def top_stocks_filtered(m: Market) -> DataFrame:
+    """The three best names per score date of the sector asia (in any case) with a score of 0.1 or more."""
+    snap = fac.ranked_snapshot(m.scored, m.stocks, m.score_dates)
+    kept = snap.where((F.lower("sector") == "asia") & (F.col("composite_score") >= 0.1))
+    return tidy(pf.top_ranked(kept, ["date"], 3).select("date", "symbol", "rank", "composite_score"))
+
+
 @query("top_stocks", "O3 F6 F7 L3")
 def top_stocks(m: Market) -> DataFrame:
     """Ten best names of the last date with a non-negative score."""
