@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quantfold.tables import Stage
 
 
-def components(links: DataFrame, stage: Stage) -> DataFrame | None:
-    """node, comp (the smallest node it reaches) for all nodes in ``links`` (a, b); None without links.
+def components(links: DataFrame, stage: Stage) -> DataFrame:
+    """node, comp (the smallest node it reaches) for all nodes in ``links`` (a, b).
 
     Each round points every node at its smallest neighbour, follows the pointers
     once and contracts the links; a round at least halves the nodes that still
@@ -31,7 +31,7 @@ def components(links: DataFrame, stage: Stage) -> DataFrame | None:
         right = pointers.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         current = current.join(left, "a").join(right, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a <> b")
     if not rounds:
-        return None
+        return current.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     comp = rounds[0].withColumnRenamed("to", "comp")
     for pointers in rounds[1:]:
         later = pointers.select(F.col("node").alias("comp"), F.col("to").alias("later"))

@@ -2,10 +2,11 @@
 
 A document's set is its distinct word shingles. Two sets link when
 ``den * |x and y| >= num * |x or y|``. Equal sets are one node. Shingles are ordered
-by the count of their bucket in a counting sketch of the whole corpus (rare first;
-any order that all sets share is exact, rarity only makes it fast). Linked sets
-share one of the first ``n - ceil(num * n / den) + 1`` shingles, so only those
-prefixes are joined, and a pair is dropped early by
+by the count of their rarest word, which is no less than their own, from a counting
+sketch of all words of the corpus (rare first; any order that all sets share is exact,
+rarity only makes it fast). Linked sets share one of the first
+``n - ceil(num * n / den) + 1`` shingles, so only those prefixes are joined, less the
+shingles with a word that occurs once. A pair is dropped early by
 
 * its sizes (length filter),
 * the places of the shared shingle (positional filter),
@@ -13,14 +14,15 @@ prefixes are joined, and a pair is dropped early by
   that only one of the sets has (suffix filter),
 
 and verified once, on the whole sets, if it survives. Links are followed to
-components in two rounds, so that no group is expanded into pairs: first every node
-meets one hub per shared shingle and is verified against the most promising one;
-then all pairs that share a prefix shingle and still lie in different components are
-filtered and verified. The second round leaves out only pairs that are already
-connected, so components are exact.
+components in rounds, so that no group is expanded into pairs. In a hub round every
+node meets a few hubs per shared shingle, chosen by hash, and is verified against some
+that survive the filters; that joins most of every component at a cost in proportion to
+the postings. The last round takes all pairs that share a prefix shingle and still lie in
+different components, and leaves out only pairs that are already connected, so
+components are exact.
 
-Shingles with more than ``hot`` occurrences (a share of the corpus, from the sketch)
-are split among hubs, and in the second round into blocks that meet pairwise.
+Shingles with more than ``hot`` occurrences (a multiple of the sketch's mean) are split
+among hubs by salt, and in the last round into blocks that meet pairwise.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and
 are components of their own; a text with fewer words than a shingle is one shingle;
@@ -45,11 +47,13 @@ from quantfold.llm import wordscan
 from quantfold.llm.components import components
 from quantfold.tables import Stage
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SKETCH_PARTS = 64
 HOT_LEAST = 2000
 HOT_TIMES_MEAN = 4
 SEEN_BITS = 23
+HUB_ROUNDS, HUBS, PER_ROUND = 2, 3, 3
+FEW_PAIRS = 50_000
 SIG = [f"s{i}" for i in range(8)]
 
 
@@ -63,6 +67,10 @@ class Rule:
         return n - -(-self.num * n // self.den) + 1
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _sets(texts: pa.Array, width: int):
     """Sorted distinct shingle hashes of each row."""
     for lo, hi in wordscan.chunks(texts):
@@ -71,12 +79,23 @@ def _sets(texts: pa.Array, width: int):
             yield np.unique(found[at[r] : at[r + 1]])
 
 
+def _counted_sets(texts: pa.Array, width: int, counts: np.ndarray):
+    """The same with the count of the rarest word of each shingle."""
+    for lo, hi in wordscan.chunks(texts):
+        words = wordscan.scan(texts.slice(lo, hi - lo))
+        found, at = wordscan.windows(words, width)
+        rarest = wordscan.least_in_windows(words, width, counts[_bucket(words.hash)])
+        for r in range(hi - lo):
+            tokens, place = np.unique(found[at[r] : at[r + 1]], return_index=True)
+            yield tokens, rarest[at[r] : at[r + 1]][place]
+
+
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """Occurrences per bucket (the top bits of the hash) over all documents; a fixed-size array."""
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """Word occurrences per bucket (the top bits of the hash) over all documents; a fixed-size array."""
     size = 1 << SKETCH_BITS
 
     def count(batches):
@@ -84,66 +103,73 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
         for b in batches:
             texts = b.column(0)
             for lo, hi in wordscan.chunks(texts):
-                found, _ = wordscan.windows(wordscan.scan(texts.slice(lo, hi - lo)), width)
-                total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                np.add.at(total, _bucket(wordscan.scan(texts.slice(lo, hi - lo)).hash), 1)
         if total.any():
             yield wordscan.pack(total, SKETCH_PARTS)
 
-    return wordscan.merged(docs.select("text").mapInArrow(count, wordscan.PACKED), np.int64, SKETCH_PARTS)
+    counts = wordscan.merged(docs.select("text").mapInArrow(count, wordscan.PACKED), np.int64, SKETCH_PARTS)
+    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
-ROWS = "doc_id long, n int, digest binary, prefix array<bigint>, salts array<int>, " + ", ".join(f"{s} bigint" for s in SIG)
+ROWS = "doc_id long, n int, digest binary, prefix array<bigint>, places array<int>, salts array<int>, " + ", ".join(f"{s} bigint" for s in SIG)
 
 
 def described(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
-    """Per row: set size, digest of the set, rare-first prefix, salts of hot prefix shingles (null: none, 0: not split) and the parity map."""
+    """Per row: set size, digest of the set, rare-first prefix, their places, their salts if some are hot (0: not split) and the parity map."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     hot = max(HOT_LEAST, int(HOT_TIMES_MEAN * counts.mean()) if len(counts) else 0)
 
     def describe(batches):
         counts = shared.value
         for b in batches:
-            n, digests, prefixes, salts, maps = [], [], [], [], []
-            for tokens in _sets(b.column(1), rule.width):
+            n, digests, prefixes, places, salts, maps = [], [], [], [], [], []
+            for tokens, seen in _counted_sets(b.column(1), rule.width, counts):
                 n.append(len(tokens))
                 if not len(tokens):
                     digests.append(None)
                     prefixes.append(None)
+                    places.append(None)
                     salts.append(None)
                     maps.append(np.zeros(8, np.int64))
                     continue
                 digest = _digest(tokens)
                 digests.append(digest)
-                seen = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((tokens, seen))[: rule.prefix(len(tokens))]
+                # a shingle with a word that occurs once is in no other set
+                place = np.flatnonzero(seen[order] > 1)
+                order = order[place]
                 prefixes.append(tokens[order].view(np.int64))
-                splits = -(-seen[order] // hot)
+                places.append(place.astype(np.int32))
+                splits = np.minimum(-(-seen[order].astype(np.int64) // hot), 127)
                 salt = int.from_bytes(digest[:4], "big")
-                salts.append(np.where(splits > 1, 1 + salt % splits, 0).astype(np.int32) if splits.max() > 1 else None)
+                salts.append(np.where(splits > 1, 1 + salt % splits, 0).astype(np.int32) if len(splits) and splits.max() > 1 else None)
                 parity = np.bincount((tokens & np.uint64(511)).astype(np.int64), minlength=512) & 1
                 maps.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             sig = np.array(maps, np.int64).reshape(-1, 8)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()),
-                    pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())),
+                    pa.array(prefixes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(salts, pa.list_(pa.int32())),
                     *[pa.array(sig[:, i]) for i in range(8)],
                 ],
-                names=["doc_id", "n", "digest", "prefix", "salts", *SIG],
+                names=["doc_id", "n", "digest", "prefix", "places", "salts", *SIG],
             )
 
     return docs.select("doc_id", "text").mapInArrow(describe, ROWS)
 
 
-def _could_link(rule: Rule, x: str, y: str, places: bool) -> Column:
-    """Length and suffix filters on aliased rows, and the positional filter if they have places."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+def _by_size(rule: Rule, nx: Column, ny: Column) -> Column:
+    return rule.den * F.least(nx, ny) >= rule.num * F.greatest(nx, ny)
+
+
+def _by_place(rule: Rule, nx: Column, px: Column, ny: Column, py: Column) -> Column:
     need = F.ceil(rule.num * (nx + ny) / (rule.num + rule.den))
-    ok = (rule.den * F.least(nx, ny) >= rule.num * F.greatest(nx, ny))
-    if places:
-        px, py = F.col(f"{x}.pos"), F.col(f"{y}.pos")
-        ok = ok & (F.least(px, py) + 1 + F.least(nx - 1 - px, ny - 1 - py) >= need)
-    return ok & (_apart(x, y) <= nx + ny - 2 * need)
+    return F.least(px, py) + 1 + F.least(nx - 1 - px, ny - 1 - py) >= need
+
+
+def _by_suffix(rule: Rule, x: str, y: str) -> Column:
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return _apart(x, y) <= n - 2 * F.ceil(rule.num * n / (rule.num + rule.den))
 
 
 def _apart(x: str, y: str) -> Column:
@@ -153,15 +179,38 @@ def _apart(x: str, y: str) -> Column:
     return bits
 
 
+#: A posting's salt, set size and place in one number (a set has fewer than 2**28 shingles).
+SIZE_AT, SALT_AT, FIELD = 28, 56, (1 << 28) - 1
+
+
+def _place(at: Column) -> Column:
+    return at.bitwiseAND(F.lit(FIELD))
+
+
+def _size(at: Column) -> Column:
+    return F.shiftright(at, SIZE_AT).bitwiseAND(F.lit(FIELD))
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """key (the shingle, changed by its salt), node, at, for prefix shingles that two sets or more may share."""
+    posting = sets.select("node", "n", "salts", "places", F.posexplode("prefix").alias("i", "token"))
+    posting = posting.withColumn("pos", F.get("places", F.col("i")))
+    salt = F.coalesce(F.get("salts", F.col("i")), F.lit(0))
+    at = F.shiftleft(salt.cast("long"), SALT_AT) + F.shiftleft(F.col("n").cast("long"), SIZE_AT) + F.col("pos")
+    posting = posting.select(F.when(salt > 0, F.col("token").bitwiseXOR(F.xxhash64(salt))).otherwise(F.col("token")).alias("key"), "node", at.alias("at"))
+    # a split shingle may be alone under its salt and still be shared
+    return posting.withColumn("k", F.count("*").over(Window.partitionBy("key"))).filter((F.col("k") > 1) | (F.col("at") >= 1 << SALT_AT)).drop("k")
+
+
 def _mark(digest: bytes, doc_id: int | None) -> int:
     return (int.from_bytes(digest[:8], "big") ^ ((doc_id or 0) * 0x9E3779B97F4A7C15)) % (1 << SEEN_BITS)
 
 
 def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) -> DataFrame:
-    """node, tokens for ``wanted`` (node, digest, low), made again from the texts.
+    """digest, tokens for ``wanted`` (digest, low), made again from the texts.
 
-    The wanted rows are marked in a bit map of fixed size, so that all other texts
-    stay where they are; rows marked by chance are dropped by the join.
+    The wanted rows are marked in a bit map of fixed size, so that no text is moved;
+    the table also has sets that were marked by chance and repeats of equal rows.
     """
 
     def mark(batches):
@@ -175,12 +224,15 @@ def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) ->
     marks = wordscan.merged(wanted.select("digest", "low").mapInArrow(mark, wordscan.PACKED), np.uint8, SKETCH_PARTS, np.bitwise_or)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
+    def batch(digests, sets):
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "tokens"])
+
     def remake(batches):
         marks = shared.value
         for b in batches:
-            ids, digests, sets, held = b.column(0).to_pylist(), [], [], 0
-            for doc_id, tokens in zip(ids, _sets(b.column(1), rule.width)):
-                if not len(tokens):
+            digests, sets, held = [], [], 0
+            for doc_id, tokens in zip(b.column(0).to_pylist(), _sets(b.column(1), rule.width)):
+                if not len(tokens) or not len(marks):
                     continue
                 digest = _digest(tokens)
                 at = _mark(digest, doc_id)
@@ -189,105 +241,113 @@ def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) ->
                     sets.append(tokens.tobytes())
                     held += tokens.nbytes
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "tokens"])
+                    yield batch(digests, sets)
                     digests, sets, held = [], [], 0
             if digests:
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "tokens"])
+                yield batch(digests, sets)
 
-    if not len(marks):
-        return wanted.select("node", F.lit(b"").alias("tokens")).limit(0)
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(remake, "digest binary, tokens binary")
-    return stage.cut(found.join(wanted.select("node", "digest"), "digest").select("node", "tokens").dropDuplicates(["node"]))
+    return stage.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(remake, "digest binary, tokens binary"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b, da, db) whose whole sets link, as (a, b)."""
 
     def check(batches):
         for b in batches:
-            a_side, b_side = b.column(2), b.column(3)
             keep = []
-            for x, y in zip(a_side, b_side):
+            for x, y in zip(b.column(2), b.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    hubs = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(hubs.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    ends = pairs.select(F.explode(F.array("da", "db")).alias("digest")).distinct()
+    if pairs.count() <= FEW_PAIRS:
+        # few pairs need few of the sets: only those are dealt out
+        sets = sets.join(F.broadcast(ends), "digest", "left_semi")
+    left = pairs.join(sets.withColumnsRenamed({"digest": "da", "tokens": "ta"}), "da")
+    both = left.join(sets.withColumnsRenamed({"digest": "db", "tokens": "tb"}), "db")
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of its component, itself for empty sets), n_copies (rows with the same set)."""
-    spark = docs.sparkSession
-    stage = Stage(spark, "near")
-    counts = shingle_counts(docs, rule.width)
-    rows = stage.plain("rows", described(docs, rule, counts).withColumn("row", F.monotonically_increasing_id()))
-    reps = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
-    reps = stage.plain("reps", reps)
-    sets_of = rows.drop("doc_id", "digest").withColumnRenamed("row", "node").join(reps.select("node"), "node", "left_semi")
-
-    # first round: the postings of shared prefix shingles, each with the hub of its group
-    posting = sets_of.select("node", "n", "salts", F.posexplode("prefix").alias("pos", "token"))
-    posting = posting.select("token", F.coalesce(F.get("salts", F.col("pos")), F.lit(0)).alias("salt"), "node", "pos", "n")
-    group = Window.partitionBy("token", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    alone = F.count("*").over(group) == 1
-    hub = F.first(F.struct("node", "pos", "n")).over(group)
-    # a split shingle (salt over 0) may be alone under its salt and still be shared
-    shared = stage.plain("shared", posting.withColumn("alone", alone).withColumn("hub", hub).filter("NOT alone OR salt > 0"))
-    maps = sets_of.select("node", "n", *SIG)
-    maps = stage.plain("maps", maps.join(shared.select("node").distinct(), "node", "left_semi"))
-    star = shared.filter("node <> hub.node").select("node", "pos", "n", "hub")
-    star = star.filter(
-        (rule.den * F.least("n", "hub.n") >= rule.num * F.greatest("n", "hub.n"))
-        & (F.least("pos", "hub.pos") + 1 + F.least(F.expr("n - 1 - pos"), F.expr("hub.n - 1 - hub.pos")) >= F.ceil(rule.num * (F.col("n") + F.col("hub.n")) / (rule.num + rule.den)))
+def _with_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    return pairs.join(maps.alias("x"), F.col("a") == F.col("x.node")).join(maps.alias("y"), F.col("b") == F.col("y.node"))
+
+
+def _placed(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    return shared.join(comp, "node", "left").select("key", "node", "at", F.coalesce("comp", "node").alias("comp"))
+
+
+def _hub_pairs(placed: DataFrame, maps: DataFrame, rule: Rule, seed: int) -> DataFrame:
+    """a, b, da, db: nodes and hubs of other components that pass the filters."""
+    row = F.struct("node", "at", "comp")
+    hub = lambda i: F.min_by(row, F.xxhash64("node", "key", F.lit(seed * HUBS + i)))
+    hubs = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*[hub(i) for i in range(HUBS)])).alias("hubs")).filter("lo <> hi")
+    met = placed.join(hubs.select("key", "hubs"), "key").select("node", "at", "comp", F.explode("hubs").alias("h"))
+    mine, other = F.col("at"), F.col("h.at")
+    met = met.filter(
+        (F.col("comp") != F.col("h.comp")) & _by_size(rule, _size(mine), _size(other)) & _by_place(rule, _size(mine), _place(mine), _size(other), _place(other))
     )
-    pairs = star.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-    pairs = _with_maps(pairs, maps).filter(_could_link(rule, "x", "y", places=False)).select("a", "b", _apart("x", "y").alias("apart"))
-    best = stage.plain("best", pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
-    known = _whole_sets(docs, rule, _nodes_in(best).join(reps.select("node", "digest", "low"), "node"), stage)
-    links = stage.plain("links", _verified(best, known, rule))
-    comp = components(links, stage)
-
-    # second round: pairs that share a prefix shingle and lie in different components
-    label = comp.select("node", "comp") if comp is not None else None
-    placed = shared.select("token", "node", "pos")
-    placed = placed.join(label, "node", "left").select("token", "node", "pos", F.coalesce("comp", "node").alias("comp")) if label is not None else placed.withColumn("comp", F.col("node"))
+    pairs = met.select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct()
+    return _with_maps(pairs, maps).filter(_by_suffix(rule, "x", "y")).select("a", "b", F.col("x.digest").alias("da"), F.col("y.digest").alias("db"))
+
+
+def _cross_pairs(placed: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
+    """a, b, da, db: all pairs of different components that share a prefix shingle and pass the filters."""
+    salt = F.shiftright("at", SALT_AT).cast("int")
+    placed = placed.select(F.when(salt > 0, F.col("key").bitwiseXOR(F.xxhash64(salt))).otherwise(F.col("key")).alias("token"), "node", "at", "comp")
     groups = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
     blocks = F.ceil(F.col("k") / HOT_LEAST).cast("int")
     mixed = placed.join(groups.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    mixed = mixed.select("token", "node", "pos", "comp", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1")).join(maps, "node")
+    mixed = mixed.select("token", "node", "at", "comp", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1")).join(maps, "node")
     x, y = mixed.alias("x"), mixed.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.b0") == F.col("y.b0")) & (F.col("x.b1") == F.col("y.b1"))
     # a pair of one block would meet in every pair of blocks with it
     once = (F.col("x.block") != F.col("y.block")) | (F.col("x.b0") == F.col("x.b1"))
-    cross = x.join(y, meet & once & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _could_link(rule, "x", "y", places=True))
-    rest = cross.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
-    rest = stage.plain("rest", rest.join(best, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        needed = _nodes_in(rest).join(known.select("node"), "node", "left_anti").join(reps.select("node", "digest", "low"), "node")
-        more = _whole_sets(docs, rule, needed, stage)
-        links = stage.plain("all_links", links.unionByName(_verified(rest, known.unionByName(more), rule)))
-        comp = components(links, stage)
-    return _labelled(rows, reps, comp)
-
+    different = (F.col("x.node") > F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    nx, ny = F.col("x.n"), F.col("y.n")
+    fits = _by_size(rule, nx, ny) & _by_place(rule, nx, _place(F.col("x.at")), ny, _place(F.col("y.at"))) & _by_suffix(rule, "x", "y")
+    return x.join(y, meet & once & different & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.digest").alias("da"), F.col("y.digest").alias("db")).distinct()
 
-def _nodes_in(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-
-def _with_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    return pairs.join(maps.alias("x"), F.col("a") == F.col("x.node")).join(maps.alias("y"), F.col("b") == F.col("y.node"))
+def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of its component, itself for empty sets), n_copies (rows with the same set)."""
+    spark = docs.sparkSession
+    stage = Stage(spark, "near")
+    counts = word_counts(docs)
+    rows = stage.plain("rows", described(docs, rule, counts).withColumn("row", F.monotonically_increasing_id()))
+    reps = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
+    reps = stage.plain("reps", reps)
+    sets_of = rows.drop("doc_id").withColumnRenamed("row", "node").join(reps.select("node"), "node", "left_semi")
+    shared = stage.plain("shared", _postings(sets_of))
+    maps = stage.plain("maps", sets_of.select("node", "n", "digest", *SIG).join(shared.select("node").distinct(), "node", "left_semi"))
+
+    links = spark.createDataFrame([], "a long, b long")
+    tried, known, comp = links, None, spark.createDataFrame([], "node long, comp long")
+    for seed in range(HUB_ROUNDS + 1):
+        placed = _placed(shared, comp)
+        if seed < HUB_ROUNDS:
+            found = stage.plain(f"hub_pairs{seed}", _hub_pairs(placed, maps, rule, seed).join(tried, ["a", "b"], "left_anti"))
+            some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(seed)))
+            chosen = found.withColumn("k", F.row_number().over(some)).filter(F.col("k") <= PER_ROUND).drop("k")
+        else:
+            found = chosen = stage.plain("cross_pairs", _cross_pairs(placed, maps, rule).join(tried, ["a", "b"], "left_anti"))
+        if found.isEmpty():
+            continue
+        needed = found.select(F.explode(F.array("da", "db")).alias("digest")).distinct()
+        if known is not None:
+            needed = needed.join(known.select("digest").distinct(), "digest", "left_anti")
+        made = _whole_sets(docs, rule, reps.join(needed, "digest", "left_semi"), stage)
+        known = made if known is None else known.unionByName(made)
+        links = links.unionByName(stage.plain(f"links{seed}", _verified(chosen, known, rule)))
+        tried = tried.unionByName(stage.plain(f"tried{seed}", chosen.select("a", "b")))
+        comp = components(links, stage)
+    return _labelled(rows, reps, comp)
 
 
-def _labelled(rows: DataFrame, reps: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        named = reps.select("digest", "low", "n_copies")
-    else:
-        of_comp = reps.join(comp, "node").groupBy("comp").agg(F.min("low").alias("comp_low"))
-        named = reps.join(comp, "node", "left").join(of_comp, "comp", "left").select("digest", F.coalesce("comp_low", "low").alias("low"), "n_copies")
+def _labelled(rows: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+    of_comp = reps.join(comp, "node").groupBy("comp").agg(F.min("low").alias("comp_low"))
+    named = reps.join(comp, "node", "left").join(of_comp, "comp", "left").select("digest", F.coalesce("comp_low", "low").alias("low"), "n_copies")
     return rows.select("doc_id", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
     )

@@ -149,6 +149,26 @@ def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, offset
 
 
+def least_in_windows(words: Words, width: int, values: np.ndarray) -> np.ndarray:
+    """The least of the words' ``values`` in each window of ``windows``, in the same order."""
+    n = np.diff(words.first)
+    whole = n >= width
+    count = np.where(whole, n - width + 1, (n > 0).astype(n.dtype))
+    offset = np.concatenate(([0], np.cumsum(count)))
+    out = np.empty(int(offset[-1]), values.dtype)
+    if len(values) >= width:
+        least = values[: len(values) - width + 1].copy()
+        for k in range(1, width):
+            np.minimum(least, values[k : len(values) - width + 1 + k], out=least)
+        lengths = np.where(whole, count, 0)
+        begins = np.cumsum(lengths) - lengths
+        step = np.arange(int(lengths.sum()))
+        out[step + np.repeat(offset[:-1] - begins, lengths)] = least[step + np.repeat(words.first[:-1] - begins, lengths)]
+    for r in np.flatnonzero((n > 0) & ~whole):
+        out[offset[r]] = values[words.of(r)].min()
+    return out
+
+
 def pack(array: np.ndarray, parts: int) -> pa.RecordBatch:
     """An array as ``parts`` rows (part, values), to be joined by ``merged``."""
     pieces = np.array_split(array, parts)
