@@ -1,12 +1,17 @@
 """License scans by recognised sentences.
 
-A text is cut into sentences at line ends and after ``. ! ? ;`` before white space.
-A normalised sentence (A-Z lowered, runs of other ASCII characters than letters,
-digits and ``+`` made one space, ends trimmed) that is in the sentence table is
-replaced by its identifier; all others are dropped. The identifiers of a
-document, in order, are matched against the rules by rank: a rule is a sequence of
-identifiers that follow one another, with at most ``GAP`` unknown sentences between
-neighbours and no known one. What a rule has matched is not used by later rules.
+A text is cut into pieces at line ends and after ``. ! ? ;`` before white space (not
+where ``;`` or ``!`` begins a line as a comment mark) and normalised: A-Z lowered, runs
+of other ASCII characters than letters, digits and ``+`` made one space, ends trimmed,
+so that comment marks such as ``#``, ``*`` and ``//`` vanish. A piece, or a run of pieces
+without a blank one between them, that reads as a sentence of the table is replaced by
+its identifier, so hard-wrapped sentences are found wherever their lines end, and
+titles and notices on a line of their own as well; the longest sentence counts. The
+marks ``dnl``, ``rem`` and ``+`` before a line, and a number before a sentence, are
+passed over. All other pieces are dropped. The identifiers of a document, in order,
+are matched against the rules by rank: a rule is a sequence of identifiers that follow
+one another, with at most ``GAP`` unknown pieces (blank ones too) between neighbours and
+no known one. What a rule has matched is not used by later rules.
 
 The tables of sentences and rules are parameters held in the plan (a few thousand
 entries at most); the scan itself is one pass without a shuffle.
@@ -24,6 +29,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantfold.llm.common import let
+
 GAP = 3
 
 #: Identifier and sentence of public license texts and notices.
@@ -73,32 +80,51 @@ RULES = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = "[\\x00-\\x2A\\x2C-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Marks that end a sentence before white space.
-SENTENCE_END = "([.!?;])[\\x20\\x09-\\x0D]+"
-
-
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), NOT_WORD, " "))
+#: The same inside a line.
+NOT_WORD_IN_LINE = NOT_WORD.replace("\\x00-\\x2A", "\\x00-\\x09\\x0B-\\x2A")
+#: Marks that end a sentence before white space; not the comment marks ``;`` and ``!`` at the start of a line.
+SENTENCE_END = "([.!?;])(?<!(?:^|\\n)[\\x20\\t]{0,40}[;!]{1,8})[\\x20\\x09-\\x0D]+"
+#: Comment and change marks that normalisation leaves before a line, and a number before a sentence.
+LINE_MARK, NUMBER = "(?:\\+ ?)?(?:(?:dnl|rem) )?", "(?:[0-9]{1,2} )?"
+#: Put around known sentences; not a character of a normalised text.
+MARK = "\x01"
 
 
 def normal_form(sentence: str) -> str:
-    """``normalised`` for the fixed sentences."""
+    """A fixed sentence as it reads in a normalised text."""
     return re.sub(NOT_WORD, " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip(" ")
 
 
+def normalised(text: Column) -> Column:
+    """The normalised pieces of a text, each between line ends."""
+    pieces = F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1\n")
+    plain = F.regexp_replace(F.translate(pieces, UPPER, LOWER), NOT_WORD_IN_LINE, " ")
+    lines = F.concat(F.lit("\n"), plain, F.lit("\n"))
+    return F.replace(F.replace(lines, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+
+
 def recognised(text: Column, sentences=SENTENCES) -> Column:
-    """(pos, id) of the known sentences of a text, in order."""
+    """(unknown: pieces since the one before, id) of the known sentences of a text, in order."""
     known = {normal_form(s): name for name, s in sentences}
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1\n"), "\n")
-    placed = F.transform(parts, lambda s, i: F.struct(i.alias("pos"), normalised(s).alias("norm")))
-    hits = F.filter(placed, lambda s: s["norm"].isin(list(known)))
+    if not known:
+        return F.array().cast("array<struct<unknown:int,id:string>>")
+    wrapped = [f"(?: |\n{LINE_MARK})".join(map(re.escape, s.split(" "))) for s in sorted(known, key=len, reverse=True)]
+    marked = F.regexp_replace(normalised(text), f"\n{LINE_MARK}{NUMBER}({'|'.join(wrapped)})(?=\n)", f"\n{MARK}$1{MARK}")
     names = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    return F.transform(hits, lambda s: F.struct(s["pos"].alias("pos"), F.element_at(names, s["norm"]).alias("id")))
+    ends = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    one_line = lambda s: F.regexp_replace(s, f"\n{LINE_MARK}", " ")
+
+    def placed(parts: Column) -> Column:
+        # every second part is a known sentence; what lies before it begins and ends with a line end
+        at = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct((ends(F.get(parts, i - 1)) - 1).alias("unknown"), F.element_at(names, one_line(F.get(parts, i))).alias("id")))
+
+    return let(F.split(marked, MARK), placed)
 
 
 def scan_licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES, gap: int = GAP) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids (in order), licenses (sorted, distinct), best (of the best rank, null if none)."""
-    apart = lambda x, i: F.coalesce(x["pos"] - F.get(F.col("found"), i - 1)["pos"] > gap + 1, F.lit(False))
+    apart = lambda x, i: (i > 0) & (x["unknown"] > gap)
     written = F.transform("found", lambda x, i: F.concat(F.when(apart(x, i), F.lit("<#>")).otherwise(F.lit("")), F.lit("<"), x["id"], F.lit(">")))
     df = docs.select("doc_id", recognised(F.col("text"), sentences).alias("found"))
     df = df.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.concat_ws(",", F.col("found.id")).alias("sentence_ids"), F.concat_ws("", written).alias("left_over"))

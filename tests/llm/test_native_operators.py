@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -150,6 +151,32 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(documents(spark, [])).count() == 0
 
 
+def test_wrapped_and_commented_licenses(spark):
+    s = dict(license_scan.SENTENCES)
+    mpl = s["mpl2-notice"] + ". 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    bsd = [s["bsd-grant"], "1. " + s["bsd-source"], "2. " + s["bsd-binary"], "3. " + s["bsd-endorse"]]
+    apache = s["apache-notice-long"] + "; " + s["apache-comply"] + " " + s["apache-copy"]
+    wanted = {
+        "MIT": ["MIT License", "Copyright (c) 2020 A. Name", s["mit-grant"], s["mit-condition"] + " THE SOFTWARE IS PROVIDED AS IS"],
+        "ISC": ["Copyright 2020 A\nand B", s["isc-grant"]], "BSD-3-Clause": bsd, "BSD-2-Clause": [bsd[0], *[b.replace(". ", ") ", 1) for b in bsd[1:3]]],
+        "GPL-3.0-or-later": [s["gpl-free"], s["gpl-hope"] + "; without even the implied warranty of MERCHANTABILITY."], "Apache-2.0": [apache, "http://www.apache.org/licenses/LICENSE-2.0"], "MPL-2.0": [mpl],
+    }
+    texts, own = [], []
+    for name, paragraphs in wanted.items():
+        for width in (30, 70, 80, 2000):
+            for mark, before, end in (("", "", ""), ("# ", "import x\n", "\nimport os"), (" * ", "/*\n", "\n */"), ("// ", "", "\r\nint x;"), ("; ", "", ""), ("!! ", "", ""), ("dnl ", "", ""), ("+", "", "")):
+                lines = [line for p in paragraphs for line in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""]]
+                texts.append(before + "\n".join((mark + line).rstrip() for line in lines) + end)
+                own.append(name)
+    found = license_scan.scan_licenses(documents(spark, texts)).withColumn("all", F.split("licenses", ","))
+    got = {r.doc_id: r for r in found.collect()}
+    assert [(i, own[i]) for i in range(len(texts)) if own[i] not in got[i].all] == []
+    bare = "\n".join("\n".join(textwrap.wrap(b, 72)) for b in bsd)
+    split = ["The Software\n\nwas not Released under\n\nthe MIT License", "It was never Released under\nthe MIT License", bare, s["mit-grant"].replace("Software without", "\n\nSoftware without")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, split)).collect()}
+    assert [got[i].licenses for i in range(4)] == ["", "", "BSD-3-Clause", ""]
+
+
 def test_native_plans_have_no_python(spark, sf_dir):
     from quantfold.llm.queries import llm_queries
 
