@@ -2,12 +2,15 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns (assign,
 access, hex) whose length suffices. The method adds spans of kind ``novel``: within
-``REACH`` characters after a sensitive word, a run of ``LEAST`` or more characters of
-tokens with a digit and a letter is a candidate. A zstandard compressor is primed with
-a dictionary of common identifiers and with the text around the candidate (its own
-repeats taken out); the candidate's marginal compressed bytes, by its length, are its
-novelty. Ordinary identifiers and copied code compress; keys do not. Candidates with a
-novelty of ``NOVELTY`` or more that overlap no base span are reported.
+``REACH`` characters after a sensitive word, every run of ``LEAST`` or more characters of
+tokens with a digit and a letter is a candidate. Runs joined by dots are one candidate if
+one of them is long enough; what a base span covers is left out of it. A zstandard
+compressor is primed with a dictionary of common identifiers and with the text around the
+candidate (its own repeats taken out); the candidate's marginal compressed bytes, by its
+length, are its novelty. They are taken in blocks of at most ``BLOCK`` bytes, because from
+64 bytes on the compressor also gains from a small alphabet, which keys have. Ordinary
+identifiers and copied code compress; keys do not. A candidate is reported if it, or a
+long enough run of it, has a novelty of ``NOVELTY`` or more.
 
 Defined cases: null and empty texts have no spans; all positions are code points and
 ends are exclusive; long texts are scanned whole; repeated rows give repeated results;
@@ -36,7 +39,9 @@ CONTEXT = re.compile(
 )
 CONTEXT_WORDS = [b"passw", b"passp", b"secret", b"token", b"api", b"key", b"credential", b"authorization", b"bearer"]
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-LEAST, REACH, AROUND, NOVELTY = 16, 40, 1024, 0.8
+#: Runs joined by dots, 16 characters at least.
+DOTTED = re.compile(r"(?=[A-Za-z0-9+/_=.-]{16})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+LEAST, REACH, AROUND, NOVELTY, BLOCK = 16, 40, 1024, 0.8, 63
 
 #: Words that make up ordinary identifiers, placeholders and file names.
 IDENTIFIERS = (
@@ -54,9 +59,14 @@ SPAN = "struct<kind:string,start:int,end:int,value_start:int,value_end:int>"
 def novelty(candidate: str, around: str, dictionary: bytes = IDENTIFIERS) -> float:
     """Marginal compressed bytes of a candidate per byte, given its surroundings and the dictionary."""
     own = candidate.encode()
-    primed = zstandard.ZstdCompressionDict(dictionary + around.encode().replace(own, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return (len(press.compress(own)) - len(press.compress(b""))) / len(own)
+    outside = dictionary + around.encode().replace(own, b" ")
+    step = -(-len(own) // -(-len(own) // BLOCK))
+    cost = 0
+    for at in range(0, len(own), step):
+        primed = zstandard.ZstdCompressionDict(outside + own[max(0, at - AROUND) : at], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
+        cost += len(press.compress(own[at : at + step])) - len(press.compress(b""))
+    return cost / len(own)
 
 
 def base_spans(text: str, lowered: bytes) -> list[tuple[str, int, int, int, int]]:
@@ -76,17 +86,37 @@ def novel_spans(text: str, lowered: bytes, taken: list[tuple[str, int, int, int,
         return []
     seen = {}
     for context in CONTEXT.finditer(text):
-        at = CANDIDATE.search(text, context.end(), context.end() + REACH + LEAST)
-        if not at or at.start() in seen:
-            continue
-        whole = CANDIDATE.match(text, at.start())
-        s = whole.group()
-        if any(a < whole.end() and whole.start() < b for _, a, b, _, _ in taken):
-            continue
+        # a match may be cut off at the end of the reach, so it is made again from its start
+        for near in DOTTED.finditer(text, context.end(), context.end() + REACH + LEAST):
+            if near.start() in seen:
+                continue
+            seen[near.start()] = []
+            for start, end in _free(near.start(), DOTTED.match(text, near.start()).end(), taken):
+                for m in DOTTED.finditer(text, start, end):
+                    if _is_novel(text, m.start(), m.end()):
+                        seen[near.start()].append(("novel", m.start(), m.end(), m.start(), m.end()))
+    return list(dict.fromkeys(x for found in seen.values() for x in found))
+
+
+def _free(start: int, end: int, taken: list[tuple[str, int, int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a range that no span covers."""
+    out = []
+    for _, a, b, _, _ in sorted(taken, key=lambda x: x[1]):
+        if a < end and start < b:
+            out.append((start, a))
+            start = max(start, b)
+    return [(a, b) for a, b in [*out, (start, end)] if a < b]
+
+
+def _is_novel(text: str, start: int, end: int) -> bool:
+    runs = [(m.start(), m.end()) for m in CANDIDATE.finditer(text, start, end)]
+    for a, b in dict.fromkeys([(start, end), *runs] if runs else []):
+        s = text[a:b]
         if re.search("[0-9]", s) and re.search("[A-Za-z]", s):
-            around = text[max(0, whole.start() - AROUND) : whole.start()] + " " + text[whole.end() : whole.end() + AROUND]
-            seen[whole.start()] = ("novel", whole.start(), whole.end(), whole.start(), whole.end()) if novelty(s, around) >= NOVELTY else None
-    return [x for x in seen.values() if x]
+            around = text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]
+            if novelty(s, around) >= NOVELTY:
+                return True
+    return False
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, int, int]]:

@@ -54,6 +54,30 @@ def test_novel_spans(spark):
     assert got[2] == got[3] == got[4] == []
 
 
+def test_novel_spans_of_every_candidate():
+    rng = random.Random(9)
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    base64 = string.ascii_letters + string.digits + "+/"
+    code = "def load(session_handler_v2):\n    handler = session_handler_v2\n    return handler\n"
+    for _ in range(40):
+        jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + draw(base64[:62], 60) + "." + draw(base64[:62], 43)
+        key = draw(base64[:62], 32)
+        for before, secret in [
+            ("the api key is ", draw("0123456789ABCDEF", 64)), ("the api key is ", draw("0123456789ABCDEF", 128)), ("private key ", draw(base64, 400)),
+            ("Authorization: Bearer ", jwt), ("token for AuthenticationServiceProvider ", key), ("token of service_provider_v2_handler ", key), ("secret=abcdef12 or else ", key),
+        ]:
+            text = f"{code} {before}{secret} here"
+            at = text.index(secret)
+            assert ("novel", at, at + len(secret)) in [x[:3] for x in secret_scan.spans_of(text)], text
+            assert secret not in secret_scan.redacted(text, secret_scan.spans_of(text))
+    # what a base span leaves of a candidate, and text that is no key
+    rest = draw(string.ascii_uppercase + string.digits, 40)
+    text = f"{code} a bearer {'0123456789abcdef' * 2}.{rest} here"
+    assert [text[x[1] : x[2]] for x in secret_scan.spans_of(text)] == ["0123456789abcdef" * 2, rest]
+    for text in (f"{code} the token session_handler_v2.session_handler_v2.session_handler_v2.session_handler_v2 x", "a token of www.a1.example.com or so", "password " + "example_placeholder_1234567890_" * 5):
+        assert secret_scan.spans_of(text) == []
+
+
 def test_redact(spark):
     docs = documents(spark, ["a token=abcdefgh z", None, "é password: deadbeefdeadbeefdeadbeef.", "clean"])
     out = secret_scan.redact(docs)
