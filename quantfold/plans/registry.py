@@ -30,11 +30,6 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[rounded(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def single_precision(df: DataFrame) -> DataFrame:
-    """Every double column to the nearest 32-bit number: amounts over powers of two often lie between two decimal roundings."""
-    return df.select(*[F.col(c).cast("float").cast("double").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def runnable(name: str) -> Callable[[SparkSession, str], DataFrame]:
     fn = QUERIES[name]
 

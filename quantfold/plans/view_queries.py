@@ -13,7 +13,7 @@ from quantfold.operators import tracker as trk
 from quantfold.operators import views
 from quantfold.plans.core_queries import both_weights, members, user_specs, user_weights
 from quantfold.plans.market import Market
-from quantfold.plans.registry import query, single_precision, tidy
+from quantfold.plans.registry import query, tidy
 from quantfold.plans.risk_queries import universe_sls
 from quantfold.sources import market as src
 
@@ -83,12 +83,12 @@ def latest_prices(m: Market) -> DataFrame:
 
 @query("tracker_valuation", "Y2")
 def tracker_valuation(m: Market) -> DataFrame:
-    return single_precision(valued(m))
+    return valued(m)
 
 
 @query("tracker_summary", "Y3 A18")
 def tracker_summary(m: Market) -> DataFrame:
-    return single_precision(trk.valuation_summary(valued(m)))
+    return trk.valuation_summary(valued(m))
 
 
 @query("tracker_overlay", "Y4")
@@ -98,7 +98,7 @@ def tracker_overlay(m: Market) -> DataFrame:
     overlay = _latest(m).join(names, "symbol", "left_semi").select(
         "symbol", (F.col("current_price") * 1.02).alias("current_price"), F.date_add("price_date", 1).alias("price_date")
     )
-    return single_precision(trk.valuation(trk.normalise_positions(positions(m)), _latest(m), overlay))
+    return trk.valuation(trk.normalise_positions(positions(m)), _latest(m), overlay)
 
 
 @query("latest_scores", "N1")
