@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quantfold.llm import wordscan
 from quantfold.llm.components import components
@@ -55,6 +56,8 @@ SEEN_BITS = 23
 HUB_ROUNDS, HUBS, PER_ROUND = 2, 3, 3
 FEW_PAIRS = 50_000
 SIG = [f"s{i}" for i in range(8)]
+#: Column of digests beside the columns of the documents.
+DIGEST = "_near_digest"
 
 
 @dataclass(frozen=True)
@@ -312,6 +315,11 @@ def _cross_pairs(placed: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
 
 def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of its component, itself for empty sets), n_copies (rows with the same set)."""
+    return _labelled(*_grouped(docs, rule))
+
+
+def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, one node per different set, and the component of each node that has links."""
     spark = docs.sparkSession
     stage = Stage(spark, "near")
     counts = word_counts(docs)
@@ -342,7 +350,7 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         links = links.unionByName(stage.plain(f"links{seed}", _verified(chosen, known, rule)))
         tried = tried.unionByName(stage.plain(f"tried{seed}", chosen.select("a", "b")))
         comp = components(links, stage)
-    return _labelled(rows, reps, comp)
+    return rows, reps, comp
 
 
 def _labelled(rows: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
@@ -353,11 +361,27 @@ def _labelled(rows: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
     )
 
 
+def _with_digest(docs: DataFrame, rule: Rule) -> DataFrame:
+    """All rows and columns with the digest of the row's set (null for empty sets)."""
+    at = docs.columns.index("text")
+
+    def add(batches):
+        for b in batches:
+            digests = [_digest(tokens) if len(tokens) else None for tokens in _sets(b.column(at), rule.width)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names=[*b.schema.names, DIGEST])
+
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(DIGEST, BinaryType())]))
+
+
 def one_per_group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The document with the smallest id of each component, once; documents without words or without an id are kept."""
-    groups = near_groups(docs, rule)
-    kept = groups.filter("doc_id = component_id AND n_shingles > 0").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each component the row with the smallest id, then digest of its set, then columns in order; documents without words or without an id are kept."""
+    _, reps, comp = _grouped(docs, rule)
+    nodes = reps.filter("low IS NOT NULL").join(comp, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp"))
+    kept = nodes.agg(F.min(F.struct("low", "digest")).alias("first")).select(F.col("first.low").alias("_near_id"), F.col("first.digest").alias("_near_of"))
+    same = (F.col("doc_id") == F.col("_near_id")) & (F.col(DIGEST) == F.col("_near_of"))
+    rows = _with_digest(docs, rule).join(kept, same, "left_semi")
+    ordered = Window.partitionBy("doc_id", DIGEST).orderBy(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+    named = rows.withColumn("_near_k", F.row_number().over(ordered)).filter("_near_k = 1")
     no_words = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "")) == 0
     free = docs.filter(F.col("doc_id").isNull() | no_words)
-    return named.filter(~no_words).select(*docs.columns).unionByName(free)
+    return named.select(*docs.columns).unionByName(free)

@@ -67,3 +67,15 @@ def test_one_per_group_keeps_columns(spark):
     kept = one_per_group(docs, Rule())
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 3, 9]
+
+
+def test_one_row_of_each_component_where_ids_repeat(spark):
+    rng = random.Random(12)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    copy = own[0] + " end"
+    rows = [(3, own[0]), (5, copy), (5, own[1]), (5, own[2]), (5, own[1].upper()), (7, own[2] + " x"), (None, own[3]), (8, "")]
+    want = [(3, own[0]), (5, own[1].upper()), (5, own[2]), (None, own[3]), (8, "")]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows]).coalesce(2)
+    out = one_per_group(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
