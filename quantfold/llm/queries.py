@@ -15,8 +15,10 @@ from quantfold.llm import (
     quality_model,
     quality_rules,
     secret_scan,
+    source_divergence,
     source_mixing,
     token_counts,
+    turn_repair,
     url_filter,
 )
 from quantfold.llm.common import table
@@ -119,9 +121,35 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows by a checksum of their key: 1 in 20 is dropped, emptied, loses its sentence ends, is repeated or becomes a user row, each."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    changed = conversations.withColumn("kind", kind).filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), "kind"
+    )
+    return changed.withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("kind", "copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One repaired conversation is one string here, made for its digest only."""
+    chats = table(spark, sf_dir, "conversations")
+    convs, turns = turn_repair.repair_conversations(damaged(chats), chats)
+    line = F.struct("place", F.concat_ws(":", "role", "text").alias("line"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("whole"))
+    both = convs.alias("c").join(whole.alias("w"), F.col("c.conv_id").eqNullSafe(F.col("w.conv_id")), "left")
+    return both.select("c.*", F.sha2(F.coalesce("whole", F.lit("")), 256).alias("repaired_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_url_filters, op2_chat_formatting, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_quality_classifier,
         op6_source_mixing, op7_token_counts, op8_quality_rules, op9_secret_scans, op10_license_scans,
+        op11_source_divergence, op13_conversation_repair,
     ]
     return {f.__name__: f for f in found}
