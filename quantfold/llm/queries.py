@@ -17,6 +17,7 @@ from quantfold.llm import (
     secret_scan,
     source_divergence,
     source_mixing,
+    substring_dedup,
     token_counts,
     turn_repair,
     url_filter,
@@ -125,6 +126,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Rows by a checksum of their key: 1 in 20 is dropped, emptied, loses its sentence ends, is repeated or becomes a user row, each."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -150,6 +156,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_url_filters, op2_chat_formatting, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_quality_classifier,
         op6_source_mixing, op7_token_counts, op8_quality_rules, op9_secret_scans, op10_license_scans,
-        op11_source_divergence, op13_conversation_repair,
+        op11_source_divergence, op12_substring_dedup, op13_conversation_repair,
     ]
     return {f.__name__: f for f in found}
