@@ -41,7 +41,7 @@ from quantfold.tables import Stage
 FIRST_WIDTH = 4
 CHUNK_BYTES = 8 << 20
 TILE = 200
-BLOCK_CELLS = 1 << 18
+BLOCK_CELLS = 1 << 14
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -164,20 +164,21 @@ def _score(n: Column, total: Column, terms: Column, scale: int, smooth: int) ->
 def _pair_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Sums of differences of all pairs of sources of one block; rows without a term hold what a source gives to absent terms."""
     base = rows[rows["term"].isna()].sort_values("source").drop_duplicates("source")
-    names, tiles, zero = base["source"].to_numpy(), base["tile"].to_numpy(), base["p"].to_numpy(np.int64)
+    names, tiles, zero = base["source"].to_numpy(object), base["tile"].to_numpy(), base["p"].to_numpy(np.int64)
     held = rows[rows["term"].notna()]
     at, terms = pd.factorize(held["term"])
     scores = np.repeat(zero[None, :], len(terms), axis=0)
-    scores[at, np.searchsorted(names, held["source"].to_numpy())] = held["p"].to_numpy(np.int64)
+    scores[at, np.searchsorted(names, held["source"].to_numpy(object))] = held["p"].to_numpy(np.int64)
     one, two = key[2], key[3]
-    parts = []
+    a, b, apart, absent = [], [], [], []
     for i in range(len(names)):
         # a pair within one tile is taken once, where the block is that tile with itself
         others = np.flatnonzero((np.arange(len(names)) > i) & ((tiles != tiles[i]) | (one == two)))
-        if len(others):
-            apart = np.abs(scores[:, others] - scores[:, [i]]).sum(axis=0)
-            parts.append(pd.DataFrame({"lang": key[0], "a": names[i], "b": names[others], "apart": apart, "n_terms": len(terms), "absent": np.abs(zero[others] - zero[i])}))
-    return pd.concat(parts) if parts else pd.DataFrame({"lang": [], "a": [], "b": [], "apart": [], "n_terms": [], "absent": []})
+        a += [names[i]] * len(others)
+        b += names[others].tolist()
+        apart += np.abs(scores[:, others] - scores[:, [i]]).sum(axis=0).tolist()
+        absent += np.abs(zero[others] - zero[i]).tolist()
+    return pd.DataFrame({"lang": pd.Series([key[0]] * len(a), dtype=object), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "apart": apart, "n_terms": len(terms), "absent": absent})
 
 
 def _pairs(groups: DataFrame, scored: DataFrame) -> DataFrame:

@@ -172,6 +172,99 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """
 
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS n_docs FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n_lang FROM counted GROUP BY ALL HAVING sum(n_docs) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM kept GROUP BY lang),
+grid AS (
+  SELECT g.lang, g.source, k.term, k.n_lang, coalesce(c.n, 0) AS n, v, total_lang, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+scored AS (
+  SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // CAST(total + 5 * v AS HUGEINT) AS p,
+         1 + (CAST(1000000000 AS HUGEINT) * CAST(n_lang + 5 AS HUGEINT)) // CAST(total_lang + 5 * v AS HUGEINT) AS q
+  FROM grid),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM scored a JOIN scored b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM scored WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+SUBSTRING_DEDUP = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50),
+windows AS (SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS win FROM starts),
+firsts AS (SELECT win, min(doc_id) AS lo FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (win) WHERE lo < doc_id),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+"""
+
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS n))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+  FROM conversations),
+kinds AS (
+  SELECT * EXCLUDE (bytes), xor(list_reduce([4294967295::BIGINT] || bytes, lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295::BIGINT) % 20 AS kind
+  FROM keyed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS pos, lag(role[1:1]) OVER w AS before, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         before IS NOT NULL AND before || role[1:1] NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id),
+options AS (
+  SELECT conv_id, pos, role[1:1] AS ini, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut, fault NOT IN ('blank', 'duplicate') AS stays, role || ':' || text || chr(10) AS line,
+         text || chr(10) AS rest
+  FROM judged),
+togo AS (
+  SELECT conv_id, n AS pos, {'c': 0, 'a': '', 't': ''} AS s0, {'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)} AS s1,
+         {'c': 2, 'a': 'I', 't': 'assistant:' || chr(10)} AS s2, {'c': 0, 'a': '', 't': ''} AS s3
+  FROM counted
+  UNION ALL
+  SELECT conv_id, pos - 1, least(b0, {'c': d2.c + 2, 'a': 'I' || d2.a, 't': 'user:' || chr(10) || d2.t}), least(b1, {'c': d2.c + 2, 'a': 'I' || d2.a, 't': 'user:' || chr(10) || d2.t}), d2,
+         least(b3, {'c': d2.c + 2, 'a': 'I' || d2.a, 't': 'user:' || chr(10) || d2.t})
+  FROM (
+    SELECT *, least(b2, {'c': b3.c + 2, 'a': 'I' || b3.a, 't': 'assistant:' || chr(10) || b3.t}) AS d2
+    FROM (
+      SELECT g.conv_id, g.pos,
+        least({'c': s0.c + 3, 'a': 'D' || s0.a, 't': s0.t}, {'c': CASE WHEN stays THEN s2.c + 2 + cut ELSE 1000000000 END, 'a': 'R' || s2.a, 't': 'user:' || rest || s2.t},
+              {'c': CASE WHEN stays AND ini = 'u' THEN s2.c + cut ELSE 1000000000 END, 'a': 'K' || s2.a, 't': line || s2.t}, {'c': CASE WHEN stays AND ini = 's' THEN s1.c + cut ELSE 1000000000 END, 'a': 'K' || s1.a, 't': line || s1.t}) AS b0,
+        least({'c': s1.c + 3, 'a': 'D' || s1.a, 't': s1.t}, {'c': CASE WHEN stays THEN s2.c + 2 + cut ELSE 1000000000 END, 'a': 'R' || s2.a, 't': 'user:' || rest || s2.t},
+              {'c': CASE WHEN stays AND ini = 'u' THEN s2.c + cut ELSE 1000000000 END, 'a': 'K' || s2.a, 't': line || s2.t}) AS b1,
+        least({'c': s2.c + 3, 'a': 'D' || s2.a, 't': s2.t}, {'c': CASE WHEN stays THEN s3.c + 2 + cut ELSE 1000000000 END, 'a': 'R' || s3.a, 't': 'assistant:' || rest || s3.t},
+              {'c': CASE WHEN stays AND ini = 'a' THEN s3.c + cut ELSE 1000000000 END, 'a': 'K' || s3.a, 't': line || s3.t}) AS b2,
+        least({'c': s3.c + 3, 'a': 'D' || s3.a, 't': s3.t}, {'c': CASE WHEN stays THEN s2.c + 2 + cut ELSE 1000000000 END, 'a': 'R' || s2.a, 't': 'user:' || rest || s2.t},
+              {'c': CASE WHEN stays AND ini = 'u' THEN s2.c + cut ELSE 1000000000 END, 'a': 'K' || s2.a, 't': line || s2.t}) AS b3
+      FROM togo g JOIN options o ON g.conv_id = o.conv_id AND g.pos = o.pos))),
+best AS (SELECT conv_id, s0 FROM togo WHERE pos = 0)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(s0.t[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counted USING (conv_id) LEFT JOIN best USING (conv_id)
+"""
+
 
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -211,4 +304,7 @@ def llm_statements() -> dict[str, str]:
         "op6_source_mixing": SOURCE_MIXING,
         "op8_quality_rules": QUALITY_RULES,
         "op10_license_scans": license_scans(),
+        "op11_source_divergence": SOURCE_DIVERGENCE,
+        "op12_substring_dedup": SUBSTRING_DEDUP,
+        "op13_conversation_repair": CONVERSATION_REPAIR,
     }
