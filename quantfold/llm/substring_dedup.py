@@ -313,8 +313,11 @@ def _firsts_by_window(bodies: DataFrame, width: int, stage: Stage) -> DataFrame:
     texts = carriers.join(bodies.select("anchor", "body", "n", "words"), ["anchor", "body", "n"])
     own = texts.select(F.col("window").alias("anchor"), F.col("window").alias("body"), F.lit(width).cast("int").alias("n"), "first_id", F.slice("words", F.col("at") + 1, F.lit(width)).alias("words"))
     solved = stage.plain("window_firsts", _firsts(own, width)).select(F.col("anchor").alias("window"), F.get("firsts", F.lit(0)).alias("found"))
-    each = windows.join(solved, "window", "left").select("anchor", "body", "n", F.struct("at", F.coalesce("found", "first_id").alias("f")).alias("w"))
-    return each.groupBy("anchor", "body", "n").agg(F.transform(F.array_sort(F.collect_list("w")), lambda x: x["f"]).alias("firsts"))
+    earlier = windows.join(solved, "window").filter(F.col("found") < F.col("first_id")).groupBy("anchor", "body", "n")
+    earlier = earlier.agg(F.map_from_entries(F.collect_list(F.struct("at", "found"))).alias("found"))
+    places = F.sequence(F.lit(0), F.col("n") - width)
+    firsts = F.transform(places, lambda at: F.coalesce(F.try_element_at("found", at), "first_id"))
+    return bodies.join(earlier, ["anchor", "body", "n"], "left").select("anchor", "body", "n", firsts.alias("firsts"))
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
