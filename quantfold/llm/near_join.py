@@ -17,17 +17,18 @@ and verified once, on the whole sets, if it survives. Links are followed to
 components in rounds, so that no group is expanded into pairs. In a hub round every
 node meets a few hubs per shared shingle, chosen by hash, and is verified against some
 that survive the filters; that joins most of every component at a cost in proportion to
-the postings. The last round takes all pairs that share a prefix shingle and still lie in
-different components, and leaves out only pairs that are already connected, so
-components are exact.
+the postings. Then a few pairs of each two components that still share a prefix shingle
+are verified and their links contracted, again and again, and at last all pairs that are
+left. Only pairs that are already connected are left out, so components are exact.
 
 Shingles with more than ``hot`` occurrences (a multiple of the sketch's mean) are split
-among hubs by salt, and in the last round into blocks that meet pairwise.
+by salt; the hubs of their salts meet like postings of their own. Later they are split
+into blocks that meet pairwise.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and
 are components of their own; a text with fewer words than a shingle is one shingle;
 a null ``doc_id`` takes part and cannot name a component unless its whole component has
-none; rows that repeat an id are nodes of their own texts and repeated rows are kept;
+none (ids are numbers); rows that repeat an id are nodes of their own texts and repeated rows are kept;
 an empty table gives an empty result; other columns are not read. Shingles are compared
 by 64-bit hashes.
 """
@@ -39,12 +40,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quantfold.llm import wordscan
+from quantfold.llm import bitmap, wordscan
+from quantfold.llm.common import quoted, unused
 from quantfold.llm.components import components
 from quantfold.tables import Stage
 
@@ -52,12 +55,13 @@ SKETCH_BITS = 22
 SKETCH_PARTS = 64
 HOT_LEAST = 2000
 HOT_TIMES_MEAN = 4
-SEEN_BITS = 23
 HUB_ROUNDS, HUBS, PER_ROUND = 2, 3, 3
+#: Rounds that take a few pairs of each two components and contract, and the last one, which takes all pairs that are left.
+CROSS_ROUNDS, PER_COMPONENTS = 6, 8
 FEW_PAIRS = 50_000
 SIG = [f"s{i}" for i in range(8)]
-#: Column of digests beside the columns of the documents.
-DIGEST = "_near_digest"
+#: Columns of a link: its ends and their smallest ids.
+LINK = "a long, b long, la long, lb long"
 
 
 @dataclass(frozen=True)
@@ -194,75 +198,63 @@ def _size(at: Column) -> Column:
     return F.shiftright(at, SIZE_AT).bitwiseAND(F.lit(FIELD))
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """key (the shingle, changed by its salt), node, at, for prefix shingles that two sets or more may share."""
+def _postings(sets: DataFrame, rule: Rule) -> DataFrame:
+    """key (the shingle, changed by its salt), node, at, for prefix shingles that another set of a fitting size may share."""
     posting = sets.select("node", "n", "salts", "places", F.posexplode("prefix").alias("i", "token"))
     posting = posting.withColumn("pos", F.get("places", F.col("i")))
     salt = F.coalesce(F.get("salts", F.col("i")), F.lit(0))
     at = F.shiftleft(salt.cast("long"), SALT_AT) + F.shiftleft(F.col("n").cast("long"), SIZE_AT) + F.col("pos")
     posting = posting.select(F.when(salt > 0, F.col("token").bitwiseXOR(F.xxhash64(salt))).otherwise(F.col("token")).alias("key"), "node", at.alias("at"))
+    # of all sets of a shingle the next smaller or larger one is the likeliest to pass the length filter;
     # a split shingle may be alone under its salt and still be shared
-    return posting.withColumn("k", F.count("*").over(Window.partitionBy("key"))).filter((F.col("k") > 1) | (F.col("at") >= 1 << SALT_AT)).drop("k")
+    by_size = Window.partitionBy("key").orderBy("size")
+    posting = posting.withColumn("size", _size(F.col("at"))).withColumns({"less": F.lag("size").over(by_size), "more": F.lead("size").over(by_size)})
+    near = (rule.den * F.col("less") >= rule.num * F.col("size")) | (rule.den * F.col("size") >= rule.num * F.col("more"))
+    return posting.filter(near | (F.col("at") >= 1 << SALT_AT)).select("key", "node", "at")
 
 
-def _mark(digest: bytes, doc_id: int | None) -> int:
-    return (int.from_bytes(digest[:8], "big") ^ ((doc_id or 0) * 0x9E3779B97F4A7C15)) % (1 << SEEN_BITS)
+def _id_places(batch: pa.RecordBatch) -> np.ndarray:
+    ids = pc.fill_null(batch.column(0).cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return (wordscan.mix(ids + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bitmap.BITS - 1)).astype(np.int64)
 
 
-def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) -> DataFrame:
-    """digest, tokens for ``wanted`` (digest, low), made again from the texts.
-
-    The wanted rows are marked in a bit map of fixed size, so that no text is moved;
-    the table also has sets that were marked by chance and repeats of equal rows.
-    """
+def _marked(docs: DataFrame, ids: DataFrame, wanted: bool = True) -> DataFrame:
+    """The rows of ``docs`` (first column: the id) whose id may be among ``ids``, or those whose id is not."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.filled(ids, _id_places))
 
-    def mark(batches):
-        bits = np.zeros(1 << SEEN_BITS, np.uint8)
+    def keep(batches):
         for b in batches:
-            for digest, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                bits[_mark(digest, low)] = 1
-        if bits.any():
-            yield wordscan.pack(np.packbits(bits), SKETCH_PARTS)
+            yield b.filter(pa.array(bitmap.has(shared.value, _id_places(b)) == wanted))
 
-    marks = wordscan.merged(wanted.select("digest", "low").mapInArrow(mark, wordscan.PACKED), np.uint8, SKETCH_PARTS, np.bitwise_or)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    return docs.mapInArrow(keep, docs.schema)
 
-    def batch(digests, sets):
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "tokens"])
+
+def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) -> DataFrame:
+    """digest, tokens for ``wanted`` (digest, low), made again from the texts of the rows with such an id.
+
+    No text is moved; the table also has sets of rows that share an id or were marked by chance, and repeats of equal rows."""
 
     def remake(batches):
-        marks = shared.value
         for b in batches:
-            digests, sets, held = [], [], 0
-            for doc_id, tokens in zip(b.column(0).to_pylist(), _sets(b.column(1), rule.width)):
-                if not len(tokens) or not len(marks):
-                    continue
-                digest = _digest(tokens)
-                at = _mark(digest, doc_id)
-                if marks[at >> 3] >> (7 - (at & 7)) & 1:
-                    digests.append(digest)
-                    sets.append(tokens.tobytes())
-                    held += tokens.nbytes
-                if held > 8 << 20:
-                    yield batch(digests, sets)
-                    digests, sets, held = [], [], 0
-            if digests:
-                yield batch(digests, sets)
+            for lo, hi in wordscan.chunks(b.column(1)):
+                sets = [t for t in _sets(b.column(1).slice(lo, hi - lo), rule.width) if len(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())], names=["digest", "tokens"])
 
-    return stage.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(remake, "digest binary, tokens binary"))
+    rows = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select("low"))
+    return stage.cut(rows.mapInArrow(remake, "digest binary, tokens binary"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b, da, db) whose whole sets link, as (a, b)."""
+    """The pairs (a, b, da, db, la, lb) whose whole sets link, as (a, b, la, lb)."""
 
     def check(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
+            for x, y in zip(b.column(4), b.column(5)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("da", "db")).alias("digest")).distinct()
     if pairs.count() <= FEW_PAIRS:
@@ -270,35 +262,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         sets = sets.join(F.broadcast(ends), "digest", "left_semi")
     left = pairs.join(sets.withColumnsRenamed({"digest": "da", "tokens": "ta"}), "da")
     both = left.join(sets.withColumnsRenamed({"digest": "db", "tokens": "tb"}), "db")
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "la", "lb", "ta", "tb").mapInArrow(check, LINK).distinct()
+
+
+def _ends() -> list[Column]:
+    """Digest and smallest id of both ends of a pair, from their maps."""
+    return [F.col(f"{side}.{c}").alias(f"{c[0]}{end}") for c in ("digest", "low") for side, end in (("x", "a"), ("y", "b"))]
 
 
 def _with_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return pairs.join(maps.alias("x"), F.col("a") == F.col("x.node")).join(maps.alias("y"), F.col("b") == F.col("y.node"))
 
 
-def _placed(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    return shared.join(comp, "node", "left").select("key", "node", "at", F.coalesce("comp", "node").alias("comp"))
+def _placed(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return shared.withColumn("comp", F.col("node"))
+    return shared.join(comp.select("node", "comp"), "node", "left").select("key", "node", "at", F.coalesce("comp", "node").alias("comp"))
 
 
-def _hub_pairs(placed: DataFrame, maps: DataFrame, rule: Rule, seed: int) -> DataFrame:
-    """a, b, da, db: nodes and hubs of other components that pass the filters."""
-    row = F.struct("node", "at", "comp")
-    hub = lambda i: F.min_by(row, F.xxhash64("node", "key", F.lit(seed * HUBS + i)))
-    hubs = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*[hub(i) for i in range(HUBS)])).alias("hubs")).filter("lo <> hi")
-    met = placed.join(hubs.select("key", "hubs"), "key").select("node", "at", "comp", F.explode("hubs").alias("h"))
+def _met(placed: DataFrame, rule: Rule, seed: int) -> DataFrame:
+    """Postings (key, node, at, comp) beside a few hubs of their key that are in other components and pass length and place."""
+    row, group = F.struct("node", "at", "comp"), Window.partitionBy("key")
+    hub = lambda i: F.min_by(row, F.xxhash64("node", "key", F.lit(seed * HUBS + i))).over(group)
+    met = placed.withColumns({"lo": F.min("comp").over(group), "hi": F.max("comp").over(group), "hubs": F.array(*[hub(i) for i in range(HUBS)])}).filter("lo <> hi")
+    met = met.select("node", "at", "comp", F.explode(F.array_distinct("hubs")).alias("h"))
     mine, other = F.col("at"), F.col("h.at")
-    met = met.filter(
+    return met.filter(
         (F.col("comp") != F.col("h.comp")) & _by_size(rule, _size(mine), _size(other)) & _by_place(rule, _size(mine), _place(mine), _size(other), _place(other))
-    )
-    pairs = met.select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct()
-    return _with_maps(pairs, maps).filter(_by_suffix(rule, "x", "y")).select("a", "b", F.col("x.digest").alias("da"), F.col("y.digest").alias("db"))
+    ).select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b"))
+
+
+def _hub_pairs(placed: DataFrame, maps: DataFrame, rule: Rule, seed: int) -> DataFrame:
+    """a, b, da, db, la, lb: nodes and hubs of other components that pass the filters; the hubs of a split shingle's salts meet in the same way."""
+    hub = lambda i: F.min_by(F.struct("node", "at", "comp"), F.xxhash64("node", "key", F.lit(seed * HUBS + i)))
+    split = placed.filter(F.col("at") >= 1 << SALT_AT).groupBy("key").agg(F.array_distinct(F.array(*[hub(i) for i in range(HUBS)])).alias("hubs"))
+    hubs = split.select("key", F.explode("hubs").alias("h")).select(_token(F.col("key"), F.col("h.at")).alias("key"), "h.node", "h.at", "h.comp")
+    pairs = _met(placed, rule, seed).unionByName(_met(hubs, rule, seed)).distinct()
+    return _with_maps(pairs, maps).filter(_by_suffix(rule, "x", "y")).select("a", "b", *_ends())
+
+
+def _token(key: Column, at: Column) -> Column:
+    """The shingle of a key."""
+    salt = F.shiftright(at, SALT_AT).cast("int")
+    return F.when(salt > 0, key.bitwiseXOR(F.xxhash64(salt))).otherwise(key)
 
 
 def _cross_pairs(placed: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
-    """a, b, da, db: all pairs of different components that share a prefix shingle and pass the filters."""
-    salt = F.shiftright("at", SALT_AT).cast("int")
-    placed = placed.select(F.when(salt > 0, F.col("key").bitwiseXOR(F.xxhash64(salt))).otherwise(F.col("key")).alias("token"), "node", "at", "comp")
+    """a, b, da, db, la, lb and ca, cb (their components): all pairs of different components that share a prefix shingle and pass the filters."""
+    placed = placed.select(_token(F.col("key"), F.col("at")).alias("token"), "node", "at", "comp")
     groups = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
     blocks = F.ceil(F.col("k") / HOT_LEAST).cast("int")
     mixed = placed.join(groups.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -310,7 +321,8 @@ def _cross_pairs(placed: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
     different = (F.col("x.node") > F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     nx, ny = F.col("x.n"), F.col("y.n")
     fits = _by_size(rule, nx, ny) & _by_place(rule, nx, _place(F.col("x.at")), ny, _place(F.col("y.at"))) & _by_suffix(rule, "x", "y")
-    return x.join(y, meet & once & different & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.digest").alias("da"), F.col("y.digest").alias("db")).distinct()
+    comps = [F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb")]
+    return x.join(y, meet & once & different & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), *_ends(), *comps).distinct()
 
 
 def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -319,69 +331,98 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows, one node per different set, and the component of each node that has links."""
+    """Rows, one node per different set, and node, comp, comp_low (the smallest id of the component) of each node that has links."""
     spark = docs.sparkSession
     stage = Stage(spark, "near")
     counts = word_counts(docs)
     rows = stage.plain("rows", described(docs, rule, counts).withColumn("row", F.monotonically_increasing_id()))
     reps = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
     reps = stage.plain("reps", reps)
-    sets_of = rows.drop("doc_id").withColumnRenamed("row", "node").join(reps.select("node"), "node", "left_semi")
-    shared = stage.plain("shared", _postings(sets_of))
-    maps = stage.plain("maps", sets_of.select("node", "n", "digest", *SIG).join(shared.select("node").distinct(), "node", "left_semi"))
+    sets_of = rows.drop("doc_id", "digest").withColumnRenamed("row", "node").join(reps.select("node", "digest", "low"), "node")
+    shared = stage.plain("shared", _postings(sets_of, rule))
+    maps = stage.plain("maps", sets_of.select("node", "n", "digest", "low", *SIG).join(shared.select("node").distinct(), "node", "left_semi"))
 
-    links = spark.createDataFrame([], "a long, b long")
-    tried, known, comp = links, None, spark.createDataFrame([], "node long, comp long")
-    for seed in range(HUB_ROUNDS + 1):
+    links = tried = spark.createDataFrame([], LINK)
+    known, comp, found_links = None, None, 0
+    for k in range(HUB_ROUNDS + CROSS_ROUNDS):
         placed = _placed(shared, comp)
-        if seed < HUB_ROUNDS:
-            found = stage.plain(f"hub_pairs{seed}", _hub_pairs(placed, maps, rule, seed).join(tried, ["a", "b"], "left_anti"))
-            some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(seed)))
+        if k < HUB_ROUNDS:
+            found = stage.plain(f"pairs{k}", _hub_pairs(placed, maps, rule, k).join(tried, ["a", "b"], "left_anti"))
+            some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(k)))
             chosen = found.withColumn("k", F.row_number().over(some)).filter(F.col("k") <= PER_ROUND).drop("k")
         else:
-            found = chosen = stage.plain("cross_pairs", _cross_pairs(placed, maps, rule).join(tried, ["a", "b"], "left_anti"))
-        if found.isEmpty():
+            found = stage.plain(f"pairs{k}", _cross_pairs(placed, maps, rule).join(tried, ["a", "b"], "left_anti"))
+            if found.isEmpty():
+                break
+            chosen = found
+            if k < HUB_ROUNDS + CROSS_ROUNDS - 1 and found_links:
+                # a few pairs of each two components; what they leave is looked at again after contraction
+                some = Window.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b"))
+                chosen = found.withColumn("k", F.row_number().over(some)).filter(F.col("k") <= PER_COMPONENTS).drop("k")
+        chosen = stage.plain(f"chosen{k}", chosen.select("a", "b", "da", "db", "la", "lb"))
+        if chosen.isEmpty():
             continue
-        needed = found.select(F.explode(F.array("da", "db")).alias("digest")).distinct()
+        needed = chosen.select(F.explode(F.array("da", "db")).alias("digest")).distinct()
         if known is not None:
             needed = needed.join(known.select("digest").distinct(), "digest", "left_anti")
         made = _whole_sets(docs, rule, reps.join(needed, "digest", "left_semi"), stage)
         known = made if known is None else known.unionByName(made)
-        links = links.unionByName(stage.plain(f"links{seed}", _verified(chosen, known, rule)))
-        tried = tried.unionByName(stage.plain(f"tried{seed}", chosen.select("a", "b")))
-        comp = components(links, stage)
-    return rows, reps, comp
+        verified = stage.plain(f"links{k}", _verified(chosen, known, rule))
+        found_links = verified.count()
+        tried = tried.unionByName(chosen.select("a", "b", "la", "lb"))
+        if found_links:
+            links = links.unionByName(verified)
+            comp = _components(links, stage)
+        elif k >= HUB_ROUNDS and chosen.count() == found.count():
+            break
+    return rows, reps, comp if comp is not None else _components(links, stage)
+
+
+def _components(links: DataFrame, stage: Stage) -> DataFrame:
+    """Nodes are ordered by their smallest id, so that a component is named by its smallest id at once."""
+    end = lambda low, node: F.struct(F.col(low).isNull().alias("free"), F.col(low).alias("low"), F.col(node).alias("node"))
+    found = components(links.select(end("la", "a").alias("a"), end("lb", "b").alias("b")), stage)
+    return found.select("node.node", F.col("comp.node").alias("comp"), F.col("comp.low").alias("comp_low"))
 
 
 def _labelled(rows: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
-    of_comp = reps.join(comp, "node").groupBy("comp").agg(F.min("low").alias("comp_low"))
-    named = reps.join(comp, "node", "left").join(of_comp, "comp", "left").select("digest", F.coalesce("comp_low", "low").alias("low"), "n_copies")
+    named = reps.join(comp, "node", "left").select("digest", F.coalesce("comp_low", "low").alias("low"), "n_copies")
     return rows.select("doc_id", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
     )
 
 
-def _with_digest(docs: DataFrame, rule: Rule) -> DataFrame:
-    """All rows and columns with the digest of the row's set (null for empty sets)."""
-    at = docs.columns.index("text")
+def one_per_group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """Of each component the row with the smallest id, then digest of its set, then columns in order; documents without words or without an id are kept.
+
+    Rows whose id only stands for sets without copies pass as they are; the others are told apart by id and digest."""
+    rows, reps, comp = _grouped(docs, rule)
+    stage = Stage(docs.sparkSession, "single")
+    nodes = reps.join(comp, "node", "left")
+    first = nodes.filter("low IS NOT NULL").groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min(F.struct("low", "digest")).alias("first"))
+    copied = nodes.filter("n_copies > 1 OR comp IS NOT NULL").select("digest")
+    held = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    unsure = held.join(copied, "digest", "left_semi").select("doc_id").unionByName(held.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    unsure = stage.plain("unsure", unsure.distinct())
+
+    digest, low, of, place = [unused(docs, n) for n in ("near_digest", "near_low", "near_of", "near_place")]
+    names = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
+    texts = docs.select(*[F.col(quoted(c)) for c in names])
+    no_words = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "")) == 0
+    free = texts.filter(F.col("doc_id").isNull() | no_words)
+    worded = texts.filter(F.col("doc_id").isNotNull() & ~no_words)
+    alone = _marked(worded, unsure, wanted=False)
+    at = names.index("text")
 
     def add(batches):
         for b in batches:
-            digests = [_digest(tokens) if len(tokens) else None for tokens in _sets(b.column(at), rule.width)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names=[*b.schema.names, DIGEST])
-
-    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(DIGEST, BinaryType())]))
-
-
-def one_per_group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Of each component the row with the smallest id, then digest of its set, then columns in order; documents without words or without an id are kept."""
-    _, reps, comp = _grouped(docs, rule)
-    nodes = reps.filter("low IS NOT NULL").join(comp, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp"))
-    kept = nodes.agg(F.min(F.struct("low", "digest")).alias("first")).select(F.col("first.low").alias("_near_id"), F.col("first.digest").alias("_near_of"))
-    same = (F.col("doc_id") == F.col("_near_id")) & (F.col(DIGEST) == F.col("_near_of"))
-    rows = _with_digest(docs, rule).join(kept, same, "left_semi")
-    ordered = Window.partitionBy("doc_id", DIGEST).orderBy(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
-    named = rows.withColumn("_near_k", F.row_number().over(ordered)).filter("_near_k = 1")
-    no_words = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "")) == 0
-    free = docs.filter(F.col("doc_id").isNull() | no_words)
-    return named.select(*docs.columns).unionByName(free)
+            digests = [_digest(tokens) for tokens in _sets(b.column(at), rule.width)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names=[*b.schema.names, digest])
+
+    told = _marked(worded, unsure).mapInArrow(add, StructType([*texts.schema.fields, StructField(digest, BinaryType())]))
+    kept = first.select(F.col("first.low").alias(low), F.col("first.digest").alias(of))
+    one = told.join(kept, (F.col("doc_id").cast("long") == F.col(low)) & (F.col(digest) == F.col(of)), "left_semi")
+    ordered = Window.partitionBy("doc_id", digest).orderBy(*[F.col(quoted(c)) for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+    one = one.withColumn(place, F.row_number().over(ordered)).filter(F.col(place) == 1)
+    out = [F.col(quoted(c)) for c in docs.columns]
+    return alone.select(*out).unionByName(one.select(*out)).unionByName(free.select(*out))

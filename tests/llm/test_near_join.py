@@ -79,3 +79,32 @@ def test_one_row_of_each_component_where_ids_repeat(spark):
     out = one_per_group(docs)
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pairs_left_for_the_end_grow_with_the_group(spark, monkeypatch):
+    """A group of near copies under split shingles is one component before all pairs are taken."""
+    monkeypatch.setattr(near_join, "HOT_LEAST", 60)
+    monkeypatch.setattr(near_join, "HOT_TIMES_MEAN", 0)
+    made, cross = [], near_join._cross_pairs
+
+    def counted(*args):
+        out = cross(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_join, "_cross_pairs", counted)
+    rng = random.Random(21)
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(150))
+    left = {}
+    for n in (300, 600):
+        made.clear()
+        rows = near_groups(documents(spark, [vary(rng, base, 1 + k % 2) for k in range(n)]), Rule(3, 90, 100)).collect()
+        assert {r.component_id for r in rows} == {0}
+        left[n] = sum(made)
+    assert left[300] <= 300 and left[600] <= 600
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = documents(spark, ["a b c d e f", "a b c d e f", "x y z u v w"]).withColumnRenamed("node", "a.b").withColumnRenamed("kept", "near_digest").withColumnRenamed("u", "near_low")
+    kept = one_per_group(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
