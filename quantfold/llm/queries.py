@@ -104,7 +104,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "symbol_pm", "dup_line_pm", "symbol_pm_limit", "dup_line_pm_limit", "sketch_level",
+        "space_pm", "symbol_pm", "dup_line_pm", "space_pm_least", "space_pm_limit", "symbol_pm_limit", "dup_line_pm_limit", "sketch_level",
     )
 
 

@@ -104,33 +104,39 @@ cover AS (SELECT r, CAST(sum(least(5, coalesce(nxt - i, 5))) AS BIGINT) AS n FRO
 base AS (
   SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-         coalesce(cover.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM windows LEFT JOIN cover USING (r)),
+         coalesce(cover.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(t) AS n_chars FROM windows LEFT JOIN cover USING (r)),
 rated AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS symbol_pm,
-         n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_pm FROM base),
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (n_chars - word_chars) * 1000 // greatest(n_chars, 1) AS space_pm,
+         n_symbols * 1000 // greatest(word_chars, 1) AS symbol_pm, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_pm FROM base),
 long AS (
-  SELECT lang, source, 'symbol_pm' AS measure, 50 AS least_gap, symbol_pm AS v FROM rated
-  UNION ALL SELECT lang, source, 'dup_line_pm', 400, dup_line_pm FROM rated),
-bins AS (SELECT lang, source, measure, least_gap, {BIN} AS bin FROM long),
+  SELECT lang, source, 'space_pm' AS measure, 30 AS slack, space_pm AS v FROM rated
+  UNION ALL SELECT lang, source, 'symbol_pm', 20, symbol_pm FROM rated
+  UNION ALL SELECT lang, source, 'dup_line_pm', 350, dup_line_pm FROM rated),
+bins AS (SELECT lang, source, measure, slack, {BIN} AS bin FROM long),
 levels AS (
-  SELECT l AS level, CASE WHEN l >= 1 THEN lang END AS lang, CASE WHEN l >= 2 THEN source END AS source, measure, least_gap, bin FROM bins, (SELECT unnest([0, 1, 2]) AS l)),
+  SELECT l AS level, CASE WHEN l >= 1 THEN lang END AS lang, CASE WHEN l >= 2 THEN source END AS source, measure, slack, bin FROM bins, (SELECT unnest([0, 1, 2]) AS l)),
 sorted AS (
   SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS k, count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM levels),
+quartiles AS (
+  SELECT level, lang, source, measure, slack, n, min(bin) FILTER (4 * k >= n) AS q1, min(bin) FILTER (4 * k >= 3 * n) AS q3 FROM sorted GROUP BY ALL HAVING level = 0 OR n >= 200),
 fences AS (
-  SELECT level, lang, source, measure, max(n) AS n, min(bin) FILTER (10 * k >= 5 * n) + greatest(max(least_gap), 6 * (min(bin) FILTER (10 * k >= 5 * n) - min(bin) FILTER (10 * k >= n))) AS lim
-  FROM sorted GROUP BY ALL),
-wide AS (
-  SELECT level, lang, source, max(n) AS n, max(lim) FILTER (measure = 'symbol_pm') AS symbol_pm_limit, max(lim) FILTER (measure = 'dup_line_pm') AS dup_line_pm_limit
-  FROM fences GROUP BY ALL),
+  SELECT level, lang, source, measure, CASE WHEN measure = 'space_pm' THEN greatest(q1 - 3 * (q3 - q1) - slack, 0) ELSE 0 END AS lo, q3 + 3 * (q3 - q1) + slack + CASE WHEN measure = 'space_pm' THEN 0 ELSE q3 // 4 END AS hi FROM quartiles),
+by_lang AS (
+  SELECT g.lang, g.source, a.measure, b.level IS NOT NULL AS has, CASE WHEN b.level IS NULL THEN a.lo ELSE greatest(b.lo, a.lo - (a.hi - a.lo)) END AS lo,
+         CASE WHEN b.level IS NULL THEN a.hi ELSE least(b.hi, a.hi + (a.hi - a.lo)) END AS hi
+  FROM (SELECT DISTINCT lang, source FROM rated) g CROSS JOIN (SELECT * FROM fences WHERE level = 0) a
+  LEFT JOIN fences b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM g.lang AND b.measure = a.measure),
 chosen AS (
-  SELECT g.lang, g.source, max(struct_pack(level := w.level, a := w.symbol_pm_limit, b := w.dup_line_pm_limit)) AS c
-  FROM (SELECT DISTINCT lang, source FROM rated) g JOIN wide w
-    ON (w.level = 0 OR (w.lang IS NOT DISTINCT FROM g.lang AND w.n >= 200)) AND (w.level < 2 OR w.source IS NOT DISTINCT FROM g.source)
-  GROUP BY 1, 2)
+  SELECT p.lang, p.source, p.measure, CASE WHEN c.level IS NOT NULL THEN 2 WHEN p.has THEN 1 ELSE 0 END AS level,
+         CASE WHEN c.level IS NULL THEN p.lo ELSE greatest(c.lo, p.lo - (p.hi - p.lo)) END AS lo, CASE WHEN c.level IS NULL THEN p.hi ELSE least(c.hi, p.hi + (p.hi - p.lo)) END AS hi
+  FROM by_lang p LEFT JOIN fences c ON c.level = 2 AND c.lang IS NOT DISTINCT FROM p.lang AND c.source IS NOT DISTINCT FROM p.source AND c.measure = p.measure),
+wide AS (
+  SELECT lang, source, max(level) AS sketch_level, max(lo) FILTER (measure = 'space_pm') AS space_pm_least, max(hi) FILTER (measure = 'space_pm') AS space_pm_limit,
+         max(hi) FILTER (measure = 'symbol_pm') AS symbol_pm_limit, max(hi) FILTER (measure = 'dup_line_pm') AS dup_line_pm_limit FROM chosen GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND symbol_pm <= c.a AND dup_line_pm <= c.b AS kept, symbol_pm, dup_line_pm,
-       c.a AS symbol_pm_limit, c.b AS dup_line_pm_limit, c.level AS sketch_level
-FROM rated JOIN chosen ON rated.lang IS NOT DISTINCT FROM chosen.lang AND rated.source IS NOT DISTINCT FROM chosen.source
+       NOT base_failed AND space_pm BETWEEN space_pm_least AND space_pm_limit AND symbol_pm <= symbol_pm_limit AND dup_line_pm <= dup_line_pm_limit AS kept,
+       space_pm, symbol_pm, dup_line_pm, space_pm_least, space_pm_limit, symbol_pm_limit, dup_line_pm_limit, sketch_level
+FROM rated JOIN wide ON rated.lang IS NOT DISTINCT FROM wide.lang AND rated.source IS NOT DISTINCT FROM wide.source
 """
 
 
