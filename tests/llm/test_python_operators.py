@@ -54,6 +54,36 @@ def test_novel_spans(spark):
     assert got[2] == got[3] == got[4] == []
 
 
+def test_long_texts_of_tokens_take_linear_time():
+    import time
+
+    for line in ("token=abcdef123456789\n", "token.", "secret "):
+        text = line * (1_000_000 // len(line))
+        start = time.perf_counter()
+        secret_scan.spans_of(text)
+        assert time.perf_counter() - start < 5, line
+
+
+def test_planted_keys_are_found_and_planted_names_are_not(spark):
+    rng = random.Random(31)
+    words = ["session", "provider", "authentication", "factory", "service", "cluster", "refresh", "expiry", "seconds", "manager", "security", "internal", "oauth", "example", "production", "handler"]
+    prose = " ".join(words) + ". " + " ".join(w.capitalize() for w in words)
+
+    def name():
+        own = rng.choices(words, k=rng.randrange(3, 6))
+        return rng.choice(["".join(w.capitalize() for w in own) + "V2", "_".join(own) + "_v2", "-".join(own) + "-1", "com." + ".".join(own), "".join(w.capitalize() for w in own)])
+
+    alphabets = [string.ascii_letters + string.digits, "0123456789ABCDEF", string.ascii_uppercase, string.digits, string.ascii_letters]
+    keys = ["".join(rng.choices(alphabets[k % 5], k=rng.randrange(24, 64))) for k in range(200)]
+    names = [name() for _ in range(200)]
+    before = ["Authorization: Bearer ", "the secret key is ", "our token was "]
+    texts = [f"{prose} {rng.choice(before)}{x} and so on" for x in keys + names]
+    got = spans(spark, texts)
+    # long runs of digits are hex spans already
+    found = [sum(any(s.startswith(kinds) for s in g) for g in part) for kinds, part in ((("novel", "hex"), got[:200]), ("novel", got[200:]))]
+    assert found[0] >= 190 and found[1] <= 6, found
+
+
 def test_novel_spans_of_every_candidate():
     rng = random.Random(9)
     draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
