@@ -218,15 +218,17 @@ def _id_places(batch: pa.RecordBatch) -> np.ndarray:
     return (wordscan.mix(ids + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bitmap.BITS - 1)).astype(np.int64)
 
 
-def _marked(docs: DataFrame, ids: DataFrame, wanted: bool = True) -> DataFrame:
-    """The rows of ``docs`` (first column: the id) whose id may be among ``ids``, or those whose id is not."""
+def _keeper(docs: DataFrame, ids: DataFrame, wanted: bool = True):
+    """A function that keeps, of batches whose first column is the id, the rows whose id may be among ``ids`` (or those whose id is not).
+
+    It runs inside the worker that goes on with the rows."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.filled(ids, _id_places))
 
     def keep(batches):
         for b in batches:
             yield b.filter(pa.array(bitmap.has(shared.value, _id_places(b)) == wanted))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return keep
 
 
 def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) -> DataFrame:
@@ -234,14 +236,16 @@ def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) ->
 
     No text is moved; the table also has sets of rows that share an id or were marked by chance, and repeats of equal rows."""
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keep = _keeper(texts, wanted.select("low"))
+
     def remake(batches):
-        for b in batches:
+        for b in keep(batches):
             for lo, hi in wordscan.chunks(b.column(1)):
                 sets = [t for t in _sets(b.column(1).slice(lo, hi - lo), rule.width) if len(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())], names=["digest", "tokens"])
 
-    rows = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select("low"))
-    return stage.cut(rows.mapInArrow(remake, "digest binary, tokens binary"))
+    return stage.cut(texts.mapInArrow(remake, "digest binary, tokens binary"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -411,15 +415,15 @@ def one_per_group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     no_words = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "")) == 0
     free = texts.filter(F.col("doc_id").isNull() | no_words)
     worded = texts.filter(F.col("doc_id").isNotNull() & ~no_words)
-    alone = _marked(worded, unsure, wanted=False)
-    at = names.index("text")
+    alone = worded.mapInArrow(_keeper(worded, unsure, wanted=False), worded.schema)
+    at, keep = names.index("text"), _keeper(worded, unsure)
 
     def add(batches):
-        for b in batches:
+        for b in keep(batches):
             digests = [_digest(tokens) for tokens in _sets(b.column(at), rule.width)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names=[*b.schema.names, digest])
 
-    told = _marked(worded, unsure).mapInArrow(add, StructType([*texts.schema.fields, StructField(digest, BinaryType())]))
+    told = worded.mapInArrow(add, StructType([*texts.schema.fields, StructField(digest, BinaryType())]))
     kept = first.select(F.col("first.low").alias(low), F.col("first.digest").alias(of))
     one = told.join(kept, (F.col("doc_id").cast("long") == F.col(low)) & (F.col(digest) == F.col(of)), "left_semi")
     ordered = Window.partitionBy("doc_id", digest).orderBy(*[F.col(quoted(c)) for c, t in docs.dtypes if "map<" not in t and t != "variant"])
