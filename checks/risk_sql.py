@@ -114,14 +114,24 @@ q("stop_loss_scores", f"SELECT grp, stock_id, {PROFILE} FROM c_s4_sls")
 q("stop_loss_with_error_bias", f"SELECT grp, stock_id, {r('err_score')} AS err_score, {r('s')} AS stop_loss_score, risk_level FROM c_s4b_sls")
 q("stop_loss_profiles", f"""SELECT g.grp, t.stock_id, {r('coalesce(s, 0)')} AS stop_loss_score, coalesce(risk_level, 'Unknown') AS risk_level,
     coalesce(recommended_action, 'Hold') AS recommended_action, {r('coalesce(trig, 0) + 1e-9')} AS trigger_threshold, {r('coalesce(dd, 0)')} AS raw_drawdown,
-    {', '.join(f"{r(c)} AS {c}" for c in COMP)} FROM c_stocks t CROSS JOIN (SELECT max(reb_no) AS grp FROM c_reb) g
+    {', '.join(f"{r(c)} AS {c}" for c in COMP)} FROM c_stocks t CROSS JOIN (SELECT reb_no AS grp FROM c_reb) g
     LEFT JOIN c_s4_sls s ON s.grp = g.grp AND s.stock_id = t.stock_id""")
-cte("c_sec_sets", """SELECT w.portfolio AS grp, w.stock_id, greatest(s.lo, (SELECT min(f) FROM c_first)) AS lo, s.hi FROM c_w_user w JOIN c_spans_403 s ON s.grp = w.reb_no
-    WHERE w.reb_no = (SELECT max(reb_no) FROM c_reb)""")
-grid_ctes("sec", "c_sec_sets")
-rrc_ctes("sec")
-sls_ctes("sec")
+def set_ctes(tag: str, members: str) -> None:
+    """c_<tag>_sls of members(grp, stock_id, reb_no); a window starts at the first day on which a member has a price."""
+    cte(f"c_{tag}_sets", f"""SELECT w.grp, w.stock_id, greatest(s.lo, min(f.f) OVER (PARTITION BY w.grp)) AS lo, s.hi FROM ({members}) w
+        JOIN c_spans_403 s ON s.grp = w.reb_no JOIN c_first f ON f.stock_id = w.stock_id""")
+    grid_ctes(tag, f"c_{tag}_sets")
+    rrc_ctes(tag)
+    sls_ctes(tag)
+
+
+set_ctes("sec", "SELECT portfolio || '@' || reb_no AS grp, stock_id, reb_no FROM c_w_user")
 q("sector_set_stop_loss", f"SELECT grp, stock_id, {PROFILE} FROM c_sec_sls")
+cte("c_ten", """SELECT * FROM (SELECT b.reb_no, b.reb_date, s.stock_id, s.rank, s.composite_score, row_number() OVER (PARTITION BY b.reb_no ORDER BY s.rank, s.stock_id) AS position
+    FROM c_scored s JOIN c_reb b ON b.score_date = s.date) WHERE position <= 10""")
+set_ctes("ten", "SELECT reb_no AS grp, stock_id, reb_no FROM c_ten")
+q("top_stocks_with_risk", f"""SELECT t.stock_id, t.reb_no, t.reb_date, t.rank, t.position, {r('t.composite_score')} AS composite_score, {r('s')} AS stop_loss_score, risk_level, recommended_action,
+    {r('trig + 1e-9')} AS trigger_threshold, {r('x.dd')} AS raw_drawdown, symbol, sector FROM c_ten t LEFT JOIN c_ten_sls x ON x.grp = t.reb_no AND x.stock_id = t.stock_id JOIN c_stocks k ON k.stock_id = t.stock_id""")
 RRC = ", ".join(f"{r(c)} AS {c}" for c in ("rrc_score", "spike_dd", "beta_compression", "recovery_days", "corr_drift"))
 q("stock_responsiveness", f"SELECT grp, stock_id, {RRC} FROM c_s5_rrc")
 spans_cte("c_spans_one", 1835, "SELECT 0 AS grp, max(date) AS as_of FROM c_scored")

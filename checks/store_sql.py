@@ -33,10 +33,9 @@ SNAP = f"""'auto_hybrid' AS portfolio_type, rebalance_date, {r('es')} AS cagr, {
     {r('ev')} AS expected_volatility, {r('es')} AS expected_sharpe, {r('ac')} AS avg_pairwise_corr"""
 q("metrics_snapshot_append", f"SELECT {SNAP} FROM c_snap WHERE rebalance_date > {back(200)}")
 q("allocation_history", f"""SELECT b.reb_date AS rebalance_date, stock_id, {r('weight')} AS weight, row_number() OVER (PARTITION BY grp ORDER BY weight DESC, stock_id) AS position
-    FROM c_hy_w w JOIN c_reb b ON b.reb_no = w.grp WHERE b.reb_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""")
+    FROM c_hy_w w JOIN c_reb b ON b.reb_no = w.grp""")
 q("latest_metrics_snapshot", f"SELECT {SNAP} FROM c_snap ORDER BY rebalance_date DESC LIMIT 1")
-q("saved_portfolios", """SELECT p.portfolio, strategy, regime_mode, top_n, coalesce(symbols, '') AS symbols FROM c_spec p LEFT JOIN (SELECT sector, string_agg(symbol, ',' ORDER BY symbol) AS symbols
-    FROM c_stocks GROUP BY 1) s ON s.sector = p.portfolio""")
+q("saved_portfolios", "SELECT p.portfolio, strategy, regime_mode, top_n, symbol FROM c_spec p LEFT JOIN c_stocks s ON s.sector = p.portfolio")
 q("rebalance_state", f"SELECT rebalance_date, n_stocks, {r('ev')} AS expected_volatility, {r('es')} AS expected_sharpe FROM c_snap ORDER BY rebalance_date DESC LIMIT 36")
 q("monthly_rebalance_guard", """SELECT 1 AS user_id, date AS call_date, CASE WHEN date = min(date) OVER (PARTITION BY date_trunc('month', date)) THEN 'rebalanced' ELSE 'skipped' END AS status FROM c_calendar""")
 q("table_health", """SELECT 'stocks' AS table_name, count(*) AS rows, CAST(NULL AS DATE) AS max_date FROM c_stocks UNION ALL SELECT 'prices', count(*), max(date) FROM c_prices

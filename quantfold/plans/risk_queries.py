@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfold.operators import risk
@@ -62,25 +62,40 @@ def stop_loss_with_error_bias(m: Market) -> DataFrame:
 
 @query("stop_loss_profiles", "K2 O7")
 def stop_loss_profiles(m: Market) -> DataFrame:
-    """Profiles at the last rebalance of every supplier, with the Unknown default."""
-    last = m.rebalances.agg(F.max("reb_no").alias("grp"))
-    wanted = m.stocks.select("stock_id").join(F.broadcast(last))
+    """Profiles of every supplier at every rebalance, with the Unknown default."""
+    last = m.rebalances.agg(F.max("reb_no")).first()[0] or 0
+    wanted = m.stocks.select("stock_id", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("grp")) if last else m.stocks.select("stock_id", F.lit(0).alias("grp")).limit(0)
     return steady(risk.profiles(universe_sls(m), wanted))
 
 
 @query("sector_set_stop_loss", "K1 K2")
 def sector_set_stop_loss(m: Market) -> DataFrame:
-    """Scores inside each sector's five best names at the last rebalance (absolute maps for small sets)."""
+    """Scores inside each sector's five best names at every rebalance (absolute maps for small sets)."""
     from quantfold.plans.core_queries import user_weights
 
-    last = m.rebalances.agg(F.max("reb_no").alias("reb_no"))
-    w = user_weights(m).join(F.broadcast(last), "reb_no")
-    sets = w.select(F.col("portfolio").alias("grp"), "stock_id")
-    span = _spans(m, risk.SLS_CALENDAR_DAYS).join(F.broadcast(last.select(F.col("reb_no").alias("grp"))), "grp")
-    windows = sets.select("grp").distinct().join(F.broadcast(span.drop("grp")))
-    obs, cut = risk.set_observations(m.panel, sets, windows)
+    named = F.concat_ws("@", "portfolio", "reb_no").alias("grp")
+    return steady(_set_stop_loss(m, user_weights(m).select(named, "stock_id", "reb_no")))
+
+
+def _set_stop_loss(m: Market, members: DataFrame) -> DataFrame:
+    """Stop-loss of the sets members(grp, stock_id, reb_no), each scored strictly inside itself at its rebalance."""
+    span = _spans(m, risk.SLS_CALENDAR_DAYS).withColumnRenamed("grp", "reb_no")
+    windows = members.select("grp", "reb_no").distinct().join(F.broadcast(span), "reb_no").drop("reb_no")
+    obs, cut = risk.set_observations(m.panel, members.select("grp", "stock_id"), windows)
     obs, cut = m.stage.cut(obs), m.stage.cut(cut)
-    return steady(risk.stop_loss(obs, cut, scope=("grp",), display=False, cut=m.stage.cut))
+    return risk.stop_loss(obs, cut, scope=("grp",), display=False, cut=m.stage.cut)
+
+
+@query("top_stocks_with_risk", "O7 K2 L3")
+def top_stocks_with_risk(m: Market) -> DataFrame:
+    """The ten best stocks of every rebalance with their risk columns, scored inside the ten."""
+    dates = m.rebalances.select("reb_no", "reb_date", F.col("score_date").alias("date"))
+    best = m.scored.where(F.col("rank") <= 10).join(F.broadcast(dates), "date")
+    top = best.withColumn("position", F.row_number().over(Window.partitionBy("reb_no").orderBy("rank", "stock_id"))).where("position <= 10")
+    top = m.stage.cut(top.select("reb_no", "reb_date", "stock_id", "rank", "position", "composite_score"))
+    sls = _set_stop_loss(m, top.select(F.col("reb_no").cast("string").alias("grp"), "stock_id", "reb_no"))
+    risks = sls.select(F.col("grp").cast("int").alias("reb_no"), "stock_id", "stop_loss_score", "risk_level", "recommended_action", "trigger_threshold", "raw_drawdown")
+    return steady(top.join(risks, ["reb_no", "stock_id"], "left").join(m.stocks.select("stock_id", "symbol", "sector"), "stock_id"))
 
 
 @query("stock_responsiveness", "K3 W14 W16 W18 W19 W20 J20")

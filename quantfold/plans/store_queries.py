@@ -13,6 +13,7 @@ from quantfold.plans.registry import query, tidy
 from quantfold.sources import market as src
 from quantfold.sources import writers as wr
 from quantfold.streaming import ingest
+from quantfold.streaming.rescoring import ScoreStore, rescore_from_prices
 
 
 def _cutoff(m: Market, back: int):
@@ -130,12 +131,8 @@ def metrics_snapshot_append(m: Market) -> DataFrame:
 
 @query("allocation_history", "S19 F4")
 def allocation_history(m: Market) -> DataFrame:
-    """Allocations of 2000 with their place by weight inside each date."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("rebalance_date").orderBy(F.desc("weight"), "stock_id")
-    out = allocations(m).where(F.col("rebalance_date").between("2000-01-01", "2000-12-31"))
-    return tidy(out.select("rebalance_date", "stock_id", "weight", F.row_number().over(w).alias("position")))
+    """All allocations with their place by weight inside each date."""
+    return tidy(wr.allocation_history(allocations(m)).select("rebalance_date", "stock_id", "weight", "position"))
 
 
 @query("latest_metrics_snapshot", "S20")
@@ -146,8 +143,7 @@ def latest_metrics_snapshot(m: Market) -> DataFrame:
 @query("saved_portfolios", "S21 J18")
 def saved_portfolios(m: Market) -> DataFrame:
     mem = m.stocks.select(F.col("sector").alias("portfolio"), "symbol")
-    out = wr.load_portfolios(user_specs(m), mem)
-    return out.withColumn("symbols", F.array_join("symbols", ","))
+    return wr.load_portfolios(user_specs(m), mem)
 
 
 @query("rebalance_state", "S24")
@@ -221,21 +217,23 @@ def streamed_price_ingest(m: Market) -> DataFrame:
 
 @query("streamed_rescoring", "T3")
 def streamed_rescoring(m: Market) -> DataFrame:
-    """Scores of the dates found in the streamed price files, written date by date; totals per date."""
+    """Scores made from streamed prices; totals per date, equal to those of the batch run.
+
+    First come the prices up to 120 days before the end, less one row in 40 that comes late and with one
+    in 50 closes wrong; then, as a second batch, the late rows, the corrections and the last 120 days.
+    """
     if m.stage.get("rescored") is None:
         root = m.stage.root
-        dates = m.score_dates.join(m.prices.select("date").distinct(), "date", "left_semi")
-        dates.coalesce(1).write.mode("overwrite").parquet(f"{root}/date_files")
-        stream = ingest.file_stream(m.spark, f"{root}/date_files", dates.schema)
-
-        def score(d: DataFrame) -> DataFrame:
-            from quantfold.operators import factors as fac
-
-            touched = m.raw_factors.join(F.broadcast(d), "date", "left_semi")
-            return fac.scores(fac.normalised_factors(touched)).repartition("date")
-
-        ingest.rescore_touched_dates(stream, f"{root}/score_table", f"{root}/score_checkpoint", score).awaitTermination()
-        m.stage._tables["rescored"] = m.spark.read.parquet(f"{root}/score_table")
+        prices = m.prices.select("stock_id", "date", "close", "volume")
+        pick = F.xxhash64("stock_id", "date")
+        late = (F.col("date") > F.lit(_cutoff(m, 120))) | (F.pmod(pick, F.lit(40)) == 0)
+        wrong = F.pmod(pick, F.lit(50)) == 1
+        first = prices.where(~late).withColumn("close", F.when(wrong, F.col("close") * 1.25).otherwise(F.col("close")))
+        for rows in (first, prices.where(late | wrong)):
+            rows.write.mode("append").parquet(f"{root}/streamed_prices")
+            stream = ingest.file_stream(m.spark, f"{root}/streamed_prices", prices.schema)
+            rescore_from_prices(stream, f"{root}/rescoring", f"{root}/rescoring_checkpoint").awaitTermination()
+        m.stage._tables["rescored"] = ScoreStore(m.spark, f"{root}/rescoring").scores()
     return tidy(
         m.stage.get("rescored").groupBy("date").agg(
             F.count(F.lit(1)).alias("rows"), F.max("rank").alias("worst_rank"), F.sum(F.abs("composite_score")).alias("total")

@@ -32,6 +32,13 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> D
     return fresh.join(old, cond, "left_anti")
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key: the one with the largest values of ``order`` (then of the other columns), whatever the order of arrival."""
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in (*order, *rest)])
+    return df.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+
+
 def append_counts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Inserted and skipped row counts per ``by`` of an insert-only append."""
     got = incoming.groupBy(*by).agg(F.count(F.lit(1)).alias("offered"))
@@ -73,8 +80,8 @@ def write_new(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequenc
 
 
 def write_partitions(df: DataFrame, path: str, partition: Sequence[str]) -> None:
-    """Replace exactly the partitions that ``df`` brings."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+    """Replace exactly the partitions that ``df`` brings, with one task (or more, where they are large) per partition."""
+    df.repartition(*partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -165,11 +172,23 @@ def latest_snapshot(history: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def load_portfolios(portfolios: DataFrame, members: DataFrame) -> DataFrame:
-    """Saved portfolios with their sorted symbol list (at most 50 symbols each)."""
-    lists = members.groupBy("portfolio").agg(F.array_sort(F.collect_list("symbol")).alias("symbols"))
-    return portfolios.join(lists, "portfolio", "left").withColumn(
-        "symbols", F.coalesce("symbols", F.array().cast("array<string>"))
-    )
+    """Saved portfolios with their symbols, a row each; a portfolio without stocks has one row without a symbol."""
+    return portfolios.join(members.select("portfolio", "symbol"), "portfolio", "left")
+
+
+def allocation_history(allocations: DataFrame, since=None, until=None, names: Sequence[str] | None = None) -> DataFrame:
+    """Stored allocations with their place by weight inside each portfolio and date; dates (inclusive) and names are optional filters.
+
+    A portfolio has at most a few dozen stocks per date, so places are taken directly."""
+    out = allocations
+    if since is not None:
+        out = out.where(F.col("rebalance_date") >= F.lit(since))
+    if until is not None:
+        out = out.where(F.col("rebalance_date") <= F.lit(until))
+    if names is not None:
+        out = out.where(F.col("portfolio_name").isin(list(names))) if names else out.limit(0)
+    place = Window.partitionBy("user_id", "portfolio_type", "portfolio_name", "rebalance_date").orderBy(F.desc("weight"), "stock_id")
+    return out.withColumn("position", F.row_number().over(place))
 
 
 def save_portfolio(members: DataFrame, name: str, incoming: DataFrame) -> DataFrame:
