@@ -30,6 +30,7 @@ whole by one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -283,37 +284,56 @@ def _firsts(bodies: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, out)
 
 
-def _windows(bodies: DataFrame, width: int) -> DataFrame:
-    """window (hash), at, and anchor, body, n, first_id for each window of the bodies."""
-    schema = bodies.schema
-    out = StructType([StructField("window", LongType()), StructField("at", IntegerType()), *[schema[c] for c in ("anchor", "body", "n", "first_id")]])
+def _window_hashes(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and hash of each window of a batch of bodies."""
+    lists = b.column(b.schema.get_field_index("words"))
+    flat, first = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+    s = _spans(flat, first, width, width)
+    # one window of its own each, but for repeats in a row
+    count = s.n - width + 1
+    at = np.repeat(s.start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(s.row, count), at, np.repeat(s.anchor, count)
+
+
+def _windows(bodies: DataFrame, width: int, kept: Callable[[list, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """window (hash), k, first_id, anchor, body, n, at for the windows of the bodies that ``kept`` (their bodies' ids by row, rows, hashes) picks, with their counts."""
+    names = ("first_id", "anchor", "body", "n")
+    out = StructType([StructField("window", LongType()), StructField("k", LongType()), *[bodies.schema[c] for c in names], StructField("at", IntegerType())])
 
     def split(batches):
         for b in batches:
-            lists = b.column(b.schema.get_field_index("words"))
-            flat, first = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
-            s = _spans(flat, first, width, width)
-            # one window of its own each, but for repeats in a row
-            rows, step = np.repeat(s.row, s.n - width + 1), np.arange(int((s.n - width + 1).sum()))
-            at = np.repeat(s.start, s.n - width + 1) + step - np.repeat(np.cumsum(s.n - width + 1) - (s.n - width + 1), s.n - width + 1)
-            anchor = np.repeat(s.anchor, s.n - width + 1)
-            take = pa.array(rows)
-            columns = [pa.array(anchor.view(np.int64)), pa.array(at.astype(np.int32)), *[b.column(b.schema.get_field_index(c)).take(take) for c in ("anchor", "body", "n", "first_id")]]
+            row, at, window = _window_hashes(b, width)
+            picked, k = kept(b.column(b.schema.get_field_index("first_id")).to_pylist(), row, window)
+            take = pa.array(row[picked])
+            columns = [pa.array(window[picked].view(np.int64)), pa.array(k), *[b.column(b.schema.get_field_index(c)).take(take) for c in names], pa.array(at[picked].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=out.fieldNames())
 
     return bodies.mapInArrow(split, out)
 
 
+def _once_a_batch(ids: list, row: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each different window the place with the smallest id, and how often it is there."""
+    rank = np.empty(len(ids), np.int64)
+    rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+    order = np.lexsort((rank[row], window))
+    _, begin, k = np.unique(window[order], return_index=True, return_counts=True)
+    return order[begin], k.astype(np.int64)
+
+
 def _firsts_by_window(bodies: DataFrame, width: int, stage: Stage) -> DataFrame:
     """The same as ``_firsts`` for bodies of common anchors: windows found once are settled by their body alone, the others are bodies of their own."""
-    windows = stage.plain("windows", _windows(bodies, width))
-    of = F.struct("first_id", "anchor", "body", "n", "at")
-    again = windows.groupBy("window").agg(F.count("*").alias("k"), F.min(of).alias("o")).filter("k > 1")
-    carriers = again.select("window", "o.*")
+    counted = _windows(bodies, width, _once_a_batch).groupBy("window").agg(F.sum("k").alias("k"), F.min(F.struct("first_id", "anchor", "body", "n", "at")).alias("o"))
+    carriers = counted.filter("k > 1").select("window", "o.*")
     texts = carriers.join(bodies.select("anchor", "body", "n", "words"), ["anchor", "body", "n"])
     own = texts.select(F.col("window").alias("anchor"), F.col("window").alias("body"), F.lit(width).cast("int").alias("n"), "first_id", F.slice("words", F.col("at") + 1, F.lit(width)).alias("words"))
-    solved = stage.plain("window_firsts", _firsts(own, width)).select(F.col("anchor").alias("window"), F.get("firsts", F.lit(0)).alias("found"))
-    earlier = windows.join(solved, "window").filter(F.col("found") < F.col("first_id")).groupBy("anchor", "body", "n")
+    solved = stage.plain("window_firsts", _firsts(stage.plain("window_texts", own), width)).select(F.col("anchor").alias("window"), F.get("firsts", F.lit(0)).alias("found"))
+    bits = bodies.sparkSession.sparkContext.broadcast(bitmap.filled(solved, _place))
+
+    def again(ids, row, window):
+        picked = np.flatnonzero(bitmap.has(bits.value, window.view(np.int64) & (bitmap.BITS - 1)))
+        return picked, np.ones(len(picked), np.int64)
+
+    earlier = _windows(bodies, width, again).join(solved, "window").filter(F.col("found") < F.col("first_id")).groupBy("anchor", "body", "n")
     earlier = earlier.agg(F.map_from_entries(F.collect_list(F.struct("at", "found"))).alias("found"))
     places = F.sequence(F.lit(0), F.col("n") - width)
     firsts = F.transform(places, lambda at: F.coalesce(F.try_element_at("found", at), "first_id"))
