@@ -70,7 +70,17 @@ def stab_select(tag: str) -> str:
 
 
 stability_ctes("su", "c_us_curve")
-stability_ctes("sb", "c_bt_curve", turn="c_bt_turn")
+cte("c_ch_ret", """SELECT w.portfolio, w.reb_no, w.stock_id, p.idx, p.ret FROM c_w_both w JOIN c_reb b ON b.reb_no = w.reb_no
+    JOIN c_panel p ON p.stock_id = w.stock_id AND p.idx > b.reb_idx AND p.idx <= b.end_idx WHERE p.ret IS NOT NULL""")
+cte("c_ch_full", """SELECT r.portfolio, r.reb_no, r.stock_id FROM c_ch_ret r JOIN c_reb b ON b.reb_no = r.reb_no GROUP BY 1, 2, 3
+    HAVING count(*) = any_value(b.end_idx - b.reb_idx) AND stddev_samp(ret) > 0 AND count(*) > 2""")
+cte("c_ch_days", "SELECT r.* FROM c_ch_ret r JOIN c_ch_full USING (portfolio, reb_no, stock_id)")
+cte("c_ch_pair", """SELECT a.portfolio, a.reb_no, covar_samp(a.ret, b.ret) / (stddev_samp(a.ret) * stddev_samp(b.ret)) AS c FROM c_ch_days a
+    JOIN c_ch_days b ON b.portfolio = a.portfolio AND b.reb_no = a.reb_no AND b.idx = a.idx AND b.stock_id > a.stock_id GROUP BY a.portfolio, a.reb_no, a.stock_id, b.stock_id""")
+cte("c_ch", """SELECT f.portfolio, f.reb_no AS seq, p.c AS avg_pairwise_corr FROM (SELECT DISTINCT portfolio, reb_no FROM c_ch_full) f
+    LEFT JOIN (SELECT portfolio, reb_no, avg(c) AS c FROM c_ch_pair GROUP BY 1, 2) p USING (portfolio, reb_no)""")
+q("correlation_history", f"SELECT portfolio, seq, {r('avg_pairwise_corr')} AS avg_pairwise_corr FROM c_ch")
+stability_ctes("sb", "c_bt_curve", turn="c_bt_turn", corr="c_ch")
 q("rolling_portfolio_metrics", f"SELECT portfolio, date, {r('rolling_sharpe')} AS rolling_sharpe, {r('rolling_cagr')} AS rolling_cagr, {r('rolling_maxdd')} AS rolling_maxdd FROM c_su_roll")
 q("regime_sharpe_split", f"""SELECT portfolio, n_days, {r('regime_sharpe_high')} AS regime_sharpe_high, {r('regime_sharpe_low')} AS regime_sharpe_low,
     {r('regime_sharpe_gap')} AS regime_sharpe_gap, {r('regime_score')} AS regime_score FROM c_su_regime""")

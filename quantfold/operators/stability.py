@@ -25,6 +25,9 @@ def rolling_metrics(curve: DataFrame) -> DataFrame:
     The window is 252 rows, or half the history when that is shorter; half a
     window is enough to start. Sums over the window are differences of running
     sums, joined on the row number because the window length differs by portfolio.
+    The drawdown of a window is merged from two summaries (extreme equity, deepest
+    drop): rows are cut into blocks of one window length, so a window is the end of one
+    block and the start of the next, both known from running extremes.
     """
     part = Window.partitionBy("portfolio")
     order = part.orderBy("date")
@@ -39,13 +42,15 @@ def rolling_metrics(curve: DataFrame) -> DataFrame:
         F.sum(r).over(upto).alias("c1"),
         F.sum(r * r).over(upto).alias("c2"),
         F.product(1 + r).over(upto).alias("cp"),
-        F.collect_list(r).over(order.rowsBetween(-(FULL_WINDOW - 1), 0)).alias("tail"),
     )
     rows = rows.where(F.col("n") >= MIN_DAYS).withColumn(
         "w", F.when(F.col("n") >= FULL_WINDOW, F.lit(FULL_WINDOW)).otherwise(F.floor(F.col("n") / 2).cast("int"))
     )
+    rows = _block_drawdowns(rows)
+    by_row = Window.partitionBy("portfolio").orderBy("rn")
+    following = [F.lead(c).over(by_row).alias(f"{c}_next") for c in ("block", "end_high", "end_drop")]
     old = rows.select(
-        "portfolio", (F.col("rn") + F.col("w")).alias("rn"), F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.col("cp").alias("op")
+        "portfolio", (F.col("rn") + F.col("w")).alias("rn"), F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.col("cp").alias("op"), *following
     )
     both = rows.join(old, ["portfolio", "rn"], "left")
     k = F.least("rn", "w").cast("double")
@@ -54,19 +59,8 @@ def rolling_metrics(curve: DataFrame) -> DataFrame:
     var = F.greatest((s2 - s1 * s1 / k) / (k - 1), F.lit(0.0))
     std = F.when(k > 1, F.sqrt(var))
     started = F.col("rn") >= F.floor(F.col("w") / 2)
-    tail = F.when(F.size("tail") > F.col("w"), F.slice("tail", -F.col("w"), F.col("w"))).otherwise(F.col("tail"))
-    mdd = F.aggregate(
-        tail,
-        F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("p"), F.lit(0.0).alias("d")),
-        lambda a, x: F.struct(
-            (a["c"] * (1 + x)).alias("c"),
-            F.greatest(a["p"], a["c"] * (1 + x)).alias("p"),
-            F.least(
-                a["d"], (a["c"] * (1 + x) - F.greatest(a["p"], a["c"] * (1 + x))) / F.greatest(a["p"], a["c"] * (1 + x))
-            ).alias("d"),
-        ),
-        lambda a: a["d"],
-    )
+    across = F.try_divide("start_low", "end_high_next") - 1
+    mdd = F.when(F.col("block_next") < F.col("block"), F.least("end_drop_next", "start_drop", across)).otherwise(F.col("start_drop"))
     cagr = F.pow(F.col("cp") / F.coalesce("op", F.lit(1.0)), F.lit(252.0) / F.col("w")) - 1
     return both.where(started).select(
         "portfolio",
@@ -80,6 +74,41 @@ def rolling_metrics(curve: DataFrame) -> DataFrame:
     )
 
 
+def _block_drawdowns(rows: DataFrame) -> DataFrame:
+    """Adds, for blocks of ``w`` rows of an equity ``cp``: the lowest equity and deepest drop from the block's first row to this one
+    (start_low, start_drop) and the highest equity and deepest drop from this row to the block's last one (end_high, end_drop)."""
+    rows = rows.withColumn("block", F.floor((F.col("rn") - 1) / F.col("w")))
+    block = Window.partitionBy("portfolio", "block")
+    onward = block.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    back = block.orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
+    extremes = {"start_low": F.min("cp").over(onward), "_peak": F.max("cp").over(onward), "end_high": F.max("cp").over(back), "_trough": F.min("cp").over(back)}
+    drops = {
+        "start_drop": F.min(F.try_divide("cp", "_peak") - 1).over(onward),
+        "end_drop": F.min(F.try_divide("_trough", "cp") - 1).over(back),
+    }
+    return rows.withColumns(extremes).withColumns(drops).drop("_peak", "_trough")
+
+
+def correlation_history(weights: DataFrame, periods: DataFrame, panel: DataFrame) -> DataFrame:
+    """portfolio, seq, avg_pairwise_corr: mean correlation of a portfolio's stocks inside each holding period.
+
+    No pairs: with every stock's returns standardised over the period, the variance of their daily sum is
+    k + k (k - 1) times the mean correlation. Stocks without a return on every day of the period or without
+    spread are left out; below two stocks or three days there is no value.
+    """
+    days = weights.select("portfolio", "reb_no", "stock_id").join(F.broadcast(periods.select("reb_no", "reb_idx", "end_idx")), "reb_no")
+    days = days.select("portfolio", "reb_no", "stock_id", (F.col("end_idx") - F.col("reb_idx")).alias("n_days"), F.explode(F.sequence(F.col("reb_idx") + 1, F.col("end_idx"))).alias("idx"))
+    held = days.join(panel.select("stock_id", "idx", "ret"), ["stock_id", "idx"]).where(F.col("ret").isNotNull())
+    own = Window.partitionBy("portfolio", "reb_no", "stock_id")
+    z = F.try_divide(F.col("ret") - F.avg("ret").over(own), F.stddev_samp("ret").over(own))
+    whole = F.count("ret").over(own) == F.col("n_days")
+    rows = held.withColumns({"z": z, "whole": whole}).where(F.col("whole") & F.col("z").isNotNull())
+    daily = rows.groupBy("portfolio", "reb_no", "idx").agg(F.sum("z").alias("z"), F.count("z").alias("k"))
+    k = F.max("k")
+    mean = F.when((k > 1) & (F.count("z") > 2), (F.var_samp("z") - k) / (k * (k - 1)))
+    return daily.groupBy("portfolio", "reb_no").agg(mean.alias("avg_pairwise_corr")).withColumnRenamed("reb_no", "seq")
+
+
 def _sharpe(mask: Column | None = None) -> Column:
     r = F.col("daily_return") if mask is None else F.when(mask, F.col("daily_return"))
     return F.coalesce(F.try_divide(F.avg(r), F.stddev_samp(r)) * F.lit(SQRT_YEAR), F.lit(0.0))

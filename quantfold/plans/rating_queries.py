@@ -39,10 +39,21 @@ def stability_scores(m: Market) -> DataFrame:
 
 @query("stability_with_history", "Q2 A14 W23")
 def stability_with_history(m: Market) -> DataFrame:
-    """Both strategies with their turnover history."""
+    """Both strategies with their turnovers and the correlations inside their holding periods."""
     w = both_weights(m)
     turn = bt.turnover(w, both_curve(m).select("portfolio", "reb_no"))
-    return tidy(st.stability(both_curve(m), turn.select("portfolio", "seq", "turnover")))
+    return tidy(st.stability(both_curve(m), turn.select("portfolio", "seq", "turnover"), correlations(m)))
+
+
+def correlations(m: Market) -> DataFrame:
+    key = "corr_both"
+    return m.stage.get(key) or m.stage.plain(key, st.correlation_history(both_weights(m), m.rebalances, m.panel))
+
+
+@query("correlation_history", "W23 A10 A11")
+def correlation_history(m: Market) -> DataFrame:
+    """Mean correlation inside each holding period of both strategies."""
+    return tidy(correlations(m))
 
 
 def user_rrc(m: Market) -> DataFrame:
