@@ -18,7 +18,7 @@ components in rounds, so that no group is expanded into pairs. In a hub round ev
 node meets a few hubs per shared shingle, chosen by hash, and is verified against some
 that survive the filters; that joins most of every component at a cost in proportion to
 the postings. Then a few pairs of each two components that still share a prefix shingle
-are verified and their links contracted, again and again, and at last all pairs that are
+are verified and their links contracted, and at last all pairs that are
 left. Only pairs that are already connected are left out, so components are exact.
 
 Shingles with more than ``hot`` occurrences (a multiple of the sketch's mean) are split
@@ -56,8 +56,8 @@ SKETCH_PARTS = 64
 HOT_LEAST = 2000
 HOT_TIMES_MEAN = 4
 HUB_ROUNDS, HUBS, PER_ROUND = 2, 3, 3
-#: Rounds that take a few pairs of each two components and contract, and the last one, which takes all pairs that are left.
-CROSS_ROUNDS, PER_COMPONENTS = 6, 8
+#: Rounds after them: the first takes a few pairs of each two components and contracts, the last one all pairs that are left.
+CROSS_ROUNDS, PER_COMPONENTS = 2, 8
 FEW_PAIRS = 50_000
 SIG = [f"s{i}" for i in range(8)]
 #: Columns of a link: its ends and their smallest ids.
