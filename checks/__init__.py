@@ -8,7 +8,6 @@ MODULES = ("core_sql", "risk_sql", "rating_sql", "view_sql", "hybrid_sql", "erro
 
 
 def all_statements() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name in MODULES:
-        out.update(import_module(f"checks.{name}").statements())
-    return out
+    # building blocks of one module are used in others, so all are loaded first
+    modules = [import_module(f"checks.{name}") for name in MODULES]
+    return {name: sql for module in modules for name, sql in module.statements().items()}

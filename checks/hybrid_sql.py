@@ -27,9 +27,7 @@ def shrink_cte(name: str, src: str, mult: int) -> None:
 
 shrink_cte("c_shr", "c_tr_all", 252)
 q("shrunk_returns", f"SELECT grp, stock_id, {r('sample_mean')} AS sample_mean, {r('prior')} AS prior, {r('lam')} AS lambda, {r('mu')} AS mu FROM c_shr")
-BIAS = "(0.01 + 0.02 * f.momentum_score - 0.01 * f.volatility_score)"
-q("error_corrected_returns", f"""SELECT m.grp, m.stock_id, {r(f'm.mu - {BIAS}')} AS mu, {r(BIAS)} AS bias FROM c_shr m JOIN c_reb b ON b.reb_no = m.grp
-    JOIN c_scored f ON f.stock_id = m.stock_id AND f.date = b.score_date""")
+q("error_corrected_returns", f"""SELECT m.grp, m.stock_id, {r('m.mu - b.error_bias')} AS mu, {r('b.error_bias')} AS bias FROM c_shr m JOIN c_bias b ON b.grp = m.grp AND b.stock_id = m.stock_id""")
 cte("c_pool", """SELECT grp, stock_id, score, volatility_score, position FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, stock_id) AS position FROM (
     SELECT c.reb_no AS grp, c.stock_id, c.volatility_score, CASE WHEN x.rrc_score < 30 THEN composite_score * 0.90 WHEN x.rrc_score > 70 THEN composite_score * 1.05 ELSE composite_score END AS score
     FROM c_cand c LEFT JOIN c_s5_rrc x ON x.grp = c.reb_no AND x.stock_id = c.stock_id)) WHERE position <= 50""")
@@ -79,6 +77,11 @@ cte("c_hy_stats", """SELECT n.grp, n.n_stocks, n.n_reduced, sqrt(252 * v.pv) AS
     (SELECT s.grp, sum(s.mu * w.weight) AS er FROM c_hy_shr s JOIN c_hy_w w ON w.grp = s.grp AND w.stock_id = s.stock_id GROUP BY 1) e ON e.grp = n.grp""")
 q("hybrid_expectations", f"""SELECT grp, n_stocks, n_reduced, {r('ev')} AS expected_volatility, {r('es')} AS expected_sharpe, {r('ac')} AS avg_pairwise_corr,
     concat_ws(',', CASE WHEN n_stocks < 8 THEN 'low_diversification' END, CASE WHEN ac > 0.6 THEN 'high_concentration' END) AS warnings FROM c_hy_stats""")
+cte("c_hy_mu", """SELECT s.grp, s.stock_id, s.mu - coalesce(a.p_intercept, 0) - coalesce(a.p_bv, 0) * coalesce(f.volatility_score, 0) AS mu FROM c_hy_shr s JOIN c_asof a ON a.grp = s.grp
+    LEFT JOIN c_scored f ON f.stock_id = s.stock_id AND f.date = a.score_date""")
+q("hybrid_expectations_calibrated", f"""SELECT s.grp, n_stocks, n_reduced, {r('ev')} AS expected_volatility, {r('e.er / ev')} AS expected_sharpe, {r('ac')} AS avg_pairwise_corr,
+    concat_ws(',', CASE WHEN n_stocks < 8 THEN 'low_diversification' END, CASE WHEN ac > 0.6 THEN 'high_concentration' END) AS warnings FROM c_hy_stats s
+    JOIN (SELECT m.grp, sum(m.mu * w.weight) / sum(w.weight) AS er FROM c_hy_mu m JOIN c_hy_w w ON w.grp = m.grp AND w.stock_id = m.stock_id GROUP BY 1) e ON e.grp = s.grp""")
 cte("c_hyp_w", "SELECT 'hybrid' AS portfolio, grp AS reb_no, stock_id, weight FROM c_hy_w")
 backtest_ctes("hyp", "c_hyp_w", target="0.15")
 summary_ctes("hyp", "c_hyp_curve", std="stddev_pop")
@@ -103,6 +106,16 @@ cte("c_lw", """SELECT a.grp, a.p, a.n, a.ss, b.q / a.n AS q, a.tr / a.p AS mu FR
     JOIN (SELECT grp, sum(pow(s, 2)) AS q FROM (SELECT grp, idx, sum(x * x) AS s FROM c_lw_x GROUP BY 1, 2) GROUP BY 1) b ON b.grp = a.grp""")
 q("covariance_ledoit_wolf", f"""SELECT grp, p AS n_assets, n AS n_obs, {r('1 - least(beta, delta) / delta')} AS shrinkage FROM (
     SELECT *, (ss - p * mu * mu) / p AS delta, (q - ss) / (p * n) AS beta FROM c_lw)""")
+cte("c_cov_e", "SELECT grp, i AS a, j AS b, 0.8 * cv + CASE WHEN i = j THEN 0.2 * avg(cv) FILTER (WHERE i = j) OVER (PARTITION BY grp) ELSE 0 END AS value FROM c_hy_cov")
+q("covariance_entries", f"SELECT grp, a, b, {r('value', 12)} AS value FROM c_cov_e")
+cte("c_cov_m", "SELECT grp, list(entries ORDER BY a) AS m, list(a ORDER BY a) AS names FROM (SELECT grp, a, list(value ORDER BY b) AS entries FROM c_cov_e GROUP BY 1, 2) GROUP BY 1")
+cte("c_piv", """WITH RECURSIVE e AS (SELECT grp, 1 AS position, names, m FROM c_cov_m UNION ALL
+    SELECT grp, position + 1, names, list_transform(m[2:], lambda x: list_transform(range(2, len(m) + 1), lambda k: x[k] - x[1] / m[1][1] * m[1][k])) FROM e WHERE len(m) > 1)
+    SELECT grp, position, names[position] AS stock_id, m[1][1] AS pv FROM e""")
+q("covariance_pivots", f"SELECT grp, position, stock_id, {r('pv', 12)} AS pivot_value FROM c_piv")
+q("covariance_summary", f"""SELECT grp, n_assets, {r('trace', 12)} AS trace, {r('ss', 12)} AS sum_squares, {r('mp', 12)} AS min_pivot, {r('ld')} AS log_det, mp > 0 AS is_positive_definite
+    FROM (SELECT grp, sum(value) FILTER (WHERE a = b) AS trace, sum(value * value) AS ss FROM c_cov_e GROUP BY 1)
+    JOIN (SELECT grp, count(*) AS n_assets, min(pv) AS mp, sum(ln(pv)) FILTER (WHERE pv > 0) AS ld FROM c_piv GROUP BY 1) USING (grp)""")
 q("hybrid_correlation_matrix", f"SELECT i AS stock_a, j AS stock_b, {r('cr')} AS correlation FROM c_hy_cov WHERE grp = (SELECT max(grp) FROM c_hy_w)")
 
 

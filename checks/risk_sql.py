@@ -104,7 +104,10 @@ for tag, span in (("s4", "c_spans_403"), ("s5", "c_spans_1835")):
     grid_ctes(tag, f"c_{tag}_sets")
     rrc_ctes(tag)
 sls_ctes("s4")
-cte("c_bias", "SELECT b.reb_no AS grp, s.stock_id, s.momentum_score / 100 AS error_bias FROM c_scored s JOIN c_reb b ON b.score_date = s.date")
+cte("c_asof", """SELECT r.reb_no AS grp, r.score_date, h.p_intercept, h.p_bm, h.p_bv FROM (SELECT b.reb_no, b.score_date, max(h.window_end) AS we FROM c_reb b
+    LEFT JOIN c_hist h ON h.window_end <= b.reb_date GROUP BY 1, 2) r LEFT JOIN c_hist h ON h.window_end = r.we""")
+cte("c_bias", """SELECT a.grp, s.stock_id, coalesce(p_intercept, 0) + coalesce(p_bm, 0) * coalesce(momentum_score, 0) + coalesce(p_bv, 0) * coalesce(volatility_score, 0) AS error_bias
+    FROM c_scored s JOIN c_asof a ON a.score_date = s.date""")
 sls_ctes("s4", "c_bias")
 
 COMP = ("dd_score", "var_score", "mom_score", "err_score", "regime_score")

@@ -67,7 +67,8 @@ def error_corrected(predicted: DataFrame, factors: DataFrame, calibration: DataF
 
     predicted(grp, stock_id, mu); factors(grp, stock_id, any *_score columns);
     calibration: rows (window_end?, intercept, beta_momentum, beta_quality, beta_value,
-    beta_volatility), of which the newest window counts. Missing factor columns and values count as zero. Without a
+    beta_volatility), of which the newest window counts; with a column ``grp`` each group has its own row
+    (see ``error_model.calibration_as_of``). Missing factor columns and values count as zero. Without a
     calibration, or when disabled, the predictions stay as they are.
     """
     if not enabled or calibration is None:
@@ -75,13 +76,15 @@ def error_corrected(predicted: DataFrame, factors: DataFrame, calibration: DataF
     wanted = ["momentum", "quality", "value", "volatility"]
     have = [w for w in wanted if f"{w}_score" in factors.columns]
     joined = predicted.join(factors.select("grp", "stock_id", *[f"{w}_score" for w in have]), ["grp", "stock_id"], "left")
+    keyed = ["grp"] if "grp" in calibration.columns else []
     ages = ["window_end"] if "window_end" in calibration.columns else []
     newest = F.max(F.struct(*ages, "intercept", *[f"beta_{w}" for w in wanted])).alias("c")
-    one = bounded(calibration.agg(newest).select("c.intercept", *[f"c.beta_{w}" for w in wanted]))
+    # a row per as-of date, or one for all
+    one = bounded(calibration.groupBy(*keyed).agg(newest).select(*keyed, "c.intercept", *[f"c.beta_{w}" for w in wanted]))
     bias: Column = F.coalesce("intercept", F.lit(0.0))
     for w in have:
         bias = bias + F.coalesce(f"beta_{w}", F.lit(0.0)) * F.coalesce(f"{w}_score", F.lit(0.0))
-    out = joined.join(one, F.lit(True), "left").withColumn("bias", bias)
+    out = joined.join(one, keyed or F.lit(True), "left").withColumn("bias", bias)
     return out.withColumn("mu", F.col("mu") - F.col("bias")).select(*predicted.columns, "bias")
 
 
@@ -107,6 +110,52 @@ def covariance_report(returns: DataFrame, method: str = "manual", alpha: float =
     )
 
 
+def covariance_entries(returns: DataFrame, alpha: float = 0.8) -> DataFrame:
+    """grp, a, b, value: all entries of the blended covariance of each group, a row each.
+
+    ``alpha`` times the sample covariance plus the rest times the mean variance on the diagonal.
+    returns(grp, stock_id, idx, ret) are complete; a group is one selected set (at most a few dozen names).
+    """
+    x, y = returns.alias("x"), returns.alias("y")
+    met = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.idx") == F.col("y.idx")))
+    cov = met.groupBy("x.grp", F.col("x.stock_id").alias("a"), F.col("y.stock_id").alias("b")).agg(F.covar_samp("x.ret", "y.ret").alias("cov"))
+    mean = F.avg(F.when(F.col("a") == F.col("b"), F.col("cov"))).over(Window.partitionBy("grp"))
+    diagonal = F.when(F.col("a") == F.col("b"), (1 - alpha) * mean).otherwise(0.0)
+    return cov.select("grp", "a", "b", (alpha * F.col("cov") + diagonal).alias("value"))
+
+
+def covariance_pivots(entries: DataFrame) -> DataFrame:
+    """grp, position, stock_id, pivot_value of each covariance, by elimination in the order of the names.
+
+    A fold over the names: each step takes the first pivot and leaves the remainder without that name. All pivots
+    are positive exactly if the matrix is positive definite, and their product is its determinant.
+    """
+    rows = entries.groupBy("grp", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "value"))), lambda e: e["value"]).alias("row"))
+    matrix = rows.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("a", "row"))).alias("m"))
+    start = F.struct(F.transform("m", lambda r: r["row"]).alias("m"), F.array().cast("array<double>").alias("p"))
+
+    def step(acc, _):
+        top = F.get(acc["m"], F.lit(0))
+        pivot = F.get(top, F.lit(0))
+        rest = F.slice(top, F.lit(2), F.greatest(F.size(top) - 1, F.lit(0)))
+        below = F.slice(acc["m"], F.lit(2), F.greatest(F.size(acc["m"]) - 1, F.lit(0)))
+        left = F.transform(
+            below, lambda r: F.zip_with(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), rest, lambda v, t: v - F.try_divide(F.get(r, F.lit(0)), pivot) * t)
+        )
+        return F.struct(left.alias("m"), F.concat(acc["p"], F.array(pivot)).alias("p"))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.size("m")), start, step, lambda acc: acc["p"])
+    names = matrix.select("grp", F.arrays_zip(F.transform("m", lambda r: r["a"]).alias("stock_id"), folded.alias("pivot")).alias("z"))
+    return names.select("grp", F.posexplode("z").alias("position", "e")).select("grp", (F.col("position") + 1).alias("position"), F.col("e.stock_id").alias("stock_id"), F.col("e.pivot").alias("pivot_value"))
+
+
+def covariance_summary(entries: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Per group: names, trace, sum of squares (both basis-free), least pivot, log of the determinant, positive definite or not."""
+    sums = entries.groupBy("grp").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("value"))).alias("trace"), F.sum(F.col("value") * F.col("value")).alias("sum_squares"))
+    of = pivots.groupBy("grp").agg(F.count("*").alias("n_assets"), F.min("pivot_value").alias("min_pivot"), F.sum(F.when(F.col("pivot_value") > 0, F.log("pivot_value"))).alias("log_det"))
+    return sums.join(of, "grp").select("grp", "n_assets", "trace", "sum_squares", "min_pivot", "log_det", (F.col("min_pivot") > 0).alias("is_positive_definite"))
+
+
 def correlation_profile(returns: DataFrame, order: DataFrame) -> DataFrame:
     """Average |correlation| of the first k names of each group, for every k.
 

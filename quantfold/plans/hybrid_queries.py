@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfold.operators import backtest as bt
+from quantfold.operators import error_model as em
 from quantfold.operators import estimators as est
 from quantfold.operators import hybrid as hy
 from quantfold.operators import portfolio as pf
@@ -13,7 +14,6 @@ from quantfold.operators import risk
 from quantfold.plans.market import Market
 from quantfold.plans.registry import query, tidy
 from quantfold.plans.risk_queries import _spans, rebalance_as_of, universe_rrc
-from quantfold.tables import literal_rows
 
 TOP_N = 15
 
@@ -67,24 +67,31 @@ def shrunk_returns(m: Market) -> DataFrame:
     return tidy(est.shrunk_returns(r, annualize=252))
 
 
-CALIBRATION = (0.01, 0.02, 0.0, 0.0, -0.01)
+def coefficients_as_of(m: Market) -> DataFrame:
+    """The blended calibration that each rebalance could know."""
+    from quantfold.plans.error_queries import as_of, history
 
-
-def sample_calibration(m: Market) -> DataFrame:
-    cols = ["intercept", "beta_momentum", "beta_quality", "beta_value", "beta_volatility"]
-    return literal_rows(m.spark, [(c, "double") for c in cols], [CALIBRATION])
+    key = "coefficients"
+    return m.stage.get(key) or m.stage.plain(key, em.calibration_as_of(as_of(m).withColumn("grp", F.col("grp").cast("int")), history(m)))
 
 
 @query("error_corrected_returns", "E4 E5 J17")
 def error_corrected_returns(m: Market) -> DataFrame:
-    """Annualised shrunk returns minus a fixed sample calibration applied to the factor scores."""
+    """Annualised shrunk returns minus the bias that the calibration known at each rebalance expects."""
     r = est.trailing_returns(hybrid_cands(m), m.panel, _spans(m, est.LOOKBACK_CALENDAR))
     mu = est.shrunk_returns(r, annualize=252).select("grp", "stock_id", "mu")
     dates = F.broadcast(m.rebalances.select(F.col("reb_no").cast("int").alias("grp"), F.col("score_date").alias("date")))
     f = m.scored.join(dates, "date").select(
         "grp", "stock_id", "momentum_score", "quality_score", "value_score", "volatility_score"
     )
-    return tidy(est.error_corrected(mu, f, sample_calibration(m)))
+    return tidy(est.error_corrected(mu, f, coefficients_as_of(m)))
+
+
+@query("hybrid_expectations_calibrated", "H5 E5")
+def hybrid_expectations_calibrated(m: Market) -> DataFrame:
+    """Expectations with the calibration known at each rebalance; as in the product the correction only sees the volatility score."""
+    w, r = hybrid(m)
+    return tidy(hy.expectations(w, r, coefficients_as_of(m)))
 
 
 @query("hybrid_candidate_pool", "H1 L6")
@@ -108,7 +115,35 @@ def covariance_diagnostics(m: Market) -> DataFrame:
     """Shrunk covariance of the hybrid holdings at every rebalance."""
     w, r = hybrid(m)
     rows = est.complete_rows(r.join(w.select("grp", "stock_id"), ["grp", "stock_id"], "left_semi"))
-    return tidy(est.covariance_report(rows.select("grp", "stock_id", "idx", "ret")))
+    # jitter and eigenvalues near 1e-8 are the point of this table: nothing is rounded
+    return est.covariance_report(rows.select("grp", "stock_id", "idx", "ret"))
+
+
+def held_covariance(m: Market) -> DataFrame:
+    key = "covariance"
+    if m.stage.get(key) is None:
+        w, r = hybrid(m)
+        rows = est.complete_rows(r.join(w.select("grp", "stock_id"), ["grp", "stock_id"], "left_semi"))
+        m.stage.plain(key, est.covariance_entries(m.stage.cut(rows.select("grp", "stock_id", "idx", "ret"))))
+    return m.stage.get(key)
+
+
+@query("covariance_entries", "E6 E7 E8 A10")
+def covariance_entries(m: Market) -> DataFrame:
+    """Blended covariance of the hybrid holdings at every rebalance, entry by entry."""
+    return tidy(held_covariance(m), 12)
+
+
+@query("covariance_pivots", "E7 E8")
+def covariance_pivots(m: Market) -> DataFrame:
+    return tidy(est.covariance_pivots(held_covariance(m)), 12)
+
+
+@query("covariance_summary", "E8")
+def covariance_summary(m: Market) -> DataFrame:
+    e = held_covariance(m)
+    s = est.covariance_summary(e, m.stage.cut(est.covariance_pivots(e)))
+    return tidy(s.withColumn("log_det", F.round("log_det", 6)), 12)
 
 
 @query("covariance_ledoit_wolf", "E6")

@@ -45,17 +45,19 @@ def stop_loss_scores(m: Market) -> DataFrame:
 
 
 def stock_error_bias(m: Market) -> DataFrame:
-    """Mean daily return of the last month end before each rebalance as a stand-in bias input."""
-    return m.scored.join(
-        F.broadcast(m.rebalances.select(F.col("reb_no").alias("grp"), F.col("score_date").alias("date"))), "date"
-    ).select("grp", "stock_id", (F.col("momentum_score") / 100).alias("error_bias"))
+    """Error that the calibration known at each rebalance expects of each stock."""
+    from quantfold.operators import error_model as em
+    from quantfold.plans.hybrid_queries import coefficients_as_of
+
+    dates = F.broadcast(m.rebalances.select(F.col("reb_no").alias("grp"), F.col("score_date").alias("date")))
+    return em.calibrated_bias(m.scored.join(dates, "date"), coefficients_as_of(m))
 
 
 @query("stop_loss_with_error_bias", "K1d")
 def stop_loss_with_error_bias(m: Market) -> DataFrame:
-    """With an error bias per stock (here a hundredth of the momentum score)."""
+    """With an error bias per stock, from the error model."""
     out = risk.stop_loss(
-        m.panel, _spans(m, risk.SLS_CALENDAR_DAYS), error_bias=stock_error_bias(m), display=False, cut=m.stage.cut
+        m.panel, _spans(m, risk.SLS_CALENDAR_DAYS), error_bias=m.stage.cut(stock_error_bias(m)), display=False, cut=m.stage.cut
     )
     return tidy(out.select("grp", "stock_id", "err_score", "stop_loss_score", "risk_level"))
 
