@@ -43,7 +43,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from quantfold.llm import bitmap, wordscan
 from quantfold.tables import Stage
 
-ANCHOR = 8
+ANCHOR = 16
 #: Windows of one span, bodies of one anchor before it goes on by windows, words of a shard.
 SPAN_WINDOWS = 64
 MANY_BODIES = 200
