@@ -19,7 +19,7 @@ def q(name: str, sql: str) -> None:
 
 cte("c_priced", """SELECT *, CASE WHEN lag(idx) OVER w = idx - 1 THEN close / lag(close) OVER w - 1 END AS ret FROM (
     SELECT stock_id, idx, p.date, close FROM c_prices p JOIN c_calendar c ON c.date = p.date) WINDOW w AS (PARTITION BY stock_id ORDER BY idx)""")
-cte("c_fwd", """SELECT e.grp, e.reb_date, a.stock_id, b.close / a.close - 1 AS fr FROM (
+cte("c_fwd", """SELECT e.grp, e.reb_date, a.stock_id, b.close / a.close - 1 AS fr, x.date AS exit_date FROM (
       SELECT r.reb_no AS grp, r.reb_date, min(c.idx) AS i0, min(c.date) AS d0 FROM c_reb r JOIN c_calendar c ON c.date >= r.reb_date GROUP BY 1, 2) e
     JOIN c_calendar x ON x.idx = e.i0 + 21 AND x.date <= e.d0 + 31 JOIN c_priced a ON a.idx = e.i0 JOIN c_priced b ON b.idx = e.i0 + 21 AND b.stock_id = a.stock_id""")
 q("forward_returns", f"SELECT grp, stock_id, {r('fr')} AS forward_return FROM c_fwd")
@@ -29,7 +29,7 @@ shrink_cte("c_pshr", "c_pret", 21)
 cte("c_pred", "SELECT grp, stock_id, mu FROM c_pshr WHERE grp IN (SELECT grp FROM c_pret GROUP BY 1 HAVING count(DISTINCT idx) >= 4)")
 q("predicted_returns", f"""SELECT c.reb_no AS grp, c.stock_id, {r('(c.composite_score / 100 - 0.5) * 0.002 * 21')} AS score_return, {r('p.mu')} AS predicted_return
     FROM c_cand c LEFT JOIN c_pred p ON p.grp = c.reb_no AND p.stock_id = c.stock_id""")
-cte("c_obs", """SELECT f.grp, f.reb_date AS rebalance_date, f.stock_id, p.mu AS predicted_return, f.fr AS actual_return, f.fr - p.mu AS error, s.momentum_score,
+cte("c_obs", """SELECT f.grp, f.reb_date AS rebalance_date, f.stock_id, p.mu AS predicted_return, f.fr AS actual_return, f.fr - p.mu AS error, f.exit_date, s.momentum_score,
     s.quality_score, s.value_score, s.volatility_score FROM c_fwd f JOIN c_pred p ON p.grp = f.grp AND p.stock_id = f.stock_id JOIN c_reb b ON b.reb_no = f.grp
     JOIN c_scored s ON s.stock_id = f.stock_id AND s.date = b.score_date""")
 OBS = ", ".join(f"{r(f'CAST({c} AS DOUBLE)')} AS {c}" for c in ("predicted_return", "actual_return", "error", "momentum_score", "quality_score", "value_score", "volatility_score"))
@@ -115,10 +115,10 @@ q("out_of_sample_check", f"""SELECT window_start, window_end, n_train, n_test, {
 cte("c_ovlp", "SELECT * FROM (SELECT *, lead(window_start) OVER (ORDER BY window_end) AS next_start FROM c_win) WHERE next_start IS NOT NULL")
 q("window_overlaps", "SELECT window_start, window_end, next_start, next_start <= window_end AS overlaps FROM c_ovlp")
 cte("c_aud", """SELECT w.*, coalesce(f.n, 0) AS n, CASE WHEN f.n >= 30 THEN f.r_squared END AS r2, CASE WHEN f.n >= 30 THEN f.my END AS me, CASE WHEN f.n >= 30 THEN f.residual_std END AS rs, coalesce(u.k, 0) AS unstable,
-    o.raw - o.cor AS dr, (SELECT count(*) FROM c_ovlp WHERE next_start <= window_end) AS ov, 12 * (year(w.window_end) - year(w.window_start)) + month(w.window_end) - month(w.window_start) AS mo
+    o.raw - o.cor AS dr, (SELECT count(*) FROM c_wrows x WHERE x.window_end = w.window_end AND x.exit_date > w.window_end) AS late, (SELECT count(*) FROM c_ovlp WHERE next_start <= window_end) AS ov, 12 * (year(w.window_end) - year(w.window_start)) + month(w.window_end) - month(w.window_start) AS mo
     FROM c_win w LEFT JOIN c_fit f ON f.window_end = w.window_end LEFT JOIN (SELECT window_end, count(*) AS k FROM c_stab2 WHERE flips > 0.5 OR cv > 2 GROUP BY 1) u ON u.window_end = w.window_end
     LEFT JOIN c_oos o ON o.window_end = w.window_end""")
-CHECKS = (("no_lookahead", "true", "0"), ("no_double_counting", "ov = 0", "ov"), ("observations_sufficient", "n >= 30", "n"), ("window_sufficient", "mo >= 6", "mo"),
+CHECKS = (("no_lookahead", "late = 0", "late"), ("no_double_counting", "ov = 0", "ov"), ("observations_sufficient", "n >= 30", "n"), ("window_sufficient", "mo >= 6", "mo"),
           ("r2_plausible", "NOT coalesce(r2 > 0.80, false)", "r2"), ("coefficients_stable", "unstable = 0", "unstable"), ("out_of_sample_improves", "coalesce(dr > 0, false)", "dr"),
           ("unbiased", "NOT coalesce(rs > 0 AND abs(me) > 0.5 * rs, false)", "me"))
 q("integrity_audit", " UNION ALL ".join(f"SELECT window_start, window_end, '{c}' AS \"check\", {p} AS passed, {r(f'CAST({v} AS DOUBLE)')} AS value FROM c_aud" for c, p, v in CHECKS))

@@ -236,7 +236,7 @@ def forward_returns(as_of: DataFrame, calendar: DataFrame, panel: DataFrame, win
     """Return from the first price day on or after each date to the 21st day after it.
 
     The exit must lie within 31 calendar days of the entry (and before
-    ``window_end``); otherwise there is no row. as_of(grp, as_of).
+    ``window_end``); otherwise there is no row. as_of(grp, as_of). ``exit_date`` is the day on which the return is known.
     """
     entry = (
         calendar.join(bounded(as_of), F.col("date") >= F.col("as_of"))
@@ -247,15 +247,16 @@ def forward_returns(as_of: DataFrame, calendar: DataFrame, panel: DataFrame, win
     ok = (F.col("i1") == F.col("i0") + FORWARD_DAYS) & (F.col("d1") <= F.date_add("d0", FORWARD_CALENDAR))
     if window_end is not None:
         ok = ok & (F.col("d1") <= window_end)
-    pairs = entry.join(exits, ok).select("grp", "as_of", "i0", "i1")
-    ends = pairs.select("grp", "as_of", F.explode(F.array("i0", "i1")).alias("idx"), "i0", "i1")
+    pairs = entry.join(exits, ok).select("grp", "as_of", "i0", "i1", "d1")
+    ends = pairs.select("grp", "as_of", F.explode(F.array("i0", "i1")).alias("idx"), "i0", "i1", "d1")
     px = panel.select("stock_id", "idx", "close").join(bounded(ends), "idx")
     return (
         px.groupBy("grp", "as_of", "stock_id")
         .agg(
             F.max(F.when(F.col("idx") == F.col("i0"), F.col("close"))).alias("p0"),
             F.max(F.when(F.col("idx") == F.col("i1"), F.col("close"))).alias("p1"),
+            F.max("d1").alias("exit_date"),
         )
-        .select("grp", "as_of", "stock_id", (F.col("p1") / F.col("p0") - 1).alias("forward_return"))
+        .select("grp", "as_of", "stock_id", (F.col("p1") / F.col("p0") - 1).alias("forward_return"), "exit_date")
         .where(F.col("forward_return").isNotNull())
     )

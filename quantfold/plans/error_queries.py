@@ -51,7 +51,7 @@ def fits(m: Market) -> DataFrame:
 
 @query("forward_returns", "E11 J4")
 def forward_returns(m: Market) -> DataFrame:
-    return tidy(est.forward_returns(as_of(m).select("grp", "as_of"), m.calendar, priced(m)).drop("as_of"))
+    return tidy(est.forward_returns(as_of(m).select("grp", "as_of"), m.calendar, priced(m)).drop("as_of", "exit_date"))
 
 
 @query("predicted_returns", "E9 E10")
@@ -65,7 +65,7 @@ def predicted_returns(m: Market) -> DataFrame:
 
 @query("observation_panel", "C1 J8 J9")
 def observation_panel(m: Market) -> DataFrame:
-    return tidy(observations(m))
+    return tidy(observations(m).drop("newest_source", "exit_date"))
 
 
 @query("observation_panel_score_method", "C1 E10")
