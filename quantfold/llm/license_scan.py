@@ -11,7 +11,8 @@ marks ``dnl``, ``rem`` and ``+`` before a line, and a number before a sentence,
 passed over. All other pieces are dropped. The identifiers of a document, in order,
 are matched against the rules by rank: a rule is a sequence of identifiers that follow
 one another, with at most ``GAP`` unknown pieces (blank ones too) between neighbours and
-no known one. What a rule has matched is not used by later rules.
+no known one. What a rule has matched is not used by later rules. A declared SPDX identifier
+names its license itself and is the best one.
 
 The tables of sentences and rules are parameters held in the plan (a few thousand
 entries at most); the scan itself is one pass without a shuffle.
@@ -55,27 +56,64 @@ SENTENCES = [
     ("cc-by-4", "Licensed under CC BY 4.0"),
     ("cc-by-nc-4", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4", "Licensed under CC BY-SA 4.0"),
-    ("mpl2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
+    ("mpl2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl11-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1"),
+    ("mpl11-contents", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")"),
+    ("gpl2-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl2-notice", "This work is licensed under the GNU General Public License, version 2"),
+    ("gpl2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("lgpl21-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl3-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("agpl3-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd-advert", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"),
+    ("bsd-author", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc-grant-and", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("boost-notice", "Distributed under the Boost Software License, Version 1.0."),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain."),
+    ("cc0-dedicated", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
 ]
+#: Identifiers that a line ``SPDX-License-Identifier: ...`` may name.
+SPDX = [
+    "MIT", "MIT-0", "ISC", "Zlib", "BSL-1.0", "Unlicense", "CC0-1.0", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Apache-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+]
+SENTENCES += [(f"spdx:{name}", f"SPDX-License-Identifier: {name}") for name in SPDX]
 #: Rank, license and the identifiers that must follow one another.
 RULES = [
-    (1, "MIT", ["mit-grant", "mit-condition"]),
-    (2, "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    (3, "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    (4, "Apache-2.0", ["apache-notice-long", "apache-comply", "apache-copy"]),
-    (5, "GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
-    (6, "GPL-3.0-or-later", ["gpl-free"]),
-    (7, "GPL-3.0-only", ["gpl3-notice"]),
-    (8, "Apache-2.0", ["apache-notice"]),
-    (9, "Apache-2.0", ["apache-notice-long"]),
-    (10, "MIT", ["mit-notice"]),
-    (11, "MIT", ["mit-licensed"]),
-    (12, "MIT", ["mit-title"]),
-    (13, "ISC", ["isc-grant"]),
-    (14, "CC-BY-NC-4.0", ["cc-by-nc-4"]),
-    (15, "CC-BY-SA-4.0", ["cc-by-sa-4"]),
-    (16, "CC-BY-4.0", ["cc-by-4"]),
-    (17, "MPL-2.0", ["mpl2-notice"]),
+    (1, "BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
+    (2, "MIT", ["mit-grant", "mit-condition"]),
+    (3, "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    (4, "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-author"]),
+    (5, "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    (6, "Apache-2.0", ["apache-notice-long", "apache-comply", "apache-copy"]),
+    (7, "GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
+    (8, "GPL-3.0-or-later", ["gpl-free"]),
+    (9, "GPL-3.0-only", ["gpl3-notice"]),
+    (10, "Apache-2.0", ["apache-notice"]),
+    (11, "Apache-2.0", ["apache-notice-long"]),
+    (12, "MIT", ["mit-notice"]),
+    (13, "MIT", ["mit-licensed"]),
+    (14, "MIT", ["mit-title"]),
+    (15, "ISC", ["isc-grant"]),
+    (16, "CC-BY-NC-4.0", ["cc-by-nc-4"]),
+    (17, "CC-BY-SA-4.0", ["cc-by-sa-4"]),
+    (18, "CC-BY-4.0", ["cc-by-4"]),
+    (19, "MPL-2.0", ["mpl2-notice"]),
+    (20, "GPL-2.0-or-later", ["gpl2-later"]),
+    (21, "GPL-2.0-only", ["gpl2-notice"]),
+    (22, "GPL-2.0-only", ["gpl2-only"]),
+    (23, "LGPL-2.1-or-later", ["lgpl21-later"]),
+    (24, "LGPL-3.0-or-later", ["lgpl3-later"]),
+    (25, "AGPL-3.0-or-later", ["agpl3-later"]),
+    (26, "MPL-1.1", ["mpl11-notice"]),
+    (27, "MPL-1.1", ["mpl11-contents"]),
+    (28, "ISC", ["isc-grant-and"]),
+    (29, "Zlib", ["zlib-grant"]),
+    (30, "BSL-1.0", ["boost-notice"]),
+    (31, "Unlicense", ["unlicense-free"]),
+    (32, "CC0-1.0", ["cc0-dedicated"]),
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,6 +124,10 @@ NOT_WORD_IN_LINE = NOT_WORD.replace("\\x00-\\x2A", "\\x00-\\x09\\x0B-\\x2A")
 SENTENCE_END = "([.!?;])(?<!(?:^|\\n)[\\x20\\t]{0,40}[;!]{1,8})[\\x20\\x09-\\x0D]+"
 #: Comment and change marks that normalisation leaves before a line, and a number before a sentence.
 LINE_MARK, NUMBER = "(?:\\+ ?)?(?:(?:dnl|rem) )?", "(?:[0-9]{1,2} )?"
+#: A sentence with a hole: whoever is named there stands for the copyright holder.
+HOLDER = "neither the name of the copyright holder nor the names of its contributors"
+_AND = f"(?: |\n{LINE_MARK})"
+NAMED_HOLDER = _AND.join("neither the name of".split()) + _AND + "[^\n]{1,80}(?:\n[^\n]{1,80}){0,2}?" + _AND + _AND.join("nor the names of".split()) + _AND + "(?:its|their)" + _AND + "contributors"
 #: Put around known sentences; not a character of a normalised text.
 MARK = "\x01"
 
@@ -109,7 +151,8 @@ def recognised(text: Column, sentences=SENTENCES) -> Column:
     if not known:
         return F.array().cast("array<struct<unknown:int,id:string>>")
     wrapped = [f"(?: |\n{LINE_MARK})".join(map(re.escape, s.split(" "))) for s in sorted(known, key=len, reverse=True)]
-    marked = F.regexp_replace(normalised(text), f"\n{LINE_MARK}{NUMBER}({'|'.join(wrapped)})(?=\n)", f"\n{MARK}$1{MARK}")
+    whole = F.regexp_replace(normalised(text), NAMED_HOLDER, HOLDER)
+    marked = F.regexp_replace(whole, f"\n{LINE_MARK}{NUMBER}({'|'.join(wrapped)})(?=\n)", f"\n{MARK}$1{MARK}")
     names = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     ends = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
     one_line = lambda s: F.regexp_replace(s, f"\n{LINE_MARK}", " ")
@@ -126,15 +169,17 @@ def scan_licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES, gap: int =
     """doc_id, n_sentences (known ones), sentence_ids (in order), licenses (sorted, distinct), best (of the best rank, null if none)."""
     apart = lambda x, i: (i > 0) & (x["unknown"] > gap)
     written = F.transform("found", lambda x, i: F.concat(F.when(apart(x, i), F.lit("<#>")).otherwise(F.lit("")), F.lit("<"), x["id"], F.lit(">")))
+    declared = F.transform(F.filter(F.col("found.id"), lambda x: F.startswith(x, F.lit("spdx:"))), lambda x: F.substring(x, 6, 100))
     df = docs.select("doc_id", recognised(F.col("text"), sentences).alias("found"))
-    df = df.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.concat_ws(",", F.col("found.id")).alias("sentence_ids"), F.concat_ws("", written).alias("left_over"))
+    df = df.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.concat_ws(",", F.col("found.id")).alias("sentence_ids"), F.concat_ws("", written).alias("left_over"), declared.alias("declared"))
     found = []
     for rank, name, ids in sorted(rules):
         sequence = F.lit("".join(f"<{i}>" for i in ids))
         found.append(F.when(F.col(f"hit{rank}"), F.lit(name)))
         df = df.withColumn(f"hit{rank}", F.contains(F.col("left_over"), sequence)).withColumn("left_over", F.replace(F.col("left_over"), sequence, F.lit("<#>")))
+    by_rule = F.filter(F.array(*found), lambda x: x.isNotNull())
     return df.select(
         "doc_id", "n_sentences", "sentence_ids",
-        F.concat_ws(",", F.array_sort(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())))).alias("licenses"),
-        F.coalesce(*found).alias("best"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.concat("declared", by_rule)))).alias("licenses"),
+        F.coalesce(F.get("declared", F.lit(0)), *found).alias("best"),
     )

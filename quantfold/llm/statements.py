@@ -291,11 +291,12 @@ parts AS (SELECT r, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM (
   SELECT r, string_split(regexp_replace(t, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS p FROM docs)),
 hits AS (
   SELECT r, pos, id FROM (SELECT r, pos, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2A\x2C-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS norm FROM parts) JOIN known USING (norm)),
+    '[\x00-\x2A\x2C-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS norm FROM parts) p JOIN known ON regexp_replace(p.norm, 'neither the name of .{{1,160}}? nor the names of (its|their) contributors', '{license_scan.HOLDER}') = known.norm),
 gaps AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) > {license_scan.GAP + 1}, false) AS apart FROM hits),
-agg AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, string_agg(CASE WHEN apart THEN '<#>' ELSE '' END || '<' || id || '>', '' ORDER BY pos) AS written FROM gaps GROUP BY r),
+agg AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, string_agg(CASE WHEN apart THEN '<#>' ELSE '' END || '<' || id || '>', '' ORDER BY pos) AS written,
+        coalesce(list(id[6:] ORDER BY pos) FILTER (id LIKE 'spdx:%'), []) AS declared FROM gaps GROUP BY r),
 {steps},
-named AS (SELECT r, n, ids, list_filter([{found}], lambda x: x IS NOT NULL) AS names FROM matched{rules[-1][0]})
+named AS (SELECT r, n, ids, list_concat(declared, list_filter([{found}], lambda x: x IS NOT NULL)) AS names FROM matched{rules[-1][0]})
 SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licenses, names[1] AS best
 FROM docs LEFT JOIN named USING (r)
 """

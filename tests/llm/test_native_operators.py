@@ -177,6 +177,23 @@ def test_wrapped_and_commented_licenses(spark):
     assert [got[i].licenses for i in range(4)] == ["", "", "BSD-3-Clause", ""]
 
 
+def test_license_families(spark):
+    s = dict(license_scan.SENTENCES)
+    bsd = "\n".join(s[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    named = s["bsd-endorse"].replace("the copyright holder", "Google Inc.")
+    wanted = [
+        (bsd + "\n" + named, "BSD-3-Clause"), (bsd + "\n" + "\n".join(textwrap.wrap(named.replace("Google Inc.", "the University of Somewhere Far Away"), 40)), "BSD-3-Clause"),
+        (bsd + "\n" + s["bsd-advert"] + "\nThis product includes software by X.\n" + named, "BSD-4-Clause"), (bsd + "\n" + s["bsd-author"], "BSD-3-Clause"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1. If", "MPL-1.1"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If", "MPL-2.0"),
+        ("\n".join(textwrap.wrap(s["gpl2-later"], 70)), "GPL-2.0-or-later"), ("\n".join(" * " + x for x in textwrap.wrap(s["lgpl21-later"], 60)), "LGPL-2.1-or-later"),
+        ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"), ("// SPDX-License-Identifier: LGPL-3.0-or-later\ncode", "LGPL-3.0-or-later"), (s["unlicense-free"], "Unlicense"),
+        (s["isc-grant-and"], "ISC"), ("  " + s["boost-notice"], "BSL-1.0"), (s["agpl3-later"], "AGPL-3.0-or-later"), ("SPDX-License-Identifier: Nothing-1.0", ""),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, [t for t, _ in wanted])).collect()}
+    assert [got[i].licenses for i in range(len(wanted))] == [name for _, name in wanted]
+    assert got[9].best == "LGPL-3.0-or-later"
+
+
 def test_native_plans_have_no_python(spark, sf_dir):
     from quantfold.llm.queries import llm_queries
 
