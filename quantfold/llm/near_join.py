@@ -59,6 +59,7 @@ HUB_ROUNDS, HUBS, PER_ROUND = 2, 3, 3
 #: Rounds after them: the first takes a few pairs of each two components and contracts, the last one all pairs that are left.
 CROSS_ROUNDS, PER_COMPONENTS = 2, 8
 FEW_PAIRS = 50_000
+FEW_IDS = 50_000
 SIG = [f"s{i}" for i in range(8)]
 #: Columns of a link: its ends and their smallest ids.
 LINK = "a long, b long, la long, lb long"
@@ -236,8 +237,13 @@ def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) ->
 
     No text is moved; the table also has sets of rows that share an id or were marked by chance, and repeats of equal rows."""
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keep = _keeper(texts, wanted.select("low"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text")
+    ids = wanted.select(F.coalesce("low", F.lit(0)).alias("doc_id")).distinct()
+    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        # few ids: the other rows do not leave the scan
+        texts, keep = texts.join(F.broadcast(ids), "doc_id", "left_semi"), iter
+    else:
+        keep = _keeper(texts, ids)
 
     def remake(batches):
         for b in keep(batches):
