@@ -34,11 +34,3 @@ def small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
 def quoted(name: str) -> str:
     """A column's name as one identifier, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column of ``df`` has it (names are compared without case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name

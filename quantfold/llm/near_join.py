@@ -47,7 +47,6 @@ from pyspark.sql import Window
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quantfold.llm import bitmap, wordscan
-from quantfold.llm.common import quoted, unused
 from quantfold.llm.components import components
 from quantfold.tables import Stage
 
@@ -415,9 +414,11 @@ def one_per_group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     unsure = held.join(copied, "digest", "left_semi").select("doc_id").unionByName(held.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     unsure = stage.plain("unsure", unsure.distinct())
 
-    digest, low, of, place = [unused(docs, n) for n in ("near_digest", "near_low", "near_of", "near_place")]
-    names = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
-    texts = docs.select(*[F.col(quoted(c)) for c in names])
+    # columns go through under plain names, since the names of a table may be anything
+    plain = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
+    renamed = docs.toDF(*plain)
+    names = ["doc_id", *[c for c in plain if c != "doc_id"]]
+    texts = renamed.select(*names)
     no_words = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "")) == 0
     free = texts.filter(F.col("doc_id").isNull() | no_words)
     worded = texts.filter(F.col("doc_id").isNotNull() & ~no_words)
@@ -427,12 +428,11 @@ def one_per_group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     def add(batches):
         for b in keep(batches):
             digests = [_digest(tokens) for tokens in _sets(b.column(at), rule.width)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names=[*b.schema.names, digest])
-
-    told = worded.mapInArrow(add, StructType([*texts.schema.fields, StructField(digest, BinaryType())]))
-    kept = first.select(F.col("first.low").alias(low), F.col("first.digest").alias(of))
-    one = told.join(kept, (F.col("doc_id").cast("long") == F.col(low)) & (F.col(digest) == F.col(of)), "left_semi")
-    ordered = Window.partitionBy("doc_id", digest).orderBy(*[F.col(quoted(c)) for c, t in docs.dtypes if "map<" not in t and t != "variant"])
-    one = one.withColumn(place, F.row_number().over(ordered)).filter(F.col(place) == 1)
-    out = [F.col(quoted(c)) for c in docs.columns]
-    return alone.select(*out).unionByName(one.select(*out)).unionByName(free.select(*out))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names=[*b.schema.names, "near_digest"])
+
+    told = worded.mapInArrow(add, StructType([*texts.schema.fields, StructField("near_digest", BinaryType())]))
+    kept = first.select(F.col("first.low").alias("near_low"), F.col("first.digest").alias("near_of"))
+    one = told.join(kept, (F.col("doc_id").cast("long") == F.col("near_low")) & (F.col("near_digest") == F.col("near_of")), "left_semi")
+    ordered = Window.partitionBy("doc_id", "near_digest").orderBy(*[F.col(c) for c, t in renamed.dtypes if "map<" not in t and t != "variant"])
+    one = one.withColumn("near_place", F.row_number().over(ordered)).filter("near_place = 1")
+    return alone.select(*plain).unionByName(one.select(*plain)).unionByName(free.select(*plain)).toDF(*docs.columns)

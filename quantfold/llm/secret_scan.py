@@ -233,4 +233,6 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                 columns[chars_at] = pa.array(counts, b.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns go through under plain names, since the names of a table may be anything
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
