@@ -81,7 +81,7 @@ def portfolio_replace(m: Market) -> DataFrame:
     stored = both_weights(m).select(
         F.col("reb_date").alias("date"), F.col("portfolio").alias("strategy_type"), "stock_id", "weight"
     )
-    ten = pf.strategy_weights(pf.candidates(m.scored, m.rebalances), [("equal_weight", "equal_weight", 10)])
+    ten = pf.strategy_weights(pf.candidates(m.rebalance_scored, m.rebalances), [("equal_weight", "equal_weight", 10)])
     fresh = ten.select(F.col("reb_date").alias("date"), F.col("portfolio").alias("strategy_type"), "stock_id", "weight")
     counts = wr.replace_counts(stored, fresh, ["date", "strategy_type"])
     left = wr.replaced(stored, fresh, ["date", "strategy_type"]).groupBy("date").agg(F.count(F.lit(1)).alias("rows_after"))
