@@ -33,6 +33,27 @@ def filled(rows: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray]) -> n
     return wordscan.merged(rows.mapInArrow(fill, wordscan.PACKED), np.uint8, PARTS, np.bitwise_or)
 
 
+def repeated(rows: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The map with the bits set that are in ``places(batch)`` at least twice over all rows; empty if there are no rows."""
+
+    def fill(batches):
+        once, twice, some = np.zeros(BITS, bool), np.zeros(BITS, bool), False
+        for b in batches:
+            if b.num_rows:
+                found, k = np.unique(places(b), return_counts=True)
+                twice[found[(k > 1) | once[found]]] = True
+                once[found] = some = True
+        if some:
+            yield wordscan.pack(np.stack((np.packbits(once), np.packbits(twice)), axis=1).ravel(), PARTS)
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = a | b
+        both[1::2] |= a[::2] & b[::2]
+        return both
+
+    return wordscan.merged(rows.mapInArrow(fill, wordscan.PACKED), np.uint8, PARTS, join)[1::2].copy()
+
+
 def has(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Whether each place is set; nothing is in an empty map."""
     if not len(bits):

@@ -8,7 +8,8 @@ covers it also starts in a document with a smaller id. Windows are judged on the
    where they get long). An anchor that only one document has is dropped.
 2. Equal spans are one body, which keeps the smallest id that has it. Anchors with many
    different bodies (the borders of a passage that many documents share) go on window
-   by window: windows that occur once are dropped and equal ones are one body.
+   by window: windows that occur once are dropped where they are found, equal ones are one
+   body, and a body gets their first documents by the runs of such windows that it has.
 3. Bodies are reference and stream at once: shards hold the bodies of their anchors, a
    suffix automaton over the words of a shard knows for every substring the smallest id
    that has it, and every body runs through the automaton of its shard. Where its matching statistic
@@ -284,10 +285,15 @@ def _firsts(bodies: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, out)
 
 
+def _words_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a batch of bodies, and where each row begins in them."""
+    lists = b.column(b.schema.get_field_index("words"))
+    return lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+
+
 def _window_hashes(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and hash of each window of a batch of bodies."""
-    lists = b.column(b.schema.get_field_index("words"))
-    flat, first = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+    flat, first = _words_of(b)
     s = _spans(flat, first, width, width)
     # one window of its own each, but for repeats in a row
     count = s.n - width + 1
@@ -311,30 +317,71 @@ def _windows(bodies: DataFrame, width: int, kept: Callable[[list, np.ndarray, np
     return bodies.mapInArrow(split, out)
 
 
-def _once_a_batch(ids: list, row: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each different window the place with the smallest id, and how often it is there."""
+def _marked(bits: np.ndarray, window: np.ndarray) -> np.ndarray:
+    return bitmap.has(bits, window.view(np.int64) & (bitmap.BITS - 1))
+
+
+def _once_a_batch(ids: list, row: np.ndarray, window: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each different window among those at ``at`` the place with the smallest id, and how often it is there."""
     rank = np.empty(len(ids), np.int64)
     rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
-    order = np.lexsort((rank[row], window))
+    order = at[np.lexsort((rank[row[at]], window[at]))]
     _, begin, k = np.unique(window[order], return_index=True, return_counts=True)
     return order[begin], k.astype(np.int64)
 
 
+def _all_windows(ids: list, row: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(len(window)), np.ones(len(window), np.int64)
+
+
+def _runs(bodies: DataFrame, width: int, bits) -> DataFrame:
+    """run (hash of its words), words (their number), anchor, body, n, at (its first window) for each stretch of windows of a body that are marked in ``bits``."""
+    names = ("anchor", "body", "n")
+    out = StructType([StructField("run", LongType()), StructField("words", IntegerType()), *[bodies.schema[c] for c in names], StructField("at", IntegerType())])
+
+    def stretches(batches):
+        for b in batches:
+            flat, first = _words_of(b)
+            row, at, window = _window_hashes(b, width)
+            picked = np.flatnonzero(_marked(bits.value, window))
+            row, at = row[picked], at[picked]
+            new = np.ones(len(picked), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+            begins = np.flatnonzero(new)
+            words = np.diff(np.append(begins, len(picked))) + width - 1
+            row, at = row[begins], at[begins]
+            run = Sequences(flat).hash(first[row] + at, words)
+            take = pa.array(row)
+            columns = [pa.array(run.view(np.int64)), pa.array(words.astype(np.int32)), *[b.column(b.schema.get_field_index(c)).take(take) for c in names], pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=out.fieldNames())
+
+    return bodies.mapInArrow(stretches, out)
+
+
 def _firsts_by_window(bodies: DataFrame, width: int, stage: Stage) -> DataFrame:
-    """The same as ``_firsts`` for bodies of common anchors: windows found once are settled by their body alone, the others are bodies of their own."""
-    counted = _windows(bodies, width, _once_a_batch).groupBy("window").agg(F.sum("k").alias("k"), F.min(F.struct("first_id", "anchor", "body", "n", "at")).alias("o"))
+    """The same as ``_firsts`` for bodies of common anchors: windows found once are settled by their body alone, the others are bodies of their own.
+
+    A window that is found once does not leave the task that reads its body, and the others go back to their bodies in runs."""
+    twice = bodies.sparkSession.sparkContext.broadcast(bitmap.repeated(bodies.select("words"), lambda b: _window_hashes(b, width)[2].view(np.int64) & (bitmap.BITS - 1)))
+
+    def met(ids, row, window):
+        return _once_a_batch(ids, row, window, np.flatnonzero(_marked(twice.value, window)))
+
+    counted = _windows(bodies, width, met).groupBy("window").agg(F.sum("k").alias("k"), F.min(F.struct("first_id", "anchor", "body", "n", "at")).alias("o"))
     carriers = counted.filter("k > 1").select("window", "o.*")
     texts = carriers.join(bodies.select("anchor", "body", "n", "words"), ["anchor", "body", "n"])
     own = texts.select(F.col("window").alias("anchor"), F.col("window").alias("body"), F.lit(width).cast("int").alias("n"), "first_id", F.slice("words", F.col("at") + 1, F.lit(width)).alias("words"))
     solved = stage.plain("window_firsts", _firsts(stage.plain("window_texts", own), width)).select(F.col("anchor").alias("window"), F.get("firsts", F.lit(0)).alias("found"))
     bits = bodies.sparkSession.sparkContext.broadcast(bitmap.filled(solved, _place))
 
-    def again(ids, row, window):
-        picked = np.flatnonzero(bitmap.has(bits.value, window.view(np.int64) & (bitmap.BITS - 1)))
-        return picked, np.ones(len(picked), np.int64)
-
-    earlier = _windows(bodies, width, again).join(solved, "window").filter(F.col("found") < F.col("first_id")).groupBy("anchor", "body", "n")
-    earlier = earlier.agg(F.map_from_entries(F.collect_list(F.struct("at", "found"))).alias("found"))
+    runs = stage.plain("runs", _runs(bodies, width, bits))
+    kinds = runs.groupBy("run", F.col("words").alias("k")).agg(F.min(F.struct("anchor", "body", "n", "at")).alias("o")).select("run", "k", "o.*")
+    kinds = kinds.join(bodies.select("anchor", "body", "n", "first_id", "words"), ["anchor", "body", "n"])
+    kinds = kinds.select(F.col("run").alias("anchor"), F.col("run").alias("body"), F.col("k").alias("n"), "first_id", F.slice("words", F.col("at") + 1, F.col("k")).alias("words"))
+    found = _windows(kinds, width, _all_windows).join(solved, "window").groupBy(F.col("anchor").alias("run"), F.col("n").alias("words"))
+    found = found.agg(F.collect_list(F.struct("at", "found")).alias("found"))
+    moved = F.transform("found", lambda f: F.struct(F.col("at") + f["at"], f["found"]))
+    earlier = runs.join(found, ["run", "words"]).groupBy("anchor", "body", "n").agg(F.map_from_entries(F.flatten(F.collect_list(moved))).alias("found"))
     places = F.sequence(F.lit(0), F.col("n") - width)
     firsts = F.transform(places, lambda at: F.coalesce(F.try_element_at("found", at), "first_id"))
     return bodies.join(earlier, ["anchor", "body", "n"], "left").select("anchor", "body", "n", firsts.alias("firsts"))

@@ -87,3 +87,23 @@ def test_automaton_knows_the_first_owner_of_each_window():
         for w in [[rng.randrange(3) for _ in range(25)], *[h[0] for h in held]]:
             want = [min([o for v, o in held if any(v[j : j + 4] == w[i : i + 4] for j in range(len(v) - 3))], default=None) for i in range(len(w) - 3)]
             assert automaton.first_owners(w, 4) == want
+
+
+def test_windows_at_the_borders_of_a_common_passage_stay_few(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([f"a{k}_{i}" for i in range(20)] + passage[: 40 - k % 2] + [f"z{k}_{i}" for i in range(20)]) for k in range(150)]
+    ids = rng.sample(range(1000), 150)
+    made = []
+    windows = sd._windows
+
+    def counted(*args):
+        rows = windows(*args)
+        made.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(sd, "_windows", counted)
+    monkeypatch.setattr(sd, "MANY_BODIES", 20)
+    assert run(spark, texts, ids, 12) == brute(texts, ids, 12)
+    # a window for each different one and task, not one for each document that has it
+    assert made and max(made) <= 29 * 8
