@@ -41,6 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -112,19 +113,24 @@ def word_counts(docs: DataFrame) -> np.ndarray:
             for lo, hi in wordscan.chunks(texts):
                 np.add.at(total, _bucket(wordscan.scan(texts.slice(lo, hi - lo)).hash), 1)
         if total.any():
-            yield wordscan.pack(total, SKETCH_PARTS)
+            yield wordscan.pack(_capped(total), SKETCH_PARTS)
 
-    counts = wordscan.merged(docs.select("text").mapInArrow(count, wordscan.PACKED), np.int64, SKETCH_PARTS)
+    add = lambda a, b: _capped(a.astype(np.int64) + b)
+    return wordscan.merged(docs.select("text").mapInArrow(count, wordscan.PACKED), np.uint32, SKETCH_PARTS, add)
+
+
+def _capped(counts: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
 ROWS = "doc_id long, n int, digest binary, prefix array<bigint>, places array<int>, salts array<int>, " + ", ".join(f"{s} bigint" for s in SIG)
 
 
-def described(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
+def described(docs: DataFrame, rule: Rule, shared: Broadcast) -> DataFrame:
     """Per row: set size, digest of the set, rare-first prefix, their places, their salts if some are hot (0: not split) and the parity map."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    counts = shared.value
     hot = max(HOT_LEAST, int(HOT_TIMES_MEAN * counts.mean()) if len(counts) else 0)
+    del counts
 
     def describe(batches):
         counts = shared.value
@@ -218,11 +224,14 @@ def _id_places(batch: pa.RecordBatch) -> np.ndarray:
     return (wordscan.mix(ids + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bitmap.BITS - 1)).astype(np.int64)
 
 
-def _keeper(docs: DataFrame, ids: DataFrame, wanted: bool = True):
-    """A function that keeps, of batches whose first column is the id, the rows whose id may be among ``ids`` (or those whose id is not).
+def _marked(ids: DataFrame) -> Broadcast:
+    return ids.sparkSession.sparkContext.broadcast(bitmap.filled(ids, _id_places))
+
+
+def _keeper(shared: Broadcast, wanted: bool = True):
+    """A function that keeps, of batches whose first column is the id, the rows whose id may be among the marked ones (or those whose id is not).
 
     It runs inside the worker that goes on with the rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.filled(ids, _id_places))
 
     def keep(batches):
         for b in batches:
@@ -231,18 +240,21 @@ def _keeper(docs: DataFrame, ids: DataFrame, wanted: bool = True):
     return keep
 
 
-def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) -> DataFrame:
-    """digest, tokens for ``wanted`` (digest, low), made again from the texts of the rows with such an id.
+def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, most: int, stage: Stage, name: str) -> None:
+    """Stages digest, tokens for ``wanted`` (digest, low; ``most`` rows at most), made again from the texts of the rows with such an id.
 
     No text is moved; the table also has sets of rows that share an id or were marked by chance, and repeats of equal rows."""
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text")
     ids = wanted.select(F.coalesce("low", F.lit(0)).alias("doc_id")).distinct()
-    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+    if most > FEW_IDS:
+        ids = stage.cut(ids)
+        most = ids.count()
+    if most <= FEW_IDS:
         # few ids: the other rows do not leave the scan
         texts, keep = texts.join(F.broadcast(ids), "doc_id", "left_semi"), iter
     else:
-        keep = _keeper(texts, ids)
+        keep = _keeper(_marked(ids))
 
     def remake(batches):
         for b in keep(batches):
@@ -250,11 +262,11 @@ def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, stage: Stage) ->
                 sets = [t for t in _sets(b.column(1).slice(lo, hi - lo), rule.width) if len(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())], names=["digest", "tokens"])
 
-    return stage.cut(texts.mapInArrow(remake, "digest binary, tokens binary"))
+    stage.plain(name, texts.mapInArrow(remake, "digest binary, tokens binary"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b, da, db, la, lb) whose whole sets link, as (a, b, la, lb)."""
+def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The ``n_pairs`` pairs (a, b, da, db, la, lb) whose whole sets link, as (a, b, la, lb)."""
 
     def check(batches):
         for b in batches:
@@ -266,7 +278,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("da", "db")).alias("digest")).distinct()
-    if pairs.count() <= FEW_PAIRS:
+    if n_pairs <= FEW_PAIRS:
         # few pairs need few of the sets: only those are dealt out
         sets = sets.join(F.broadcast(ends), "digest", "left_semi")
     left = pairs.join(sets.withColumnsRenamed({"digest": "da", "tokens": "ta"}), "da")
@@ -343,48 +355,58 @@ def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFra
     """Rows, one node per different set, and node, comp, comp_low (the smallest id of the component) of each node that has links."""
     spark = docs.sparkSession
     stage = Stage(spark, "near")
-    counts = word_counts(docs)
-    rows = stage.plain("rows", described(docs, rule, counts).withColumn("row", F.monotonically_increasing_id()))
+    shared = spark.sparkContext.broadcast(word_counts(docs))
+    rows = stage.plain("rows", described(docs, rule, shared).withColumn("row", F.monotonically_increasing_id()))
+    shared.destroy()
     reps = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
     reps = stage.plain("reps", reps)
     sets_of = rows.drop("doc_id", "digest").withColumnRenamed("row", "node").join(reps.select("node", "digest", "low"), "node")
     shared = stage.plain("shared", _postings(sets_of, rule))
     maps = stage.plain("maps", sets_of.select("node", "n", "digest", "low", *SIG).join(shared.select("node").distinct(), "node", "left_semi"))
 
-    links = tried = spark.createDataFrame([], LINK)
-    known, comp, found_links = None, None, 0
+    # names of the staged tables of all rounds, each kind read by one scan
+    tried, known, linked = [], [], []
+    comp, found_links = None, False
     for k in range(HUB_ROUNDS + CROSS_ROUNDS):
         placed = _placed(shared, comp)
+        found = _hub_pairs(placed, maps, rule, k) if k < HUB_ROUNDS else _cross_pairs(placed, maps, rule)
+        if tried:
+            found = found.join(stage.together(tried).select("a", "b"), ["a", "b"], "left_anti")
+        few = None
         if k < HUB_ROUNDS:
-            found = stage.plain(f"pairs{k}", _hub_pairs(placed, maps, rule, k).join(tried, ["a", "b"], "left_anti"))
-            some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(k)))
-            chosen = found.withColumn("k", F.row_number().over(some)).filter(F.col("k") <= PER_ROUND).drop("k")
+            few = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(k))), PER_ROUND
         else:
-            found = stage.plain(f"pairs{k}", _cross_pairs(placed, maps, rule).join(tried, ["a", "b"], "left_anti"))
-            if found.isEmpty():
+            found = stage.plain(f"pairs{k}", found)
+            n_found = found.count()
+            if not n_found:
                 break
-            chosen = found
             if k < HUB_ROUNDS + CROSS_ROUNDS - 1 and found_links:
                 # a few pairs of each two components; what they leave is looked at again after contraction
-                some = Window.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b"))
-                chosen = found.withColumn("k", F.row_number().over(some)).filter(F.col("k") <= PER_COMPONENTS).drop("k")
-        chosen = stage.plain(f"chosen{k}", chosen.select("a", "b", "da", "db", "la", "lb"))
-        if chosen.isEmpty():
+                few = Window.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b")), PER_COMPONENTS
+        if few:
+            chosen = found.withColumn("k", F.row_number().over(few[0])).filter(F.col("k") <= few[1])
+            chosen = stage.plain(f"chosen{k}", chosen.select("a", "b", "da", "db", "la", "lb"))
+            n_chosen = chosen.count()
+        else:
+            chosen, n_chosen = found.select("a", "b", "da", "db", "la", "lb"), n_found
+        if not n_chosen:
             continue
-        needed = chosen.select(F.explode(F.array("da", "db")).alias("digest")).distinct()
-        if known is not None:
-            needed = needed.join(known.select("digest").distinct(), "digest", "left_anti")
-        made = _whole_sets(docs, rule, reps.join(needed, "digest", "left_semi"), stage)
-        known = made if known is None else known.unionByName(made)
-        verified = stage.plain(f"links{k}", _verified(chosen, known, rule))
-        found_links = verified.count()
-        tried = tried.unionByName(chosen.select("a", "b", "la", "lb"))
+        ends = F.explode(F.array(*[F.struct(F.col(f"d{x}").alias("digest"), F.col(f"l{x}").alias("low")) for x in "ab"]))
+        needed = chosen.select(ends.alias("end")).select("end.*").distinct()
+        if known:
+            needed = needed.join(stage.together(known).select("digest").distinct(), "digest", "left_anti")
+        known.append(f"sets{k}")
+        _whole_sets(docs, rule, needed, 2 * n_chosen, stage, known[-1])
+        verified = stage.plain(f"links{k}", _verified(chosen, n_chosen, stage.together(known), rule))
+        found_links = not verified.isEmpty()
+        tried.append(f"chosen{k}" if few else f"pairs{k}")
         if found_links:
-            links = links.unionByName(verified)
-            comp = _components(links, stage)
-        elif k >= HUB_ROUNDS and chosen.count() == found.count():
+            linked.append(f"links{k}")
+            comp = _components(stage.together(linked), stage)
+        elif k >= HUB_ROUNDS and n_chosen == n_found:
             break
-    return rows, reps, comp if comp is not None else _components(links, stage)
+    none = reps.filter(F.lit(False)).select("node", F.col("node").alias("comp"), F.col("low").alias("comp_low"))
+    return rows, reps, none if comp is None else comp
 
 
 def _components(links: DataFrame, stage: Stage) -> DataFrame:
@@ -422,8 +444,9 @@ def one_per_group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     no_words = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "")) == 0
     free = texts.filter(F.col("doc_id").isNull() | no_words)
     worded = texts.filter(F.col("doc_id").isNotNull() & ~no_words)
-    alone = worded.mapInArrow(_keeper(worded, unsure, wanted=False), worded.schema)
-    at, keep = names.index("text"), _keeper(worded, unsure)
+    marked = _marked(unsure)
+    alone = worded.mapInArrow(_keeper(marked, wanted=False), worded.schema)
+    at, keep = names.index("text"), _keeper(marked)
 
     def add(batches):
         for b in keep(batches):

@@ -109,3 +109,19 @@ def test_columns_of_any_name_pass_through(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f", "x y z u v w"]).withColumnRenamed("node", "a.b").withColumnRenamed("kept", "near_digest").withColumnRenamed("u", "near_low")
     kept = one_per_group(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_jobs_do_not_pile_up_over_the_rounds(spark):
+    """Each round reads the tables of all rounds by one scan and decides on counts that are known; one Spark job more is memory of the driver."""
+    rng = random.Random(8)
+    bases = [" ".join(f"w{rng.randrange(4000)}" for _ in range(80)) for _ in range(30)]
+    texts = [vary(rng, bases[i % 30], rng.randrange(4)) for i in range(300)]
+    docs = documents(spark, texts).coalesce(2)
+    spark.sparkContext.setJobGroup("near-copies", "near copies")
+    try:
+        kept = {r.doc_id for r in one_per_group(docs, Rule(5, 80, 100)).select("doc_id").collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-copies"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert kept == set(groups({i: shingles(t, 5) for i, t in enumerate(texts)}, 80, 100).values())
+    assert 0 < jobs <= 155, jobs
