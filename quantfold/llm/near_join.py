@@ -13,7 +13,9 @@ shingles with a word that occurs once. A pair is dropped early by
 * the differing bits of two 512-bit parity maps, which never exceed the shingles
   that only one of the sets has (suffix filter),
 
-and verified once, on the whole sets, if it survives. Links are followed to
+and verified once, on the whole sets, if it survives. 512 bits say little of a long set,
+so pairs of two sets of more than 512 shingles are tried on parity maps as long as the sets
+before any set is fetched. Links are followed to
 components in rounds, so that no group is expanded into pairs. In a hub round every
 node meets a few hubs per shared shingle, chosen by hash, and is verified against some
 that survive the filters; that joins most of every component at a cost in proportion to
@@ -55,6 +57,8 @@ SKETCH_BITS = 22
 SKETCH_PARTS = 64
 HOT_LEAST = 2000
 HOT_TIMES_MEAN = 4
+#: Sets of more shingles have a longer parity map as well.
+WIDE = 512
 HUB_ROUNDS, HUBS, PER_ROUND = 2, 3, 3
 #: Rounds after them: the first takes a few pairs of each two components and contracts, the last one all pairs that are left.
 CROSS_ROUNDS, PER_COMPONENTS = 2, 8
@@ -102,6 +106,23 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _wide(tokens: np.ndarray) -> bytes | None:
+    """Parity map of a set of more than ``WIDE`` shingles, with at least a bit a shingle (a power of two)."""
+    if len(tokens) <= WIDE:
+        return None
+    bits = 1 << (len(tokens) - 1).bit_length()
+    parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def _wide_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two such maps, the longer one folded to the shorter: at most the shingles that only one set has."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(x), len(y))
+    fold = lambda m: np.bitwise_xor.reduce(m.reshape(-1, size), axis=0)
+    return int(np.bitwise_count(fold(x) ^ fold(y)).sum())
+
+
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Word occurrences per bucket (the top bits of the hash) over all documents; a fixed-size array."""
     size = 1 << SKETCH_BITS
@@ -123,11 +144,11 @@ def _capped(counts: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
-ROWS = "doc_id long, n int, digest binary, prefix array<bigint>, places array<int>, salts array<int>, " + ", ".join(f"{s} bigint" for s in SIG)
+ROWS = "doc_id long, n int, digest binary, prefix array<bigint>, places array<int>, salts array<int>, wide binary, " + ", ".join(f"{s} bigint" for s in SIG)
 
 
 def described(docs: DataFrame, rule: Rule, shared: Broadcast) -> DataFrame:
-    """Per row: set size, digest of the set, rare-first prefix, their places, their salts if some are hot (0: not split) and the parity map."""
+    """Per row: set size, digest of the set, rare-first prefix, their places, their salts if some are hot (0: not split) and the parity maps."""
     counts = shared.value
     hot = max(HOT_LEAST, int(HOT_TIMES_MEAN * counts.mean()) if len(counts) else 0)
     del counts
@@ -135,9 +156,10 @@ def described(docs: DataFrame, rule: Rule, shared: Broadcast) -> DataFrame:
     def describe(batches):
         counts = shared.value
         for b in batches:
-            n, digests, prefixes, places, salts, maps = [], [], [], [], [], []
+            n, digests, prefixes, places, salts, wide, maps = [], [], [], [], [], [], []
             for tokens, seen in _counted_sets(b.column(1), rule.width, counts):
                 n.append(len(tokens))
+                wide.append(_wide(tokens))
                 if not len(tokens):
                     digests.append(None)
                     prefixes.append(None)
@@ -163,9 +185,10 @@ def described(docs: DataFrame, rule: Rule, shared: Broadcast) -> DataFrame:
                 [
                     b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(salts, pa.list_(pa.int32())),
+                    pa.array(wide, pa.binary()),
                     *[pa.array(sig[:, i]) for i in range(8)],
                 ],
-                names=["doc_id", "n", "digest", "prefix", "places", "salts", *SIG],
+                names=["doc_id", "n", "digest", "prefix", "places", "salts", "wide", *SIG],
             )
 
     return docs.select("doc_id", "text").mapInArrow(describe, ROWS)
@@ -265,6 +288,24 @@ def _whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame, most: int, stage
     stage.plain(name, texts.mapInArrow(remake, "digest binary, tokens binary"))
 
 
+def _tried(chosen: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
+    """``chosen`` (a, b, da, db, la, lb) with ``alike``: false where the long parity maps of two sets rule out a link."""
+
+    def compare(batches):
+        for b in batches:
+            alike = []
+            for n, x, y in zip(b.column(6).to_pylist(), b.column(7), b.column(8)):
+                if x.is_valid and y.is_valid:
+                    alike.append(_wide_apart(x.as_py(), y.as_py()) <= n - 2 * -(-rule.num * n // (rule.num + rule.den)))
+                else:
+                    alike.append(True)
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(alike, pa.bool_())], names=[*b.schema.names[:6], "alike"])
+
+    pairs = _with_maps(chosen, maps.select("node", "n", "wide"))
+    both = pairs.select(*chosen.columns, (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.wide").alias("wa"), F.col("y.wide").alias("wb"))
+    return both.mapInArrow(compare, "a long, b long, da binary, db binary, la long, lb long, alike boolean")
+
+
 def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, rule: Rule) -> DataFrame:
     """The ``n_pairs`` pairs (a, b, da, db, la, lb) whose whole sets link, as (a, b, la, lb)."""
 
@@ -305,7 +346,8 @@ def _met(placed: DataFrame, rule: Rule, seed: int) -> DataFrame:
     """Postings (key, node, at, comp) beside a few hubs of their key that are in other components and pass length and place."""
     row, group = F.struct("node", "at", "comp"), Window.partitionBy("key")
     hub = lambda i: F.min_by(row, F.xxhash64("node", "key", F.lit(seed * HUBS + i))).over(group)
-    met = placed.withColumns({"lo": F.min("comp").over(group), "hi": F.max("comp").over(group), "hubs": F.array(*[hub(i) for i in range(HUBS)])}).filter("lo <> hi")
+    # dealt by key first: what the windows order by and take is formed after that, not moved
+    met = placed.repartition("key").withColumns({"lo": F.min("comp").over(group), "hi": F.max("comp").over(group), "hubs": F.array(*[hub(i) for i in range(HUBS)])}).filter("lo <> hi")
     met = met.select("node", "at", "comp", F.explode(F.array_distinct("hubs")).alias("h"))
     mine, other = F.col("at"), F.col("h.at")
     return met.filter(
@@ -334,7 +376,8 @@ def _cross_pairs(placed: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
     groups = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
     blocks = F.ceil(F.col("k") / HOT_LEAST).cast("int")
     mixed = placed.join(groups.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    mixed = mixed.select("token", "node", "at", "comp", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1")).join(maps, "node")
+    mixed = mixed.select("token", "node", "at", "comp", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
+    mixed = mixed.withColumn("n", _size(F.col("at"))).join(maps.select("node", *SIG), "node")
     x, y = mixed.alias("x"), mixed.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.b0") == F.col("y.b0")) & (F.col("x.b1") == F.col("y.b1"))
     # a pair of one block would meet in every pair of blocks with it
@@ -343,7 +386,16 @@ def _cross_pairs(placed: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
     nx, ny = F.col("x.n"), F.col("y.n")
     fits = _by_size(rule, nx, ny) & _by_place(rule, nx, _place(F.col("x.at")), ny, _place(F.col("y.at"))) & _by_suffix(rule, "x", "y")
     comps = [F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb")]
-    return x.join(y, meet & once & different & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), *_ends(), *comps).distinct()
+    pairs = x.join(y, meet & once & different & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), *comps).distinct()
+    return _with_maps(pairs, maps.select("node", "digest", "low")).select("a", "b", *_ends(), "ca", "cb")
+
+
+def _still_apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Those of such pairs whose ends are in different components by now."""
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
+    now = pairs.drop("ca", "cb").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
+    return now.withColumns({"ca": F.least(ca, cb), "cb": F.greatest(ca, cb)}).filter("ca <> cb")
 
 
 def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -362,14 +414,23 @@ def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFra
     reps = stage.plain("reps", reps)
     sets_of = rows.drop("doc_id", "digest").withColumnRenamed("row", "node").join(reps.select("node", "digest", "low"), "node")
     shared = stage.plain("shared", _postings(sets_of, rule))
-    maps = stage.plain("maps", sets_of.select("node", "n", "digest", "low", *SIG).join(shared.select("node").distinct(), "node", "left_semi"))
+    maps = stage.plain("maps", sets_of.select("node", "n", "digest", "low", "wide", *SIG).join(shared.select("node").distinct(), "node", "left_semi"))
+
+    # prefixes and maps are in the tables above; the rest of the rows is short
+    rows = stage.plain("named", rows.select("doc_id", "n", "digest"))
+    stage.drop("rows")
 
     # names of the staged tables of all rounds, each kind read by one scan
     tried, known, linked = [], [], []
     comp, found_links = None, False
     for k in range(HUB_ROUNDS + CROSS_ROUNDS):
-        placed = _placed(shared, comp)
-        found = _hub_pairs(placed, maps, rule, k) if k < HUB_ROUNDS else _cross_pairs(placed, maps, rule)
+        if k < HUB_ROUNDS:
+            found = _hub_pairs(_placed(shared, comp), maps, rule, k)
+        elif k == HUB_ROUNDS:
+            found = _cross_pairs(_placed(shared, comp), maps, rule)
+        else:
+            # components only grow, so the pairs that are left are among those of the round before
+            found = _still_apart(found, comp)
         if tried:
             found = found.join(stage.together(tried).select("a", "b"), ["a", "b"], "left_anti")
         few = None
@@ -383,14 +444,13 @@ def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFra
             if k < HUB_ROUNDS + CROSS_ROUNDS - 1 and found_links:
                 # a few pairs of each two components; what they leave is looked at again after contraction
                 few = Window.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b")), PER_COMPONENTS
-        if few:
-            chosen = found.withColumn("k", F.row_number().over(few[0])).filter(F.col("k") <= few[1])
-            chosen = stage.plain(f"chosen{k}", chosen.select("a", "b", "da", "db", "la", "lb"))
-            n_chosen = chosen.count()
-        else:
-            chosen, n_chosen = found.select("a", "b", "da", "db", "la", "lb"), n_found
+        chosen = found.withColumn("k", F.row_number().over(few[0])).filter(F.col("k") <= few[1]) if few else found
+        tried.append(f"chosen{k}")
+        chosen = stage.plain(tried[-1], _tried(chosen.select("a", "b", "da", "db", "la", "lb"), maps, rule))
+        n_chosen = chosen.count() if few else n_found
         if not n_chosen:
             continue
+        chosen = chosen.filter("alike").drop("alike")
         ends = F.explode(F.array(*[F.struct(F.col(f"d{x}").alias("digest"), F.col(f"l{x}").alias("low")) for x in "ab"]))
         needed = chosen.select(ends.alias("end")).select("end.*").distinct()
         if known:
@@ -399,12 +459,13 @@ def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFra
         _whole_sets(docs, rule, needed, 2 * n_chosen, stage, known[-1])
         verified = stage.plain(f"links{k}", _verified(chosen, n_chosen, stage.together(known), rule))
         found_links = not verified.isEmpty()
-        tried.append(f"chosen{k}" if few else f"pairs{k}")
         if found_links:
             linked.append(f"links{k}")
             comp = _components(stage.together(linked), stage)
-        elif k >= HUB_ROUNDS and n_chosen == n_found:
+        if k >= HUB_ROUNDS and n_chosen == n_found:
             break
+    for name in (*known, *tried):
+        stage.drop(name)
     none = reps.filter(F.lit(False)).select("node", F.col("node").alias("comp"), F.col("low").alias("comp_low"))
     return rows, reps, none if comp is None else comp
 

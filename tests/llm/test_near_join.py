@@ -125,3 +125,48 @@ def test_jobs_do_not_pile_up_over_the_rounds(spark):
         spark.sparkContext._jsc.clearJobGroup()
     assert kept == set(groups({i: shingles(t, 5) for i, t in enumerate(texts)}, 80, 100).values())
     assert 0 < jobs <= 155, jobs
+
+
+def test_sets_that_long_maps_tell_apart_are_not_fetched(spark, monkeypatch):
+    """Long texts that share a common opening fill a map of 512 bits and passed as pairs; now only sets that may link are made again."""
+    rng = random.Random(5)
+    opening = " ".join(f"o{i}" for i in range(400))
+    texts = [opening + " " + " ".join(f"t{k}x{i}" if i % 9 else f"c{rng.randrange(40)}" for i in range(1600)) for k in range(12)]
+    texts += [t + " end" for t in texts[:2]]
+    sizes, whole = [], near_join._whole_sets
+
+    def counted(docs, rule, wanted, *args):
+        sizes.append(wanted.count())
+        return whole(docs, rule, wanted, *args)
+
+    monkeypatch.setattr(near_join, "_whole_sets", counted)
+    got = {r.doc_id: r.component_id for r in near_groups(documents(spark, texts), Rule(5, 80, 100)).collect()}
+    assert got == groups({i: shingles(t, 5) for i, t in enumerate(texts)}, 80, 100) and len(set(got.values())) == 12
+    assert sum(sizes) == 4, sizes
+
+
+def test_long_maps_never_count_too_much():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    tokens = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64))
+    for n, more, other in ((520, 0, 0), (1400, 30, 10), (5000, 4, 900), (600, 3000, 50)):
+        both = tokens(n)
+        x, y = np.union1d(both, tokens(more)), np.union1d(both, tokens(other))
+        assert near_join._wide_apart(near_join._wide(x), near_join._wide(y)) <= len(np.setxor1d(x, y))
+    assert near_join._wide(tokens(512)) is None
+
+
+def test_rows_with_prefixes_and_whole_sets_do_not_stay_on_disk(spark, monkeypatch):
+    from pathlib import Path
+
+    stages = []
+    monkeypatch.setattr(near_join, "Stage", lambda *args: stages.append(near_join_stage(*args)) or stages[-1])
+    texts = [f"a b c d e f g h i j k l m n o p q r s t {'u' * (k % 2)}" for k in range(20)]
+    rows = near_groups(documents(spark, texts), Rule(3, 80, 100)).collect()
+    assert {r.component_id for r in rows} == {0}
+    left = {p.name for p in Path(stages[0].root.removeprefix("file:")).iterdir()}
+    assert "named" in left and not [name for name in left if name == "rows" or name.startswith(("sets", "chosen"))], left
+
+
+near_join_stage = near_join.Stage
