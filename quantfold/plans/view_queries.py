@@ -16,6 +16,7 @@ from quantfold.plans.market import Market
 from quantfold.plans.registry import query, tidy
 from quantfold.plans.risk_queries import universe_sls
 from quantfold.sources import market as src
+from quantfold.tables import bounded
 
 
 def day_scores(m: Market) -> DataFrame:
@@ -131,9 +132,15 @@ def single_stock_stop_loss(m: Market) -> DataFrame:
     return tidy(out.withColumn("trigger_threshold", F.col("trigger_threshold") + F.lit(1e-9)))
 
 
+def trend(m: Market) -> DataFrame:
+    first = m.newest_dates.agg(F.date_sub(F.min("date"), sig.TREND_DAYS).alias("first"))
+    recent = m.composites.join(bounded(first), F.col("date") >= F.col("first"))
+    return sig.score_trend(recent, m.newest_dates)
+
+
 def signals(m: Market) -> DataFrame:
     key = "signals"
-    return m.stage.get(key) or m.stage.plain(key, sig.stock_signals(m.scored, single_stop_loss(m)))
+    return m.stage.get(key) or m.stage.plain(key, sig.stock_signals(m.newest_scored, single_stop_loss(m), trend(m)))
 
 
 @query("stock_signals", "N3 N4 N5")
@@ -159,7 +166,7 @@ def recommendation_texts(m: Market) -> DataFrame:
 @query("stock_summaries", "O1 O2")
 def stock_summaries(m: Market) -> DataFrame:
     f = src.fundamentals(m.spark, m.sf_dir)
-    return tidy(views.stock_summary(signals(m), m.stocks, m.scored, f), 2)
+    return tidy(views.stock_summary(signals(m), m.stocks, m.composites, f), 2)
 
 
 @query("portfolio_reviews", "O5")
