@@ -104,7 +104,7 @@ def tracker_overlay(m: Market) -> DataFrame:
 
 @query("latest_scores", "N1")
 def latest_scores(m: Market) -> DataFrame:
-    return tidy(sig.latest_scores(m.scored))
+    return tidy(sig.latest_scores(m.newest_scored))
 
 
 @query("score_trend", "N2 W22")
