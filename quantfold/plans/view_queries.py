@@ -109,7 +109,7 @@ def latest_scores(m: Market) -> DataFrame:
 
 @query("score_trend", "N2 W22")
 def score_trend(m: Market) -> DataFrame:
-    return sig.score_trend(m.scored, sig.latest_scores(m.scored))
+    return trend(m)
 
 
 def single_stop_loss(m: Market) -> DataFrame:
