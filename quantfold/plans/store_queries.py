@@ -69,7 +69,7 @@ def sector_enrichment(m: Market) -> DataFrame:
 @query("score_upsert", "S15")
 def score_upsert(m: Market) -> DataFrame:
     """Scores of the last 30 days replaced by shifted ones; totals per date."""
-    stored = m.scored.select("stock_id", "date", "composite_score")
+    stored = m.composites.select("stock_id", "date", "composite_score")
     fresh = stored.where(F.col("date") > F.lit(_cutoff(m, 30))).withColumn("composite_score", F.col("composite_score") + 1)
     out = wr.upserted(stored, fresh, ["stock_id", "date"])
     return tidy(out.groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.sum("composite_score").alias("total")))
