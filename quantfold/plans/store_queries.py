@@ -166,7 +166,7 @@ def table_health(m: Market) -> DataFrame:
         {
             "stocks": (m.stocks, None),
             "prices": (m.prices, "date"),
-            "scores": (m.scored, "date"),
+            "scores": (m.composites, "date"),
             "orders": (m.table("orders"), "o_orderdate"),
             "events": (m.table("events"), "ts"),
         }
